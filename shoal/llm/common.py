@@ -1,38 +1,16 @@
-"""Shared helpers: the shared folder, lineage cuts and the learning split."""
+"""Shared helpers: table reads, lineage cuts and the learning split."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as the contracts write it.
-SPACE = r"\x20\x09-\x0D"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from shoal.sources.shared import cut, shared_dir, table
 
+__all__ = ["SPACE", "cut", "fold", "held_out", "only", "read", "shared_dir", "table"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: ends the lineage and survives lost executors."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back (smaller on disk than a checkpoint of wide rows)."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space as the contracts write it.
+SPACE = r"\x20\x09-\x0D"
 
 
 def fold(doc_id: Column) -> Column:

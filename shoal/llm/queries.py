@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators."""
 
+from shoal.llm.simhash import op4_simhash
 from shoal.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op8_toxicity": op8_toxicity,
 }
 
