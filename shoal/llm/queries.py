@@ -1,11 +1,15 @@
 """Registered queries of the training-data operators."""
 
+from shoal.llm.decontaminate import op7_decontaminate
+from shoal.llm.language import op9_language
 from shoal.llm.simhash import op4_simhash
 from shoal.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
 }
 
 ORACLES: dict[str, str] = {}
