@@ -2,11 +2,15 @@
 
 from shoal.llm.decontaminate import op7_decontaminate
 from shoal.llm.language import op9_language
+from shoal.llm.licenses import op5_licenses
+from shoal.llm.secrets import op6_secrets
 from shoal.llm.simhash import op4_simhash
 from shoal.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
+    "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
