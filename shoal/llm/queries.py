@@ -1,5 +1,6 @@
 """Registered queries of the training-data operators."""
 
+from shoal.llm import mixing, quality
 from shoal.llm.decontaminate import op7_decontaminate
 from shoal.llm.language import op9_language
 from shoal.llm.licenses import op5_licenses
@@ -8,6 +9,8 @@ from shoal.llm.simhash import op4_simhash
 from shoal.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_quality": quality.op2_quality,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
     "op6_secrets": op6_secrets,
@@ -16,4 +19,7 @@ QUERIES = {
     "op9_language": op9_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_quality": quality.ORACLE,
+}
