@@ -4,6 +4,7 @@ from shoal.llm import mixing, quality
 from shoal.llm.decontaminate import op7_decontaminate
 from shoal.llm.language import op9_language
 from shoal.llm.licenses import op5_licenses
+from shoal.llm.pii import op10_pii
 from shoal.llm.secrets import op6_secrets
 from shoal.llm.simhash import op4_simhash
 from shoal.llm.toxicity import op8_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
