@@ -17,6 +17,8 @@ null doc_id is carried; repeated rows and repeated items are reported each.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -102,27 +104,48 @@ class Matcher:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_piece: int = 12, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
-    """The operator: doc_id, item_id, distance, n_places for each row of docs and each item it holds."""
-    rows, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("text is not null")
-    kinds = dict(rows.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, n_places int"
+def blocks_of(benchmark: DataFrame, block_chars: int, min_chars: int):
+    """The benchmark's normalised items, in blocks of about block_chars characters."""
+    items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, found = -(-size // block_chars) or 1, None
+    blocks = -(-size // block_chars) or 1
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        held = [(r.item_id, t) for r in part.collect() if len(t := normal(r.text)) >= min_chars]
+        yield [(r.item_id, t) for r in part.collect() if len(t := normal(r.text)) >= min_chars]
+
 
-        def run(batches, held=held):
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_piece: int = 12, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+    """The operator: doc_id, item_id, distance, n_places for each row of docs and each item it holds."""
+    rows = docs.select("doc_id", "text")
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, distance int, n_places int"
+
+    def one(held: list[tuple[int, str]]) -> DataFrame:
+        def run(batches):
             match = Matcher(held, rate, min_piece)
             for b in batches:
                 got = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for x in match(normal(t.as_py()))]
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["doc_id", "item_id", "distance", "n_places"]).cast(pa.schema([("doc_id", b.schema.field(0).type), ("item_id", pa.int64()), ("distance", pa.int32()), ("n_places", pa.int32())]))
+                    ids, items, distance, n = zip(*got)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(items), pa.array(distance, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "item_id", "distance", "n_places"])
+
+        return rows.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionAll, map(one, blocks_of(benchmark, block_chars, min_chars)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_piece: int = 12, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+    """docs, all columns, without the rows that hold a benchmark item; no shuffle."""
+
+    def one(docs: DataFrame, held: list[tuple[int, str]]) -> DataFrame:
+        def run(batches):
+            match = Matcher(held, rate, min_piece)
+            for b in batches:
+                at = b.schema.get_field_index("text")
+                yield b.filter(pa.array([not match(normal(t.as_py())) for t in b.column(at)], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
 
-        one = rows.mapInArrow(run, schema)
-        found = one if found is None else found.unionAll(one)
-    return found
+    return reduce(one, blocks_of(benchmark, block_chars, min_chars), docs)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

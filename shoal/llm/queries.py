@@ -7,11 +7,13 @@ from shoal.llm.licenses import op5_licenses
 from shoal.llm.pii import op10_pii
 from shoal.llm.secrets import op6_secrets
 from shoal.llm.simhash import op4_simhash
+from shoal.llm.suffixes import op3_suffix_dedup
 from shoal.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
     "op6_secrets": op6_secrets,

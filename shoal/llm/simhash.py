@@ -190,5 +190,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with only the smallest doc_id of each component; rows without an id stay, as no id names them."""
+    gone = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

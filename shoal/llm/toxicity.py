@@ -288,5 +288,22 @@ def flag(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFram
     return score(docs, learn(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """docs, all columns, without the rows that score the threshold or more; no shuffle."""
+    model = learn(docs, labels)
+    if model is None:
+        return docs
+
+    def run(batches):
+        scorer = Scorer(model)
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            for i in range(0, len(b), 64):
+                part = b.slice(i, 64)
+                yield part.filter(pa.array(scorer(part.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
