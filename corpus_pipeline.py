@@ -1,26 +1,51 @@
-"""Corpus pipeline: STAGES applied in order to documents."""
+"""Corpus pipeline: STAGES applied in order to documents, each on all its predecessor kept.
+
+Toxic documents, all but one of each near-duplicate group and documents that hold a
+benchmark item go; secrets in the texts that are left are masked; and
+the rest is mixed to target weights, of which the sampled rows are returned.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import toxicity
+from shoal.llm import decontaminate, mixing, secrets, simhash, toxicity
 from shoal.llm.common import read, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; rows whose id is null are kept as they can't be told apart."""
-    flags = toxicity.flag(docs, read(spark, sf_dir, "labels"))
-    bad = table(flags.where(F.col("predicted") == 1).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti")
+    return toxicity.reject(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the masked text."""
+    masked = secrets.redact(docs, secrets.learn(docs))
+    return masked.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sampled documents with topic, token count, weight and probability."""
+    return mixing.mix(mixing.topics(docs)).where("sampled").drop("sampled")
 
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
 ]
 
-#: The toxicity model can't be stated in SQL; tests/llm compares the pipeline with a brute-force version.
+#: The toxicity model and the forest can't be stated in SQL; tests/llm holds the pipeline against a plain version.
 ORACLE_SQL = None
 
 
