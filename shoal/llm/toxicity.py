@@ -115,7 +115,7 @@ def project(p: dict, x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((2, 1, 3 * HIDDEN), np.float32), x @ p["in"]], axis=1) + p["b"][:, None]
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 256, seed: int = 7) -> dict:
+def train(texts: list[str], y: np.ndarray, epochs: int = 6, least: int = 300, seed: int = 7) -> dict:
     """Multiple-instance training: a toxic text answers with its worst window and a clean one with its worst and one drawn."""
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
@@ -140,8 +140,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 256, se
     of = np.repeat(np.arange(len(docs)), np.diff(np.append(first, len(ids))))
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
-    tick = 0
-    for epoch in range(epochs):
+    tick = epoch = 0
+    while epoch < epochs or tick < least:  # small samples go round more often
         x = np.concatenate([p["words"][own], np.maximum.reduceat(np.maximum(p["chars"][grams[0]], p["chars"][grams[1]]), starts, axis=0)], axis=1)
         if epoch == 0:
             worth = np.append(-9, x[:, 0] + x[:, DIM])[ids].max(1)
@@ -152,7 +152,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 256, se
         more = [order[np.maximum(last - k, first)][y == 0] for k in range(1, 5)]
         chosen = np.concatenate([order[last], *more])
         target = np.concatenate([y, np.zeros(sum(map(len, more)))]).astype(np.float32)
-        for i in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // batch)):
+        epoch += 1
+        for i in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // (256 if len(chosen) > 8000 else 64))):
             tick += 1
             g = gradients(p, own, grams, starts, size, ids[chosen[i]], real[chosen[i]], target[i])
             for k in p:
