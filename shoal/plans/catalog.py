@@ -1,5 +1,433 @@
 """Registered queries of the account analytics and the SQL they are held against."""
 
-QUERIES: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from shoal.functions import countries, exprs
+from shoal.operators import behavior, network, profile, temporal
+from shoal.operators.components import connected_components
+from shoal.plans.views import AS_OF, CONFIG, duck, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+DAY = 86_400_000_000
+
+
+def query(sql: str | None = None, **views: str):
+    """Register a query whose arguments are the named views; sql is its oracle, in which {name} stands for a view."""
+
+    def register(make: Callable[..., DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return make(**{k: view(spark, sf_dir, v) for k, v in views.items()})
+
+        QUERIES[make.__name__] = run
+        if sql:
+            head = ", ".join(f"{k} AS ({duck(v)})" for k, v in views.items())
+            body = sql.strip()
+            deep = "RECURSIVE " if body.startswith("WITH RECURSIVE ") else ""
+            body = body.replace("WITH RECURSIVE ", "WITH ", 1)
+            ORACLES[make.__name__] = f"WITH {deep}{head}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}"
+        return make
+
+    return register
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
+
+
+# SQL pieces of the oracles
+
+
+def ramp(x: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN ({x}) IS NULL THEN 0.0::DOUBLE ELSE least(greatest((({x})::DOUBLE - {lo!r}::DOUBLE) / {hi - lo!r}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) END"
+
+
+def log_ramp(x: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN ({x}) > 0 THEN least(greatest((ln(({x})::DOUBLE) - ln({lo!r}::DOUBLE)) / (ln({hi!r}::DOUBLE) - ln({lo!r}::DOUBLE)), 0.0::DOUBLE), 1.0::DOUBLE) ELSE 0.0::DOUBLE END"
+
+
+NORMAL = r"trim(lower(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), 'https?://\S+', ' ', 'g'), '@[\p{{L}}\p{{N}}_]+', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+GRAMS = "list_distinct(list_transform(generate_series(1, length(t) + 1), lambda i: substr('  ' || t || ' ', i, 3)))"
+
+
+# scoring core
+
+
+@query(f"SELECT id, round({ramp('followers', 300, 5000)}, 6) AS up, round({ramp('followers', 5000, 300)}, 6) AS down, round({log_ramp('likes', 300, 1500000)}, 6) AS lg FROM accounts", accounts="accounts")
+def ramp_log_ramp(accounts):
+    return r6(accounts.select("id", exprs.ramp("followers", 300, 5000).alias("up"), exprs.ramp("followers", 5000, 300).alias("down"), exprs.log_ramp("likes", 300, 1_500_000).alias("lg")), "up", "down", "lg")
+
+
+_EFF = f"greatest(coalesce(({AS_OF} - created_us) / 86400e6, 0), 1)"
+
+
+@query(
+    f"""SELECT id, round(({AS_OF} - created_us) / 86400e6, 6)::DOUBLE AS age_days, round(followers / {_EFF}, 6)::DOUBLE AS followers_per_day, round(tweets / {_EFF}, 6)::DOUBLE AS tweets_per_day,
+    round(likes / {_EFF}, 6)::DOUBLE AS likes_per_day, round(following / greatest(followers, 1), 6)::DOUBLE AS following_to_followers FROM accounts""",
+    accounts="accounts",
+)
+def account_metrics(accounts):
+    """The rates before their display rounding, as half-even ties differ between engines."""
+    days, eff = profile.age(CONFIG), F.greatest(F.coalesce(profile.age(CONFIG), F.lit(0.0)), F.lit(1.0))
+    return accounts.select("id", F.round(days, 6).alias("age_days"), *(F.round(F.col(c) / eff, 6).alias(f"{c}_per_day") for c in ("followers", "tweets", "likes")), F.round(F.col("following") / F.greatest(F.col("followers"), F.lit(1)), 6).alias("following_to_followers"))
+
+
+# countries of the oracles, from the same alias table
+
+
+def _in(codes: str, names: str) -> str:
+    return f"list_has_any({codes}, {names})"
+
+
+_ALIAS = "MAP {" + ", ".join(f"'{a}': '{c}'" for a, c in sorted(countries.ALIASES.items())) + "}"
+_STRICT = r"CASE WHEN c_{n} IS NULL THEN []::VARCHAR[] ELSE [c_{n}] END"
+_NAME = r"{alias}[trim(regexp_replace(regexp_replace(lower(trim(coalesce({x}, ''))), '[.!]+$', ''), '\s+(android app|app store|google play|ios app|web|play store|android|ios|iphone app)\s*$', '', 'i'))]"
+_BY_LENGTH = sorted((a for a in countries.ALIASES if len(a) >= 4), key=lambda a: (-len(a), a))
+_FREE = (
+    r"(SELECT list_sort(list_distinct(CASE WHEN len(near) > 0 THEN near ELSE far END)) FROM (SELECT CASE WHEN alias[t] IS NOT NULL THEN [alias[t]] ELSE list_filter(list_transform(regexp_split_to_array(t, '[,|/·•;()\[\]]+|\s+-\s+|\s+–\s+'), lambda p: alias[regexp_replace(trim(p), '[.!]+$', '')]), lambda c: c IS NOT NULL) END AS near,"
+    r" list_transform(list_filter([" + ", ".join(f"'{a}'" for a in _BY_LENGTH) + r"], lambda n: contains(' ' || regexp_replace(t, '[^\p{L}\p{N}_]+', ' ', 'g') || ' ', ' ' || n || ' '))[1:1], lambda n: alias[n]) AS far FROM (SELECT regexp_replace(lower(trim(coalesce(x, ''))), '[.!]+$', '') AS t, " + _ALIAS + r" AS alias) AS q1) AS q2)"
+)
+#: Locations and sign-up strings are few; each distinct one is resolved once.
+_COUNTRIES = f"""cmap AS (SELECT {_ALIAS} AS alias),
+loc AS (SELECT x, {_FREE} AS claimed FROM (SELECT DISTINCT location AS x FROM accounts) AS d),
+geo AS (SELECT a.*, claimed, {_STRICT.format(n="s")} AS signup, {_STRICT.format(n="b")} AS based FROM (SELECT accounts.*, {_NAME.format(alias="alias", x="signup_source")} AS c_s, {_NAME.format(alias="alias", x="based_in")} AS c_b FROM accounts, cmap) AS a JOIN loc ON loc.x IS NOT DISTINCT FROM a.location)"""
+_BLOCKED = "[" + ", ".join(f"'{c}'" for c in countries.BLOCKED) + "]"
+_ORIGIN = f"""greatest(CASE WHEN len(claimed) > 0 AND len(signup) > 0 AND NOT list_has_any(claimed, signup) THEN CASE WHEN list_has_any(claimed, {_BLOCKED}) AND NOT list_has_any(signup, {_BLOCKED}) THEN 0.3 WHEN list_has_any(based, signup) THEN 1.0 WHEN list_has_any(based, claimed) THEN 0.3 ELSE 0.6 END END,
+CASE WHEN len(based) > 0 AND len(claimed) + len(signup) > 0 AND NOT list_has_any(based, list_concat(signup, claimed)) THEN CASE WHEN list_has_any(list_concat(signup, claimed), {_BLOCKED}) THEN 0.1 WHEN NOT location_accurate THEN 0.2 ELSE 0.4 END END)"""
+
+
+@query(f"WITH {_COUNTRIES} SELECT id, array_to_string(based, ',') AS based, array_to_string(signup, ',') AS signup FROM geo", accounts="accounts")
+def country_resolve_strict(accounts):
+    return accounts.select("id", F.concat_ws(",", countries.strict(F.col("based_in"))).alias("based"), F.concat_ws(",", countries.strict(F.col("signup_source"))).alias("signup"))
+
+
+@query(f"WITH {_COUNTRIES} SELECT id, array_to_string(claimed, ',') AS claimed FROM geo", accounts="accounts")
+def country_resolve_free(accounts):
+    return accounts.select("id", F.concat_ws(",", countries.free(F.col("location"))).alias("claimed"))
+
+
+@query(f"WITH {_COUNTRIES} SELECT id, {_ORIGIN}::DOUBLE AS strength FROM geo", accounts="accounts")
+def origin_mismatch(accounts):
+    return profile.with_countries(accounts).select("id", profile.origin_strength(CONFIG).cast("double").alias("strength"))
+
+
+_ORG = "coalesce(verified_type IN ('government', 'organization', 'business'), FALSE)"
+_RULES = {
+    "young_account": (0.2, f"CASE WHEN age IS NOT NULL THEN {ramp('age', 730, 90)} END"),
+    "rapid_follower_growth": (0.35, f"CASE WHEN followers >= 300 AND age < 1095 THEN {log_ramp('followers / eff', 3, 100)} END"),
+    "mass_following": (0.25, f"CASE WHEN following >= 500 AND ratio >= 1.2 THEN {log_ramp('ratio', 1.2, 6)} END"),
+    "follow_limit": (0.2, "CASE WHEN following BETWEEN 4900 AND 5100 AND followers < 5000 THEN 0.7 END"),
+    "follow_back_symmetry": (0.2, "CASE WHEN following >= 1000 AND followers >= 1000 AND ratio BETWEEN 0.85 AND 1.15 THEN 0.5 END"),
+    "hyperactive": (0.4, f"CASE WHEN age >= 14 THEN {log_ramp('tweets / eff', 40, 200)} END"),
+    "dormant_audience": (0.35, f"CASE WHEN followers >= 1000 AND tweets < 50 THEN {ramp('tweets', 50, 0)} END"),
+    "like_farming": (0.15, f"CASE WHEN age >= 14 THEN {log_ramp('likes / eff', 300, 1500)} END"),
+    "profile_incomplete": (0.25, "least(1.0, CASE WHEN avatar_url LIKE '%default_profile_images%' THEN 0.6 ELSE 0 END + CASE WHEN trim(coalesce(description, '')) = '' THEN 0.3 ELSE 0 END + CASE WHEN source IN ('rest', 'session') AND coalesce(banner_url, '') = '' THEN 0.15 ELSE 0 END)"),
+    "autogen_handle": (0.15, "CASE WHEN regexp_matches(handle, '^[A-Za-z]+_?[A-Za-z]*[0-9]{5,}$|[0-9]{8,}$') THEN 1.0 END"),
+    "paid_new": (0.15, f"CASE WHEN verified AND age < 180 AND NOT {_ORG} THEN 0.5 END"),
+    "origin_mismatch": (0.3, _ORIGIN),
+    "location_inaccurate": (0.15, f"CASE WHEN NOT location_accurate THEN CASE WHEN list_has_any(list_concat(signup, claimed), {_BLOCKED}) THEN 0.2 ELSE 1.0 END END"),
+    "username_changes": (0.25, f"CASE WHEN username_changes > 0 AND NOT (username_changes = 1 AND coalesce(abs(renamed_us - created_us) < 3 * {DAY}, FALSE)) THEN greatest({ramp('username_changes', 0, 3)}, CASE WHEN age >= 730 AND floor(({AS_OF} - renamed_us) / {DAY}.0) <= 365 THEN 0.7 ELSE 0 END) END"),
+}
+_SIGNALS = (
+    f"{_COUNTRIES}, rates AS (SELECT *, ({AS_OF} - created_us) / 86400e6 AS age, {_EFF} AS eff, following / greatest(followers, 1) AS ratio FROM geo), rules AS ("
+    + " UNION ALL ".join(
+        f"SELECT id, '{k}' AS signal, ({s})::DOUBLE {'* CASE WHEN followers IS NULL THEN 1.0 ELSE ' + ramp('followers', 1_000_000, 200_000) + ' END' if k in profile.AUDIENCE_SIGNALS else ''} * CASE WHEN {_ORG} THEN 0.4 ELSE 1.0 END::DOUBLE AS score, {w}::DOUBLE AS weight FROM rates"
+        for k, (w, s) in _RULES.items()
+    )
+    + "), signals AS (SELECT * FROM rules WHERE score > 0)"
+)
+_SCORES = f"{_SIGNALS}, scores AS (SELECT accounts.id, coalesce(s.score, 0.0)::DOUBLE AS score FROM accounts LEFT JOIN (SELECT id, 1 - product(1 - least(greatest(score * weight, 0), 0.999)) AS score FROM signals GROUP BY id) AS s ON s.id = accounts.id)"
+_LEVEL = "CASE WHEN score >= 0.7 THEN 'very high' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.3 THEN 'moderate' ELSE 'low' END"
+
+
+@query(f"WITH {_SIGNALS} SELECT id, signal, round(score, 6) AS score, weight FROM signals", accounts="accounts")
+def account_signals(accounts):
+    return r6(profile.account_signals(accounts, CONFIG), "score")
+
+
+def _scores(accounts: DataFrame) -> DataFrame:
+    return profile.combine(accounts, "id", profile.account_signals(accounts, CONFIG))
+
+
+@query(f"WITH {_SCORES} SELECT id, round(score, 6) AS score, CASE WHEN abs(score - 0.3) < 1e-9 THEN 'moderate' ELSE {_LEVEL} END AS level FROM scores", accounts="accounts")
+def account_scores(accounts):
+    s = _scores(accounts)
+    return r6(s.withColumn("level", F.when(F.abs(F.col("score") - 0.3) < 1e-9, "moderate").otherwise(exprs.level("score"))), "score")
+
+
+@query(f"WITH {_SCORES} SELECT {_LEVEL} AS level, count(*) AS n FROM scores GROUP BY 1", accounts="accounts")
+def level_histogram(accounts):
+    return _scores(accounts).groupBy(exprs.level("score").alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SIGNALS} SELECT signal, count(*) AS n, round(sum(score), 4) AS total FROM signals WHERE signal IN ('rapid_follower_growth', 'dormant_audience', 'young_account', 'paid_new') GROUP BY 1", accounts="accounts")
+def audience_and_org_discount(accounts):
+    s = profile.account_signals(accounts, CONFIG).where(F.col("signal").isin(*profile.AUDIENCE_SIGNALS))
+    return s.groupBy("signal").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query(f"WITH {_SCORES} SELECT id, seed, score, rank FROM (SELECT accounts.id, seed, round(score, 6) AS score, row_number() OVER (PARTITION BY seed ORDER BY round(score, 9) DESC, accounts.id) AS rank FROM accounts JOIN scores ON scores.id = accounts.id) WHERE rank <= 20", accounts="accounts")
+def top_suspicious(accounts):
+    """The 20 most suspicious accounts of each seed (a top-k report)."""
+    ranked = accounts.select("id", "seed").join(_scores(accounts), "id")
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc(F.round("score", 9)), "id"))
+    return r6(ranked.withColumn("rank", rank).where("rank <= 20").select("id", "seed", "score", "rank"), "score")
+
+
+# parsing
+
+
+@query("SELECT key, CASE WHEN key % 5 = 0 THEN NULL ELSE ((2014282700832612352 + key * 4194304) // 4194304 + 1288834974657) * 1000 END AS us FROM accounts", accounts="accounts")
+def snowflake_decode(accounts):
+    text = F.when(F.col("key") % 5 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise((F.lit(2014282700832612352) + F.col("key") * 4194304).cast("string"))
+    return accounts.select("key", exprs.snowflake_us(text).alias("us"))
+
+
+_RAW_HANDLE = "CASE key % 5 WHEN 0 THEN concat('https://x.com/', handle, '/status/', id) WHEN 1 THEN concat('@', handle) WHEN 2 THEN concat(' ', handle, ' ') WHEN 3 THEN concat('twitter.com/@', handle, '?s=2') ELSE concat(handle, '!') END"
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(b, '^[A-Za-z0-9_]{{1,15}}$') THEN b END AS handle FROM (SELECT id, trim(ltrim(CASE WHEN f <> '' THEN f ELSE v END, '@')) AS b FROM (SELECT id, v, regexp_extract(v, '(?i)(?:x|twitter)\\.com/(?:#!/)?@?([A-Za-z0-9_]{{1,15}})(?:[/?#]|$)', 1) AS f FROM (SELECT id, trim({_RAW_HANDLE}) AS v FROM accounts)))", accounts="accounts")
+def handle_normalize(accounts):
+    return accounts.select("id", exprs.handle(F.expr(_RAW_HANDLE)).alias("handle"))
+
+
+@query(f"SELECT id, CASE WHEN key % 5 = 0 THEN id WHEN key % 5 = 4 THEN NULL ELSE NULL END AS tweet_id FROM accounts", accounts="accounts")
+def tweet_id_parse(accounts):
+    return accounts.select("id", exprs.tweet_id(F.expr(_RAW_HANDLE)).alias("tweet_id"))
+
+
+@query(f"SELECT pos, md5({NORMAL.format(x='text')}) AS digest FROM posts", posts="posts")
+def text_normalize(posts):
+    return posts.select("pos", F.md5(exprs.normalize_text("text").cast("binary")).alias("digest"))
+
+
+# creation windows
+
+
+def _densest(days: int, part: str = "seed", rows: str = "accounts") -> str:
+    w = days * DAY
+    return f"(SELECT {part}, total, count, count / total AS share, start_us, end_us FROM (SELECT {part}, count(*) OVER (PARTITION BY {part}) AS total, c AS count, s AS start_us, created_us AS end_us, row_number() OVER (PARTITION BY {part} ORDER BY c DESC, created_us) AS k FROM (SELECT {part}, created_us, count(*) OVER f AS c, min(created_us) OVER f AS s FROM {rows} WHERE created_us IS NOT NULL WINDOW f AS (PARTITION BY {part} ORDER BY created_us RANGE BETWEEN {w} PRECEDING AND CURRENT ROW))) WHERE k = 1)"
+
+
+def _peak(accounts: DataFrame, days: int) -> DataFrame:
+    return r6(temporal.densest_window(accounts, ["seed"], days, "created_us"), "share")
+
+
+@query(f"SELECT seed, total, count, round(share, 6) AS share, start_us, end_us FROM {_densest(30)}", accounts="accounts")
+def creation_peak_30(accounts):
+    return _peak(accounts, 30)
+
+
+@query(f"SELECT seed, total, count, round(share, 6) AS share, start_us, end_us FROM {_densest(90)}", accounts="accounts")
+def creation_peak_90(accounts):
+    return _peak(accounts, 90)
+
+
+@query("SELECT seed, strftime(make_timestamp(created_us), '%Y-%m') AS month, count(*) AS n FROM accounts WHERE created_us IS NOT NULL GROUP BY ALL", accounts="accounts")
+def monthly_histogram(accounts):
+    return temporal.monthly_histogram(accounts, ["seed"], "created_us")
+
+
+@query(f"SELECT seed, round(avg((created_us >= {CONFIG.recent_since})::INT), 6) AS recent_share FROM accounts WHERE created_us IS NOT NULL GROUP BY seed", accounts="accounts")
+def recent_share(accounts):
+    return r6(temporal.recent_share(accounts, ["seed"], CONFIG.recent_since, "created_us"), "recent_share")
+
+
+def _poisson(k: str, lam: str) -> str:
+    return f"CASE WHEN {k} < {lam} THEN greatest(0.0, 1 - (SELECT sum(exp(-{lam} + i * ln({lam}) - lgamma(i + 1))) FROM generate_series(0, {k} - 1) AS g(i))) ELSE (SELECT sum(exp(-{lam} + i * ln({lam}) - lgamma(i + 1))) FROM generate_series({k}, {k} + 400) AS g(i)) END"
+
+
+@query(f"SELECT kk, lam, CASE WHEN kk <= 0 THEN 1.0 ELSE round(least(1.0, {_poisson('kk', 'lam')}), 9) END AS sf FROM (SELECT DISTINCT key % 60 AS kk, (1 + key % 45)::DOUBLE / 2 AS lam FROM accounts)", accounts="accounts")
+def poisson_tail(accounts):
+    x = accounts.select((F.col("key") % 60).alias("kk"), ((F.col("key") % 45 + 1) / 2).alias("lam")).distinct()
+    return x.withColumn("sf", F.round(exprs.poisson_sf("kk", "lam"), 9))
+
+
+@query("SELECT kk, n, p, round(CASE WHEN kk <= 0 THEN 1.0 WHEN kk > n THEN 0.0 ELSE least(1.0, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))) FROM generate_series(kk, n) AS g(i))) END, 9) AS sf FROM (SELECT DISTINCT key % 50 AS kk, 20 + key % 27 AS n, (1 + key % 19)::DOUBLE / 20 AS p FROM accounts)", accounts="accounts")
+def binom_tail(accounts):
+    x = accounts.select((F.col("key") % 50).alias("kk"), (F.col("key") % 27 + 20).alias("n"), ((F.col("key") % 19 + 1) / 20).alias("p")).distinct()
+    return x.withColumn("sf", F.round(exprs.binom_sf("kk", "n", "p"), 9))
+
+
+_W, _HALF = 7 * DAY, 90 * DAY
+_CAND = f"""fr AS (SELECT seed, created_us AS start_us, row_number() OVER o - 1 AS i, count(*) OVER p AS n, min(created_us) OVER p AS first, max(created_us) OVER p AS final, lag(created_us) OVER o AS prev,
+ count(*) OVER (PARTITION BY seed ORDER BY created_us RANGE BETWEEN CURRENT ROW AND {_W} FOLLOWING) AS count, max(created_us) OVER (PARTITION BY seed ORDER BY created_us RANGE BETWEEN CURRENT ROW AND {_W} FOLLOWING) AS end_us,
+ count(*) OVER (PARTITION BY seed ORDER BY created_us RANGE BETWEEN {_HALF} PRECEDING AND {_W + _HALF} FOLLOWING) AS around
+ FROM accounts WHERE created_us IS NOT NULL WINDOW o AS (PARTITION BY seed ORDER BY created_us), p AS (PARTITION BY seed)),
+lam AS (SELECT *, greatest((around - count) / greatest(least(start_us + {_W + _HALF}, {AS_OF}) - greatest(start_us - {_HALF}, first) - {_W}, {_W})::DOUBLE * {_W}, 0.5) AS expected FROM fr WHERE n >= 30 AND (prev IS NULL OR prev < start_us) AND count >= greatest(5, ceil(0.01 * n))),
+cand AS (SELECT * FROM (SELECT *, {_poisson('count', 'expected')} AS p_value FROM lam) WHERE p_value < 0.001 / greatest((final - first) / {_W}.0, 1.0)),
+num AS (SELECT *, i + count - 1 AS last, row_number() OVER (PARTITION BY seed ORDER BY round(ln(greatest(p_value, 1e-300)), 6), i) AS k FROM cand)"""
+
+
+@query(f"WITH {_CAND} SELECT seed, i, last, count, round(expected, 6) AS expected, start_us, end_us FROM num", accounts="accounts")
+def burst_candidates(accounts):
+    c = temporal.burst_candidates(accounts, ["seed"], AS_OF, ts="created_us")
+    return r6(c.select("seed", "i", "last", "count", "expected", "start_us", "end_us"), "expected")
+
+
+def _bursts(accounts: DataFrame) -> DataFrame:
+    return temporal.creation_bursts(accounts, ["seed"], AS_OF, ts="created_us")
+
+
+@query(accounts="accounts")
+def creation_bursts(accounts):
+    """Greedy choice over p-values; held against brute force in tests, as ties of p below 1e-300 differ between engines."""
+    return r6(_bursts(accounts).drop("p_value"), "expected", "excess_share")
+
+
+@query(accounts="accounts")
+def burst_excess(accounts):
+    return r6(temporal.burst_excess(_bursts(accounts), ["seed"]), "burst_excess")
+
+
+@query(accounts="accounts")
+def follower_map_bands(accounts):
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("key")) - 1
+    b = temporal.follower_map_bands(accounts.withColumn("rank", rank), ["seed"], AS_OF, ts="created_us")
+    return r6(b.drop("p_value"), "share", "density", "lift")
+
+
+# timelines
+
+
+@query("SELECT owner_id, count(*) AS items, count(*) FILTER (kind = 'repost') AS reposts, round(count(*) FILTER (kind = 'repost') / count(*), 6) AS repost_share FROM posts GROUP BY owner_id", posts="posts")
+def timeline_kinds(posts):
+    return behavior.kinds(posts).withColumn("repost_share", F.round(F.col("reposts") / F.col("items"), 6))
+
+
+_TIMED = "SELECT owner_id, created_us, hour(make_timestamp(created_us)) AS h FROM posts WHERE time_is_action AND created_us IS NOT NULL"
+
+
+@query(f"WITH t AS ({_TIMED}), o AS (SELECT DISTINCT owner_id FROM t) SELECT o.owner_id, g.hour::INT AS hour, count(t.h) AS n FROM o CROSS JOIN generate_series(0, 23) AS g(hour) LEFT JOIN t ON t.owner_id = o.owner_id AND t.h = g.hour GROUP BY ALL", posts="posts")
+def hour_histogram(posts):
+    return behavior.hour_histogram(posts)
+
+
+@query(f"WITH t AS (SELECT DISTINCT owner_id, h FROM ({_TIMED})), d AS (SELECT owner_id, h FROM t UNION ALL SELECT owner_id, h + 24 FROM t), g AS (SELECT owner_id, h - lag(h) OVER (PARTITION BY owner_id ORDER BY h) - 1 AS gap FROM d) SELECT owner_id, max(coalesce(gap, 0))::INT AS gap FROM g GROUP BY owner_id", posts="posts")
+def quiet_gap(posts):
+    return behavior.cadence(posts).select("owner_id", F.col("max_quiet_gap_hours").alias("gap"))
+
+
+@query(f"WITH g AS (SELECT owner_id, (created_us - lag(created_us) OVER (PARTITION BY owner_id ORDER BY created_us)) / 1e6 AS gap FROM ({_TIMED})) SELECT owner_id, round(stddev_pop(gap) / avg(gap), 5) AS cv, round(median(gap) / 60, 4) AS median_min FROM g WHERE gap > 0 GROUP BY owner_id HAVING count(*) >= 2", posts="posts")
+def interval_cv(posts):
+    gap = (F.col("created_us") - F.lag("created_us").over(Window.partitionBy("owner_id").orderBy("created_us"))) / 1e6
+    g = behavior.timed(posts).select("owner_id", gap.alias("gap")).where("gap > 0")
+    return g.groupBy("owner_id").agg(F.count("*").alias("c"), F.round(F.stddev_pop("gap") / F.avg("gap"), 5).alias("cv"), F.round(F.median("gap") / 60, 4).alias("median_min")).where("c >= 2").drop("c")
+
+
+@query(f"WITH t AS (SELECT owner_id, {NORMAL.format(x='text')} AS t FROM posts WHERE kind <> 'repost'), c AS (SELECT owner_id, t, count(*) AS c FROM t WHERE length(t) >= 20 GROUP BY ALL) SELECT owner_id, sum(c)::BIGINT AS texts, sum(CASE WHEN c > 1 THEN c ELSE 0 END)::BIGINT AS copies FROM c GROUP BY owner_id", posts="posts")
+def duplicate_share(posts):
+    return behavior.duplicate_share(posts.where("kind <> 'repost'"), ["owner_id"], "text", 20).drop("share")
+
+
+_OFFICIAL = ", ".join(f"'{c}'" for c in behavior.OFFICIAL_CLIENTS)
+
+
+@query(f"SELECT owner_id, count(*) AS client_items, count(*) FILTER (lower(client) NOT IN ({_OFFICIAL})) AS third_party FROM posts WHERE kind <> 'repost' AND client <> '' GROUP BY owner_id", posts="posts")
+def client_share(posts):
+    c = behavior.clients(posts)
+    return c.select("owner_id", "client_items", F.round(F.col("client_items") * F.col("third_party_client_share")).cast("long").alias("third_party"))
+
+
+@query("SELECT owner_id, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY n DESC, first, value) AS rank FROM (SELECT owner_id, target_handle AS value, count(*) AS n, min(pos) AS first FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS DISTINCT FROM owner_id GROUP BY ALL)) WHERE rank <= 10", posts="posts")
+def top_amplified(posts):
+    return behavior.top_amplified(posts)
+
+
+@query(posts="posts", accounts="accounts")
+def behavior_signals(posts, accounts):
+    """Signals over half-even-rounded metrics; tests hold them against plain Python."""
+    owners = accounts.select(F.col("key").alias("id"), "created_us", "tweets")
+    return r6(behavior.behavior_signals(behavior.timeline_metrics(posts), owners, CONFIG), "score")
+
+
+# graph
+
+
+@query("SELECT src, dst FROM edges", edges="edges")
+def follow_edges(edges):
+    """Edges rebuilt from follow lists: each source's followed accounts, and its own entry in theirs."""
+    lists = edges.select(F.col("src").alias("owner_id"), F.lit("following").alias("relation"), F.col("dst").alias("member_id")).unionAll(edges.select("dst", F.lit("followers"), "src"))
+    seeds, expanded = edges.select(F.col("dst").alias("seed_id")), edges.select(F.col("src").alias("account_id"))
+    return network.follow_edges(lists, seeds, expanded)
+
+
+@query("SELECT owner_id AS src, target_id AS dst, count(*) AS weight FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS NOT NULL AND target_id <> owner_id GROUP BY ALL", posts="posts")
+def amplification_edges(posts):
+    return network.amplification_edges(posts)
+
+
+_INSIDE = "inside AS (SELECT a.cluster_id, src, dst FROM edges JOIN members a ON a.member_id = src JOIN members b ON b.member_id = dst AND b.cluster_id = a.cluster_id WHERE src <> dst), prs AS (SELECT cluster_id, least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS k FROM inside GROUP BY ALL), sz AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1)"
+
+
+@query(f"WITH {_INSIDE} SELECT sz.cluster_id, size, coalesce(sum(k), 0)::BIGINT AS n_edges, round(coalesce(sum(k), 0) / (size * (size - 1)), 6)::DOUBLE AS density FROM sz LEFT JOIN prs ON prs.cluster_id = sz.cluster_id GROUP BY sz.cluster_id, size", edges="edges", members="members")
+def cluster_density(edges, members):
+    return r6(network.structure(edges, members).select("cluster_id", "size", "n_edges", "density"), "density")
+
+
+@query(f"WITH {_INSIDE} SELECT sz.cluster_id, count(k) AS linked, count(*) FILTER (k = 2) AS mutual, round(CASE WHEN count(k) > 0 THEN count(*) FILTER (k = 2) / count(k) ELSE 0 END, 6)::DOUBLE AS reciprocity FROM sz LEFT JOIN prs ON prs.cluster_id = sz.cluster_id GROUP BY 1", edges="edges", members="members")
+def reciprocity(edges, members):
+    return r6(network.structure(edges, members).select("cluster_id", "linked", "mutual", "reciprocity"), "reciprocity")
+
+
+_SETS = "s AS (SELECT cluster_id AS grp, src AS owner, list(DISTINCT dst) AS items FROM edges JOIN members ON member_id = src GROUP BY ALL)"
+
+
+def _jaccard_sets(edges, members):
+    return edges.join(members.withColumnRenamed("member_id", "src"), "src").select(F.col("cluster_id").alias("grp"), F.col("src").alias("owner"), F.col("dst").alias("item"))
+
+
+@query(f"WITH {_SETS}, n AS (SELECT grp, count(*) AS n_sets FROM s GROUP BY grp), j AS (SELECT a.grp, avg(len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items)))) AS m FROM s a JOIN s b ON a.grp = b.grp AND a.owner < b.owner GROUP BY 1) SELECT n.grp, n_sets, round(m, 6) AS mean_jaccard FROM n LEFT JOIN j ON j.grp = n.grp", edges="edges", members="members")
+def mean_pairwise_jaccard(edges, members):
+    return r6(network.mean_pairwise_jaccard(_jaccard_sets(edges, members), None), "mean_jaccard")
+
+
+@query("WITH f AS (SELECT DISTINCT cluster_id, src, dst FROM edges JOIN members ON member_id = src), c AS (SELECT cluster_id, dst AS target, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.cluster_id = f.cluster_id AND m.member_id = f.dst) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, target) AS rank FROM c) SELECT r.cluster_id, target, n, rank FROM r JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) s ON s.cluster_id = r.cluster_id WHERE rank <= 15 AND n >= greatest(2, ceil(size / 8))", edges="edges", members="members")
+def shared_targets(edges, members):
+    """The rule's threshold is half of a cluster; an eighth here, so that the sparse graph of the tables has some."""
+    lists = edges.select(F.col("src").alias("owner_id"), F.lit("following").alias("relation"), F.col("dst").alias("member_id"))
+    return network.shared_targets(lists, members, least_share=0.125)
+
+
+@query("WITH sd AS (SELECT DISTINCT src AS seed_id FROM edges WHERE src % 10 = 1), t AS (SELECT cluster_id, seed_id, member_id AS m, bool_or(edges.src = seed_id) AS o, bool_or(edges.dst = seed_id) AS i FROM sd JOIN edges ON edges.src = seed_id OR edges.dst = seed_id JOIN members ON member_id = CASE WHEN edges.src = seed_id THEN edges.dst ELSE edges.src END GROUP BY ALL), k AS (SELECT cluster_id, seed_id, count(*) FILTER (o AND i) AS mutual, count(*) FILTER (o AND NOT i) AS follows, count(*) FILTER (i AND NOT o) AS followed_by FROM t GROUP BY ALL) SELECT k.*, round(" + ramp("(2 * mutual + follows + followed_by) / (2.0 * size)", 0.15, 0.6) + ", 6) AS attachment FROM k JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) s ON s.cluster_id = k.cluster_id", edges="edges", members="members")
+def seed_ties(edges, members):
+    seeds = edges.where("src % 10 = 1").select(F.col("src").alias("seed_id"))
+    return r6(network.seed_ties(edges, members, seeds), "attachment")
+
+
+@query("WITH g AS (SELECT owner_id, member_id, count(*) AS c FROM lists WHERE relation = 'following' GROUP BY ALL), f AS (SELECT DISTINCT owner_id, member_id FROM lists WHERE relation = 'followers') SELECT g.owner_id, round(count(f.member_id) / sum(c), 6)::DOUBLE AS mutual_share FROM g LEFT JOIN f ON f.owner_id = g.owner_id AND f.member_id = g.member_id WHERE g.owner_id IN (SELECT owner_id FROM f) GROUP BY 1", lists="lists")
+def mutual_share(lists):
+    return r6(network.mutual_share(lists), "mutual_share")
+
+
+@query("WITH s AS (SELECT owner_id, list(DISTINCT member_id) AS m FROM lists WHERE relation = 'followers' GROUP BY 1) SELECT a.owner_id AS a, b.owner_id AS b, len(list_intersect(a.m, b.m))::BIGINT AS shared, round(len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m))), 6) AS jaccard FROM s a JOIN s b ON a.owner_id < b.owner_id WHERE len(list_intersect(a.m, b.m)) > 0", lists="lists")
+def list_overlap(lists):
+    return r6(network.list_overlap(lists, "followers"), "jaccard")
+
+
+@query("WITH s AS (SELECT owner_id AS owner, list(DISTINCT target_post_id) AS items FROM posts WHERE kind = 'repost' GROUP BY 1), p AS (SELECT a.owner % 5 AS grp, len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) AS j FROM s a JOIN s b ON a.owner < b.owner AND a.owner % 5 = b.owner % 5) SELECT grp, n_sets, round(avg(j), 6) AS mean_jaccard FROM p JOIN (SELECT owner % 5 AS grp, count(*) AS n_sets FROM s GROUP BY 1) n USING (grp) GROUP BY ALL", posts="posts")
+def co_amplification(posts):
+    sets = posts.where("kind = 'repost' and target_post_id is not null").select((F.col("owner_id") % 5).alias("grp"), F.col("owner_id").alias("owner"), F.col("target_post_id").alias("item")).distinct()
+    return r6(network.mean_pairwise_jaccard(sets, None), "mean_jaccard")
+
+
+@query(f"WITH t AS (SELECT owner_id AS grp, pos, {NORMAL.format(x='text')} AS t FROM posts WHERE kind = 'reply' AND owner_id % 10 = 3), g AS (SELECT grp, pos, {GRAMS} AS g FROM t WHERE length(t) >= 3), n AS (SELECT grp, count(*) AS n_texts FROM g GROUP BY 1), p AS (SELECT a.grp, avg((len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.7)::INT) AS share FROM g a JOIN g b ON a.grp = b.grp AND a.pos < b.pos GROUP BY 1) SELECT n.grp, n_texts, CASE WHEN n_texts >= 3 THEN round(share, 6) END AS share FROM n LEFT JOIN p ON p.grp = n.grp", posts="posts")
+def near_duplicate_share(posts):
+    """Of each tenth user's replies, a cluster of texts each."""
+    texts = posts.where("kind = 'reply' and owner_id % 10 = 3").select(F.col("owner_id").alias("grp"), "pos", "text")
+    return r6(network.near_duplicate_share(texts, 0.7, 3, None), "share")
+
+
+_CORE = "e AS (SELECT src, dst FROM edges JOIN members a ON a.member_id = src JOIN members b ON b.member_id = dst), s AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e)"
+
+
+@query(f"WITH RECURSIVE {_CORE}, walk(node, seen) AS (SELECT DISTINCT x, x FROM s UNION SELECT y, seen FROM walk JOIN s ON x = node) SELECT node, min(seen) AS component FROM walk GROUP BY node", edges="edges", members="members")
+def connected_components_core(edges, members):
+    core = edges.join(members.select(F.col("member_id").alias("src")), "src").join(members.select(F.col("member_id").alias("dst")), "dst")
+    return connected_components(core, "src", "dst")
