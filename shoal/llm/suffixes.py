@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from shoal.llm.common import read, table
 from shoal.llm.induced import suffix_order
+from shoal.sources.shared import dropping_shuffles
 
-LENGTH, GRAM, RUN = 50, 16, 64
+LENGTH, GRAM, RUN = 50, 24, 64
 LAST = (1 << 63) - 1
 
 
@@ -37,10 +38,11 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < 1:
         return (np.empty(0, np.int64),) * 3
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    h = eight[: -8 or None] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h += eight[8:]
-    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h = eight[: 8 - GRAM] * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(8, GRAM, 8):
+        h ^= h >> np.uint64(32)
+        h += eight[k : len(eight) - GRAM + 8 + k]
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x165667B19E3779F9)
     low, span, width = h, 1, LENGTH - GRAM + 1
@@ -181,10 +183,12 @@ def deduplicate(docs: DataFrame, group_mb: int = 48, shard: int = 60_000, memory
     firsts = base.groupBy("h").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
     hits = shared_anchors(keyed, int(size // (group_mb << 20)) + 1).groupBy("h").agg(F.collect_list("keys").alias("keys"))
     wanted = hits.join(firsts, "h").select(F.col("first").alias("ord"), "h", "keys")
-    texts = table(keyed.select("ord", "h", "text").join(wanted, ["ord", "h"]))
-    merged = table(fragments(texts, True).groupBy("key", "fragment").agg(F.min("ord").alias("first")))
-    shards = int(merged.count() // shard) + 1
-    sorted_ = merged.select("key", F.xxhash64("fragment").alias("f"), "fragment", "first").repartition(shards, "key").mapInArrow(lambda b: sort_shard(b, memory), "key long, f long, first long, runs array<struct<a:int,z:int>>")
+    with dropping_shuffles(docs.sparkSession):
+        texts = table(keyed.select("ord", "h", "text").join(wanted, ["ord", "h"]))
+        merged = table(fragments(texts, True).groupBy("key", "fragment").agg(F.min("ord").alias("first")))
+        shards = int(merged.count() // shard) + 1
+        sorted_ = merged.select("key", F.xxhash64("fragment").alias("f"), "fragment", "first").repartition(shards, "key").mapInArrow(lambda b: sort_shard(b, memory), "key long, f long, first long, runs array<struct<a:int,z:int>>")
+        sorted_ = table(sorted_)
     at = fragments(texts, False).join(sorted_, ["key", "f"])
     every = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - LENGTH + 1).alias("z")))
     runs = F.when(F.col("ord") > F.col("first"), every).otherwise(F.col("runs"))
