@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoal.functions.config import Config
 from shoal.functions.exprs import DAY_US, days_between, ramp, rounded
 from shoal.operators import temporal
+from shoal.sources.shared import cut
 
 KEYS = ["owner_id", "relation"]
 
@@ -21,6 +22,7 @@ def dated_lists(lists: DataFrame, accounts: DataFrame) -> DataFrame:
 def summary(lists: DataFrame, accounts: DataFrame, meta: DataFrame, cfg: Config) -> DataFrame:
     """owner_id, relation, sampled, total, recent_share, peaks, bursts, bands, botlike_share, median_age_days."""
     rows = dated_lists(lists, accounts).join(meta.select(F.col("id").alias("member_id"), F.col("score").alias("_meta")), "member_id", "left")
+    rows = cut(rows)
     sizes = rows.groupBy(*KEYS).agg(
         F.count("*").alias("sampled"),
         F.count("created_us").alias("dated"),
@@ -34,8 +36,8 @@ def summary(lists: DataFrame, accounts: DataFrame, meta: DataFrame, cfg: Config)
     aged = dated.where(F.col("created_us") < cfg.as_of - cfg.fresh_signup_days * DAY_US)
     for part, days, name in ((dated, cfg.creation_window_days, "peak"), (aged, cfg.creation_window_days, "aged_peak"), (dated, 90, "peak90")):
         out = out.join(temporal.densest_window(part, KEYS, days, "created_us").select(*KEYS, F.col("share").alias(name), F.col("count").alias(f"{name}_count")), KEYS, "left")
-    bursts = temporal.creation_bursts(dated, KEYS, cfg.as_of, cfg.fresh_signup_days, "created_us", window=cfg.burst_window_days, background=cfg.burst_background_days, alpha=cfg.burst_alpha)
-    bands = temporal.follower_map_bands(dated, KEYS, cfg.as_of, cfg.creation_window_days, cfg.band_min_fraction, cfg.band_min_lift, cfg.fresh_signup_days, cfg.burst_alpha, "created_us")
+    bursts = cut(temporal.creation_bursts(dated, KEYS, cfg.as_of, cfg.fresh_signup_days, "created_us", window=cfg.burst_window_days, background=cfg.burst_background_days, alpha=cfg.burst_alpha))
+    bands = cut(temporal.follower_map_bands(dated, KEYS, cfg.as_of, cfg.creation_window_days, cfg.band_min_fraction, cfg.band_min_lift, cfg.fresh_signup_days, cfg.burst_alpha, "created_us"))
     hard = bands.where("not fresh").groupBy(*KEYS).agg(F.sum("size").alias("_banded"), F.count("*").alias("n_bands"))
     out = out.join(temporal.burst_excess(bursts, KEYS).withColumnRenamed("largest", "largest_burst"), KEYS, "left").join(hard, KEYS, "left")
     return out.withColumn("band_share", F.coalesce("_banded", F.lit(0)) / F.greatest(F.col("dated"), F.lit(1))).drop("_banded").na.fill(0, ["burst_excess", "n_bursts", "n_bands"])

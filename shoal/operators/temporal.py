@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.exprs import DAY_US, binom_sf, poisson_sf
+from shoal.sources.shared import cut
 
 
 def _by(keys):
@@ -103,7 +104,7 @@ def follower_map_bands(rows: DataFrame, keys: list[str], as_of: int, window_days
     tries = F.floor((F.col("n") - F.col("len")) / F.col("step")) + 1
     sized = runs.select(*keys, "s", "ts", "len", "n", (F.lit(alpha) / tries).alias("limit"))
     best = densest_window(sized, [*keys, "s", "len", "n", "limit"], window_days)
-    best = best.where(F.col("count") / F.col("len") >= least_fraction)
+    best = cut(best.where(F.col("count") / F.col("len") >= least_fraction))
     base = _share_in(best, dated.select(*keys, "ts"), keys, w)
     lift = (F.col("count") / F.col("len")) / F.col("base")
     hit = base.where(lift >= least_lift).withColumn("p_value", binom_sf("count", "len", "base")).where(F.col("p_value") < F.col("limit"))
@@ -111,7 +112,7 @@ def follower_map_bands(rows: DataFrame, keys: list[str], as_of: int, window_days
     ends = F.col("s") + F.col("len") - 1
     hit = hit.select(*keys, "s", ends.alias("e"), F.max(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
     bands = hit.withColumn("band", F.sum(F.when(F.col("s") > F.coalesce(F.col("reach"), F.lit(-2)) + 1, 1).otherwise(0)).over(order))
-    bands = bands.groupBy(*keys, "band").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    bands = cut(bands.groupBy(*keys, "band").agg(F.min("s").alias("s"), F.max("e").alias("e")))
     inside = dated.join(bands, keys).where("idx between s and e")
     spans = inside.groupBy(*keys, "band").agg(F.min("rank").alias("rank_start"), F.max("rank").alias("rank_end"), F.count("*").alias("run"), F.max("n").alias("n"))
     dense = densest_window(inside.select(*keys, "band", "ts"), [*keys, "band"], window_days).join(spans, [*keys, "band"])
