@@ -1,0 +1,332 @@
+"""Edge cases and brute-force versions of the ten operators on small tables."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from shoal.llm import decontaminate, induced, language, licenses, mixing, pii, quality, secrets, simhash, suffixes, toxicity
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def pairs(edge):
+    return [(r.doc_id, r.text) for r in edge.collect()]
+
+
+# 1
+
+
+def test_mixing(spark, edge, nothing):
+    docs = mixing.topics(edge)
+    out = mixing.mix(docs)
+    assert out.count() == edge.count() and mixing.mix(mixing.topics(nothing)).count() == 0
+    big = spark.createDataFrame([(i, "a" if i % 3 else "b", "en" if i % 5 else None, "t", 10 + i % 7) for i in range(600)], "doc_id long, source string, lang string, topic string, n_tokens long")
+    goal = {"source": spark.createDataFrame([("a", 0.3), ("b", 0.7)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.5), (None, 0.5)], "lang string, share double")}
+    got = mixing.mix(big, goal, keep=0.4).toPandas()
+    mass = got.weight * got.n_tokens
+    assert abs(mass[got.source == "b"].sum() / mass.sum() - 0.7) < 1e-3 and abs(mass[got.lang.isna()].sum() / mass.sum() - 0.5) < 1e-3
+    assert abs((got.probability * got.n_tokens).sum() / got.n_tokens.sum() - 0.4) < 0.01 and abs(got.sampled.mean() - 0.4) < 0.1
+
+
+# 2
+
+
+def test_quality(spark, edge, nothing):
+    got = {(r.doc_id, r.n_words): r for r in quality.judge(edge).collect()}
+    assert quality.judge(nothing).count() == 0 and sum(1 for _ in quality.judge(edge).collect()) == edge.count()
+    for i, text in pairs(edge):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        r = got[i, len(words)]
+        grams = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        hit = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(8)} if len(words) < 500 else set(range(len(words)))
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit))
+        assert r.base_failed == (len(words) < 20 or 100 * len(hit) > 30 * len(words))
+
+
+def test_quality_hosts(spark):
+    good, bad = " ".join(f"word{i}" for i in range(40)), "###### " * 3 + " ".join(f"w#{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, bad if h == "bad" and i % 10 else good, h) for i, h in enumerate(["bad"] * 50 + ["good"] * 50 + ["fine"] * 50)], "doc_id long, text string, source string")
+    got = quality.judge(docs).toPandas()
+    assert got.host_failed.sum() == 50 and set(got.doc_id[got.host_failed]) == set(range(50)) and got.kept.sum() == 100
+
+
+# 3
+
+
+def brute_removal(items):
+    first = {}
+    for i, b in items:
+        for k in range(len(b) - 49):
+            s = b[k : k + 50]
+            first[s] = min(first.get(s, i), i)
+    out = []
+    for i, b in items:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_suffix_dedup(spark, edge, nothing):
+    assert suffixes.deduplicate(nothing).count() == 0
+    rng = random.Random(2)
+    words = [bytes(rng.choices(b"abcdefgh", k=rng.randint(2, 7))) for _ in range(60)]
+    base = [b" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(25)]
+    made = base + [b[: len(b) // 2] + b"#" + rng.choice(base)[5:] for b in base] + base[:4] + [b"ab" * 300, b"ab" * 200]
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(made)], "doc_id long, text string").unionByName(edge.select("doc_id", "text"))
+    items = [(2**63 - 1 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    got = suffixes.deduplicate(docs, shard=40, memory=300)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_removal(items)
+
+
+@pytest.mark.parametrize("memory", [1 << 20, 3])
+def test_induced_order(memory):
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = [[rng.randint(1, rng.choice([1, 2, 9])) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 7))]
+        t = np.array(sum(([*p, 0] for p in parts), []))
+        places, lcps = induced.suffix_order(t, memory)
+        text = [tuple(t[i : i + list(t[i:]).index(0)]) for i in places]
+        assert text == sorted(text) and len(text) == sum(map(len, parts))
+        for a, b, n in zip(text, text[1:], lcps[1:]):
+            assert n == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+# 4
+
+
+def test_simhash(spark, edge, nothing):
+    assert simhash.near_duplicates(nothing).count() == 0
+    docs = [(r.doc_id, r.text) for r in edge.collect()] + [(100 + i, f"some words that vary a little bit number {i % 3} in a text of words " * 4) for i in range(9)]
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    prints = {}
+    for i, t in docs:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        prints[i, t] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    todo, expected = list(prints), []
+    while todo:
+        part, todo = [todo[0]], todo[1:]
+        for x in part:
+            near = [y for y in todo if bin(prints[x] ^ prints[y]).count("1") <= 3]
+            part += near
+            todo = [y for y in todo if y not in near]
+        least = min((i for i, _ in part if i is not None), default=None)
+        expected += [(i, f"{prints[i, t]:016x}", least) for i, t in part for d in docs if d == (i, t)]
+    assert rows(got) == sorted(expected, key=str)
+
+
+def test_simhash_shards():
+    """Small shards and blocks of near fingerprints: no link is lost."""
+    rng = np.random.default_rng(1)
+    points = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
+    near = points[:700] ^ (np.uint64(1) << rng.integers(0, 63, 700).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 700).astype(np.uint64))
+    points = np.unique(np.concatenate([points, near]))
+    tree = simhash.grow(points[:600], len(points) / 600, 400, rng)
+    assert tree is not None
+    a, b = np.nonzero(np.bitwise_count(points[:, None] ^ points) <= 3)
+    want = simhash.roots(len(points), a, b)
+    links = [(at[x], at[y]) for _, at in simhash.deal(points, tree) for x, y in zip(*simhash.shard_links(points[at]))]
+    assert (simhash.roots(len(points), *map(np.array, zip(*links))) == want).all()
+
+
+# 5
+
+
+def test_licenses(spark, edge, nothing):
+    assert licenses.scan(nothing).count() == 0 and licenses.scan(edge).count() == edge.count()
+    texts = ["Released under the MIT-License. the mit license", "Licensed under the Apache License, Version 2.0.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "this is the end of the text", "Licensed under CC BY-NC 4.0", None]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels, got[0].labels) == (2, 3, 6, "mit", "mit")
+    assert got[1].labels == "apache" and got[1].score == 1.0
+    assert got[2].base_labels == "" and got[2].labels == "mit" and got[2].spans[0].start == 0 and got[2].spans[0].end == got[2].n_words
+    assert (got[3].labels, got[3].score, got[3].first_word) == ("", 0.0, None)
+    assert got[4].labels == "cc-by,cc-by-nc" and got[5].n_words == 0
+
+
+def test_suffix_automaton():
+    rng = random.Random(3)
+    for _ in range(50):
+        seqs = [[rng.randint(0, 3) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        a = licenses.Automaton(seqs)
+        text = [rng.randint(0, 3) for _ in range(15)]
+        subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        long = [max([0, *(n for n in range(1, e + 1) if tuple(text[e - n : e]) in subs)]) for e in range(len(text) + 1)] + [0]
+        want = [(e, long[e]) for e in range(1, len(text) + 1) if long[e] >= 2 and long[e + 1] <= long[e]]
+        got = list(a.matches(text, 2))
+        assert [(e, n) for e, n, _ in got] == want
+        for e, n, state in got:
+            places = {(k, j) for k, s in enumerate(seqs) for j in range(n - 1, len(s)) if s[j - n + 1 : j + 1] == text[e - n : e]}
+            assert a.ends[state] == places
+
+
+# 6
+
+
+def test_secrets(spark, edge, nothing):
+    model = secrets.learn(edge)
+    assert secrets.scan(nothing, model).count() == 0 and secrets.redact(nothing, model).count() == 0
+    texts = ['then token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and', "see 4736962573099581 for more", "id: 123e4567-e89b-12d3-a456-426614174000, and", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.scan(docs, model).collect()
+    assert [(r.doc_id, r.start, r.end) for r in got] == [(0, 14, 54)]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
+    assert clean[0] == 'then token = "[SECRET]" and' and clean[1] == texts[1] and clean[3] is None
+    assert sorted(map(str, secrets.redact(edge, model).columns)) == sorted(edge.columns)
+
+
+def test_forest_held_out():
+    found = secrets.made_up(300, seed=1)
+    x, y = np.array([secrets.features(t, a, b, frozenset()) for t, a, b, _ in found]), np.array([f[3] for f in found])
+    trees = secrets.forest(x, y)
+    other = secrets.made_up(100, seed=2)
+    right = sum((secrets.vote(trees, secrets.features(t, a, b, frozenset())) >= 0.5) == bool(z) for t, a, b, z in other)
+    assert right / len(other) > 0.97
+
+
+# 7
+
+
+def test_myers():
+    rng = random.Random(6)
+    for _ in range(200):
+        p, t, most = "".join(rng.choices("abc", k=rng.randint(1, 9))), "".join(rng.choices("abc", k=rng.randint(0, 20))), rng.randint(0, 4)
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p):
+            new = [i + 1]
+            for j, d in enumerate(t):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        best = min(row[1:], default=99)
+        got = decontaminate.myers(p, t, most)
+        assert (got is None) == (best > most) and (got is None or got == (best, row[1:].index(best) + 1))
+
+
+def test_decontaminate(spark, edge, nothing):
+    item = "the onou and ersh ntedly esha onerbleretion thonthwh onblees antion edhash thednt anesat and esing thatly eron ing"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "the"), (5, item.upper()), (6, "another item that stands nowhere at all in here")], "item_id long, text string")
+    edited = item.replace("esha", "eshha").replace("antion", "ntion")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"x\n{edited}  y"), (3, item[: len(item) // 2]), (4, None), (5, item.replace(" ", " zz "))], "doc_id long, text string")
+    assert rows(decontaminate.contaminated(docs, bench)) == [(1, 1, 0, 1), (1, 5, 0, 1), (2, 1, 2, 1), (2, 5, 2, 1)]
+    assert rows(decontaminate.contaminated(docs, bench, block_chars=100)) == rows(decontaminate.contaminated(docs, bench))
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5]
+    assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(edge, bench.limit(0)).count() == 0
+    assert decontaminate.clean(edge, bench).count() == edge.count()
+
+
+# 8
+
+
+def toxic_corpus(n, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["th", "an", "re", "on", "ing", "ea", "st"]) for _ in range(rng.randint(1, 3)))
+    texts, y = [], []
+    for i in range(n):
+        words = [word() for _ in range(rng.randint(5, 120))]
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["blorgish", "vexmurk" + word(), "gnashtool"]))
+        texts.append(" ".join(words))
+        y.append(int(i % 3 == 0))
+    return texts, np.array(y)
+
+
+def test_toxicity_held_out():
+    model = toxicity.train(*toxic_corpus(400, 1))
+    texts, y = toxic_corpus(150, 2)
+    got = toxicity.Scorer(model)(texts)
+    assert ((got >= 0.3) == y).mean() > 0.93
+    one_by_one = np.concatenate([toxicity.Scorer(model)([t]) for t in texts[:20]])
+    assert np.allclose(one_by_one, got[:20], atol=1e-5)  # batches don't change a score
+
+
+def test_toxicity_gradients():
+    """Backpropagation against finite differences."""
+    texts, y = toxic_corpus(8, 3)
+    model = {k: v.astype(np.float64) for k, v in toxicity.train(texts, y, epochs=1, least=1).items()}
+    words = sorted({w for t in texts for w in t.split()})
+    own, grams, starts = toxicity.word_features(words)
+    size = np.diff(np.append(starts, grams.shape[1]))
+    ids = np.array([[words.index(w) + 1 for w in (t.split() * 9)[: toxicity.WINDOW]] for t in texts])
+    real, target = np.ones(ids.shape, bool), y.astype(float)
+
+    def loss(p):
+        x = toxicity.inputs(p, words)
+        z = toxicity.forward(p, toxicity.step_gates(toxicity.project(p, x), ids), real)
+        return float(np.mean(np.log1p(np.exp(z)) - target * z))
+
+    g = toxicity.gradients(model, own, grams, starts, size, ids, real, target)
+    rng = np.random.default_rng(0)
+    for k in ("in", "rec", "att", "out", "b"):
+        at = tuple(rng.integers(0, s) for s in model[k].shape)
+        moved = []
+        for d in (1e-2, -1e-2):
+            q = dict(model)
+            q[k] = model[k].copy()
+            q[k][at] += d
+            moved.append(loss(q))
+        assert abs((moved[0] - moved[1]) / 2e-2 - g[k][at]) < 2e-3 + 0.1 * abs(g[k][at]), k
+
+
+def test_toxicity_edges(spark, edge, nothing, labels):
+    got = toxicity.flag(edge, labels).collect()
+    assert len(got) == edge.count() and toxicity.flag(nothing, labels).count() == 0
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert toxicity.reject(edge, labels.limit(0)).count() == edge.count()
+    assert toxicity.Scorer(toxicity.train(*toxic_corpus(12, 1)))([None, "", "..."]).tolist() == [0, 0, 0]
+
+
+# 9
+
+
+def test_language(spark, edge, nothing):
+    rng = random.Random(8)
+    syll = {"xx": ["tak", "lor", "min"], "yy": ["eau", "que", "oui"], "zz": ["sch", "ung", "ein"]}
+    docs = [(i, " ".join("".join(rng.choices(syll[k], k=2)) for _ in range(rng.randint(5, 600))), k) for i, k in enumerate(rng.choices(list(syll), k=200))]
+    df = spark.createDataFrame([*docs, (900, None, "xx"), (901, "123 !?", "yy"), (902, "takmin lortak", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in docs if got[i].held_out)
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "xx" and all(0 <= r.score <= 1 for r in got.values())
+    assert language.identify(edge).count() == edge.count() and language.identify(nothing).count() == 0
+    assert {r.lang_pred for r in language.identify(edge.where("lang is null")).collect()} == {"und"}
+
+
+# 10
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text):
+    def luhn(d):
+        x = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return sum(v - 9 if v > 9 else v for v in x) % 10 == 0
+
+    spans, count = [], []
+    for k, (kind, p) in enumerate(PATTERNS.items()):
+        found = 0
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                spans.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+                found += 1
+        count.append(found)
+    return (*count, hashlib.sha256(",".join(s[2] for s in sorted(spans)).encode()).hexdigest())
+
+
+def test_pii(spark, edge, nothing):
+    rng = random.Random(9)
+    made = ["".join(rng.choices("0123456789.-+@ a()", k=rng.randint(0, 80))) for _ in range(300)] + ["a@b.co%c@d.com", "1.2.3.4.5.6.7.8", "x1.2.3.4", "4111 1111 1111 1111-", "1" * 5000, "a" * 20_000, "é a@b.cd 4111111111111111", "+1+2 345-678-901 23"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").unionByName(edge.select("doc_id", "text"))
+    got = sorted((r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.detect(docs).collect())
+    assert got == sorted(brute_pii(r.text or "") for r in docs.collect())
+    assert pii.detect(nothing).count() == 0 and pii.detect(edge.where("doc_id < 5")).count() == edge.where("doc_id < 5").count()

@@ -1,0 +1,41 @@
+"""The pipeline against plain versions of its stages on the smallest table."""
+
+import corpus_pipeline
+from shoal.llm import decontaminate, queries, simhash
+from shoal.llm.common import read
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = read(spark, SF, "documents")
+    names = docs.columns
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        kept.append({r.doc_id: r for r in docs.collect()})
+        if name != "mixing":
+            assert docs.columns == names
+    toxic, single, clean, masked, mixed = kept
+    prints = {i: simhash.fingerprint(r.text) for i, r in toxic.items()}
+    for i in toxic:  # one document of each component stays: the smallest
+        part, todo = [i], set(toxic) - {i}
+        for x in part:
+            near = {y for y in todo if bin((prints[x] ^ prints[y]) & (1 << 64) - 1).count("1") <= 3}
+            part += sorted(near)
+            todo -= near
+        assert (i in single) == (i == min(part))
+    items = [decontaminate.normal(r.text) for r in read(spark, SF, "benchmark").collect()]
+    for i, r in single.items():
+        if any(t in decontaminate.normal(r.text) for t in items):
+            assert i not in clean
+    assert set(masked) == set(clean) and all(r.n_chars == len(r.text) for r in masked.values())
+    assert not any('token = "' in r.text and "[SECRET]" not in r.text for r in masked.values())
+    assert set(mixed) <= set(masked) and 0.2 < len(mixed) / len(masked) < 0.9
+
+
+def test_registered(spark):
+    import __spark_entry__ as entry
+
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
