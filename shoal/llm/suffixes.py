@@ -3,9 +3,9 @@
 Bytes are removed where a string of LENGTH bytes covers them that also starts
 in a document with a smaller doc_id.  Equal strings have equal smallest gram
 hashes, so a document's places are grouped into runs with one such anchor.
-Anchors found in more than one text give the fragments worth sorting; equal fragments are merged
-with their smallest doc_id before the shuffle, and all fragments of an anchor
-meet in one shard.  Each shard's fragments are suffix-sorted (`induced`):
+Anchors found in more than one text give the fragments worth sorting; equal
+fragments are merged with their smallest doc_id before the shuffle and again as a
+shard reads them, and all fragments of an anchor meet in one shard.  Each shard's fragments are suffix-sorted (`induced`):
 neighbours with a common prefix of LENGTH or more hold the same string, and the
 smallest doc_id among them decides.  Exact copies of whole texts take part
 only as their first document.
@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,47 +89,91 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
         more = np.minimum.reduceat(of, head) != np.maximum.reduceat(of, head)
         keep = np.repeat(more, np.diff(np.append(head, len(key))))
         key, of = key[keep], of[keep]
+        return packed(of, key)
+
+    def gather(t: pa.Table) -> pa.Table:
+        of = np.frombuffer(b"".join(t.column("of").to_pylist()), np.int64)
+        key = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64)
         order = np.argsort(of, kind="stable")
         key, of = key[order], of[order]
         at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
         return pa.table({"h": of[at], "keys": pa.array([np.unique(x).tobytes() for x in np.split(key, at[1:])] if len(at) else [], pa.binary())})
 
-    return docs.select("h", "text").mapInArrow(emit, "g int, keys binary, of binary").groupBy("g").applyInArrow(find, "h long, keys binary")
+    def packed(of: np.ndarray, key: np.ndarray) -> pa.Table:
+        """One row for each group of texts."""
+        group = (of.view(np.uint64) >> np.uint64(8)).astype(np.int64) % groups
+        order = np.argsort(group, kind="stable")
+        key, of, group = key[order], of[order], group[order]
+        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+        cut = list(zip(at, [*at[1:], len(group)]))
+        return pa.table({"g": group[at].astype(np.int32), "keys": pa.array([key[a:b].tobytes() for a, b in cut], pa.binary()), "of": pa.array([of[a:b].tobytes() for a, b in cut], pa.binary())})
+
+    row = "g int, keys binary, of binary"
+    return docs.select("h", "text").mapInArrow(emit, row).groupBy("g").applyInArrow(find, row).groupBy("g").applyInArrow(gather, "h long, keys binary")
+
 
+def held_runs(batch: pa.RecordBatch):
+    """(row, text, anchors, first places, last places) of the runs whose anchor is shared. batch: ord, h, text, keys."""
+    for i, (text, keys) in enumerate(zip(batch.column(2), batch.column(3))):
+        raw = text.as_py()
+        key, first, last = anchors(raw)
+        at = np.isin(key, np.frombuffer(keys.as_py(), np.int64))
+        if at.any():
+            yield i, raw, key[at], first[at], last[at]
 
-def fragments(texts: DataFrame, whole: bool) -> DataFrame:
-    """The runs whose anchor is shared: key, f (fragment hash), and with whole the fragment and its document's order, else the row it stands in. texts: ord, h, text, keys."""
+
+def fragments(texts: DataFrame) -> DataFrame:
+    """key, fragment, ord: shared runs' bytes, equal ones of a batch as one with the smallest ord. texts: ord, h, text, keys."""
 
     def emit(batches):
         for b in batches:
-            cols = [b.column(i) for i in range(4)]
-            for i in range(len(b)):
-                raw = cols[2][i].as_py()
-                key, first, last = anchors(raw)
-                at = np.flatnonzero(np.isin(key, np.frombuffer(b"".join(cols[3][i].as_py()), np.int64)))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[at]), pa.array([raw[a : z + LENGTH] for a, z in zip(first[at], last[at])], pa.binary()), pa.array(np.full(len(at), cols[0][i].as_py())), pa.array(np.full(len(at), cols[1][i].as_py())), pa.array(first[at].astype(np.int32))],
-                        ["key", "fragment", "ord", "h", "at"],
-                    )
+            for i in range(0, len(b), 512):
+                part = b.slice(i, 512)
+                ords, best, key_of = part.column(0).to_pylist(), {}, {}
+                for row, raw, key, first, last in held_runs(part):
+                    for k, a, z in zip(key.tolist(), first.tolist(), last.tolist()):
+                        f = raw[a : z + LENGTH]
+                        if ords[row] < best.get(f, LAST + 1):
+                            best[f] = ords[row]
+                            key_of[f] = k
+                if best:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(key_of.values()), pa.int64()), pa.array(list(best), pa.binary()), pa.array(list(best.values()), pa.int64())], ["key", "fragment", "ord"])
+
+    return texts.select("ord", "h", "text", "keys").mapInArrow(emit, "key long, fragment binary, ord long")
+
+
+def fragment_places(texts: DataFrame) -> DataFrame:
+    """key, f (the fragment's hash), ord, h, at, n (its length) of every shared run."""
+
+    def emit(batches):
+        for b in batches:
+            for i in range(0, len(b), 512):
+                part = b.slice(i, 512)
+                ords, hs, cols, f = part.column(0).to_numpy(), part.column(1).to_numpy(), [], []
+                for row, raw, key, first, last in held_runs(part):
+                    f += [xxhash.xxh64_intdigest(raw[a:z], 42) for a, z in zip(first.tolist(), (last + LENGTH).tolist())]
+                    cols.append((key, np.full(len(key), ords[row]), np.full(len(key), hs[row]), first, last - first + LENGTH))
+                if cols:
+                    key, o, h, at, n = map(np.concatenate, zip(*cols))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.array(f, np.uint64).view(np.int64), o, h, at.astype(np.int32), n.astype(np.int32))], ["key", "f", "ord", "h", "at", "n"])
 
-    got = texts.select("ord", "h", "text", "keys").mapInArrow(emit, "key long, fragment binary, ord long, h long, at int")
-    if whole:
-        return got.select("key", "fragment", "ord")
-    return got.select("key", F.xxhash64("fragment").alias("f"), "ord", "h", "at", F.length("fragment").alias("n"))
+    return texts.select("ord", "h", "text", "keys").mapInArrow(emit, "key long, f long, ord long, h long, at int, n int")
 
 
 def sort_shard(batches, memory: int):
     """Suffix-sort a shard's fragments; for each, the runs of places whose string has a smaller document."""
-    ords, keys, hashes, parts = [], [], [], []
+    best: dict[bytes, int] = {}
+    key_of: dict[bytes, int] = {}
     for b in batches:
-        keys.append(b.column(0).to_numpy())
-        hashes.append(b.column(1).to_numpy())
-        ords.append(b.column(3).to_numpy())
-        parts += b.column(2).to_pylist()
-    if not parts:
+        for k, p, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if o < best.get(p, LAST + 1):
+                best[p] = o
+                key_of[p] = k
+    if not best:
         return
-    key, f, first = (np.concatenate(x) for x in (keys, hashes, ords))
+    parts, first = list(best), np.fromiter(best.values(), np.int64)
+    key = np.fromiter((key_of[p] for p in parts), np.int64)
+    f = np.array([xxhash.xxh64_intdigest(p, 42) for p in parts], np.uint64).view(np.int64)
     size = np.array([len(p) for p in parts])
     start = np.cumsum(size + 1) - size - 1
     t = np.zeros(int((size + 1).sum()), np.uint16)
@@ -181,15 +226,14 @@ def deduplicate(docs: DataFrame, group_mb: int = 48, shard: int = 60_000, memory
     base = table(keyed.select("doc_id", "ord", "h", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
     size = base.agg(F.sum("n_bytes")).first()[0] or 0
     firsts = base.groupBy("h").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
-    hits = shared_anchors(keyed, int(size // (group_mb << 20)) + 1).groupBy("h").agg(F.collect_list("keys").alias("keys"))
+    hits = shared_anchors(keyed, int(size // (group_mb << 20)) + 1)
     wanted = hits.join(firsts, "h").select(F.col("first").alias("ord"), "h", "keys")
     with dropping_shuffles(docs.sparkSession):
         texts = table(keyed.select("ord", "h", "text").join(wanted, ["ord", "h"]))
-        merged = table(fragments(texts, True).groupBy("key", "fragment").agg(F.min("ord").alias("first")))
-        shards = int(merged.count() // shard) + 1
-        sorted_ = merged.select("key", F.xxhash64("fragment").alias("f"), "fragment", "first").repartition(shards, "key").mapInArrow(lambda b: sort_shard(b, memory), "key long, f long, first long, runs array<struct<a:int,z:int>>")
+        runs = texts.agg(F.sum(F.length("keys") / 8)).first()[0] or 0
+        sorted_ = fragments(texts).repartition(int(runs // shard) + 1, "key").mapInArrow(lambda b: sort_shard(b, memory), "key long, f long, first long, runs array<struct<a:int,z:int>>")
         sorted_ = table(sorted_)
-    at = fragments(texts, False).join(sorted_, ["key", "f"])
+    at = fragment_places(texts).join(sorted_, ["key", "f"])
     every = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - LENGTH + 1).alias("z")))
     runs = F.when(F.col("ord") > F.col("first"), every).otherwise(F.col("runs"))
     spans = at.select("ord", "h", F.transform(runs, lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["z"] + LENGTH - 1).alias("z"))).alias("s")).where(F.size("s") > 0)
