@@ -174,6 +174,17 @@ def sort_shard(batches, memory: int):
     parts, first = list(best), np.fromiter(best.values(), np.int64)
     key = np.fromiter((key_of[p] for p in parts), np.int64)
     f = np.array([xxhash.xxh64_intdigest(p, 42) for p in parts], np.uint64).view(np.int64)
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
+    _, group, times = np.unique(key, return_inverse=True, return_counts=True)
+    # the only fragment of an anchor has no other to share a string with
+    alone = np.flatnonzero(times[group] == 1)
+    for i in range(0, len(alone), 10_000):
+        at = alone[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(f[at]), pa.array(first[at]), pa.array([[]] * len(at), kind)], ["key", "f", "first", "runs"])
+    many = np.flatnonzero(times[group] > 1)
+    if not len(many):
+        return
+    parts, first, key, f = [parts[i] for i in many.tolist()], first[many], key[many], f[many]
     size = np.array([len(p) for p in parts])
     start = np.cumsum(size + 1) - size - 1
     t = np.zeros(int((size + 1).sum()), np.uint16)
@@ -192,7 +203,6 @@ def sort_shard(batches, memory: int):
     which = np.searchsorted(start, a, "right") - 1
     cut = np.searchsorted(which, np.arange(len(parts) + 1))
     runs = [[{"a": int(x), "z": int(y)} for x, y in zip(a[i:j] - start[k], z[i:j] - start[k])] for k, (i, j) in enumerate(zip(cut[:-1], cut[1:]))]
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
     for i in range(0, len(parts), 10_000):
         j = i + 10_000
         yield pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(f[i:j]), pa.array(first[i:j]), pa.array(runs[i:j], kind)], ["key", "f", "first", "runs"])
