@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import countries, exprs
-from shoal.operators import behavior, network, profile, temporal
+from shoal.operators import behavior, community, engagement, neighborhood, network, profile, temporal
 from shoal.operators.components import connected_components
+from shoal.plans.analysis import group_summary as group
 from shoal.plans.views import AS_OF, CONFIG, duck, view
+from shoal.sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -431,3 +433,79 @@ _CORE = "e AS (SELECT src, dst FROM edges JOIN members a ON a.member_id = src JO
 def connected_components_core(edges, members):
     core = edges.join(members.select(F.col("member_id").alias("src")), "src").join(members.select(F.col("member_id").alias("dst")), "dst")
     return connected_components(core, "src", "dst")
+
+
+# engagement, pairs, roles, neighbourhoods
+
+
+def _engagement(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Engagement tables of the events: a key is a post by its target, first seen with its first event."""
+    e = posts.groupBy(F.col("target_post_id").alias("tweet_id")).agg(F.min("target_id").alias("author_id"), F.min("created_us").alias("created_us"))
+    reposters = posts.where("kind = 'repost'").select(F.col("target_post_id").alias("tweet_id"), "pos", F.col("owner_id").alias("account_id"))
+    replies = posts.where("kind = 'reply'").select(F.col("target_post_id").alias("tweet_id"), "pos", F.col("owner_id").alias("author_id"), "created_us", "text")
+    return e, reposters, replies
+
+
+_ENG = f"""e AS (SELECT target_post_id AS tweet_id, min(target_id) AS author, min(created_us) AS posted FROM posts GROUP BY 1), r AS (SELECT target_post_id AS tweet_id, owner_id AS id FROM posts WHERE kind = 'repost'),
+o AS (SELECT e.tweet_id, p.owner_id AS id, p.created_us - posted AS d FROM posts p JOIN e ON e.tweet_id = p.target_post_id WHERE p.kind = 'reply' AND p.owner_id <> author), u AS (SELECT tweet_id, id FROM r UNION SELECT tweet_id, id FROM o),
+g AS (SELECT u.tweet_id, count(*) AS engagers, count(a.created_us) AS dated, round(coalesce(avg((a.created_us >= {CONFIG.recent_since})::INT), 0), 6) AS recent_share FROM u LEFT JOIN accounts a ON a.key = u.id GROUP BY 1)"""
+
+
+@query(f"WITH {_ENG} SELECT e.tweet_id, coalesce(engagers, 0) AS engagers, coalesce(dated, 0) AS dated, coalesce(recent_share, 0)::DOUBLE AS recent_share, coalesce(x.n, 0) AS reposters, coalesce(y.n, 0) AS repliers, coalesce(z.n, 0) AS n_delays FROM e LEFT JOIN g ON g.tweet_id = e.tweet_id LEFT JOIN (SELECT tweet_id, count(*) AS n FROM r GROUP BY 1) x ON x.tweet_id = e.tweet_id LEFT JOIN (SELECT tweet_id, count(DISTINCT id) AS n FROM o GROUP BY 1) y ON y.tweet_id = e.tweet_id LEFT JOIN (SELECT tweet_id, count(*) AS n FROM o WHERE d >= 0 GROUP BY 1) z ON z.tweet_id = e.tweet_id", posts="posts", accounts="accounts")
+def engagement_summary(posts, accounts):
+    s = _engagement_summary(posts, accounts)
+    return r6(s.select("tweet_id", "engagers", "dated", "recent_share", "reposters", "repliers", F.coalesce("n_delays", F.lit(0)).alias("n_delays")), "recent_share")
+
+
+def _engagement_summary(posts: DataFrame, accounts: DataFrame) -> DataFrame:
+    known = accounts.withColumn("id", F.col("key"))
+    return engagement.summary(*_engagement(posts), known, cut(_scores(known)), CONFIG)
+
+
+@query(posts="posts", accounts="accounts")
+def engagement_signals(posts, accounts):
+    return r6(engagement.signals(_engagement_summary(posts, accounts)), "score")
+
+
+@query("SELECT a.owner_id AS a, b.owner_id AS b, count(*) AS shared FROM (SELECT DISTINCT owner_id, target_post_id AS p FROM posts WHERE kind = 'repost') a JOIN (SELECT DISTINCT owner_id, target_post_id AS p FROM posts WHERE kind = 'repost') b ON a.p = b.p AND a.owner_id < b.owner_id WHERE a.owner_id < 12 AND b.owner_id < 12 GROUP BY ALL", posts="posts", lists="lists", accounts="accounts")
+def pair_overlap(posts, lists, accounts):
+    """The dozen analysed handles are users 0 to 11 (seeds of an analysis are a stated set)."""
+    seeds = posts.where("owner_id < 12").select("owner_id").distinct().select(F.col("owner_id").alias("seed_id"), F.col("owner_id").cast("int").alias("pos"))
+    p = network.pair_overlap(seeds, accounts.withColumn("id", F.col("key")), lists, posts)
+    return p.where("shared_reposted_posts > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("shared_reposted_posts").alias("shared"))
+
+
+_ROLES = """lst AS (SELECT * FROM lists), sd AS (SELECT DISTINCT owner_id AS id FROM lists WHERE owner_id < 5), ex AS (SELECT DISTINCT owner_id AS id FROM lists WHERE owner_id >= 20),
+ev AS (SELECT id, 0 AS p, 'seed' AS r FROM sd UNION SELECT member_id, 1, 'follower' FROM lst WHERE relation = 'followers' AND owner_id IN (SELECT id FROM sd) UNION SELECT member_id, 2, 'following' FROM lst WHERE relation = 'following' AND owner_id IN (SELECT id FROM sd)
+ UNION SELECT target_id, 3, 'amplified' FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS NOT NULL AND owner_id IN (SELECT id FROM sd) UNION SELECT id, 4, 'expanded' FROM ex UNION SELECT member_id, 5, '2nd-degree' FROM lst WHERE relation = 'following' AND owner_id IN (SELECT id FROM ex)
+ UNION SELECT owner_id, 6, 'engager' FROM posts WHERE kind IN ('repost', 'reply') UNION SELECT key, 7, 'other' FROM accounts), mn AS (SELECT id, min(p) AS lo, count(*) AS n FROM ev GROUP BY 1)"""
+
+
+@query(f"WITH {_ROLES} SELECT ev.id, string_agg(r, ',' ORDER BY p) AS roles FROM ev JOIN mn ON mn.id = ev.id WHERE p < 5 OR (p = 5 AND lo = 5) OR p = 6 OR (p = 7 AND n = 1) GROUP BY ev.id", posts="posts", lists="lists", accounts="accounts")
+def roles(posts, lists, accounts):
+    owners = lists.select("owner_id").distinct()
+    seeds = owners.where("owner_id < 5").select(F.col("owner_id").alias("seed_id"))
+    expanded = owners.where("owner_id >= 20").select(F.col("owner_id").alias("account_id"))
+    engagers = posts.where("kind in ('repost', 'reply')").select(F.col("owner_id").alias("account_id"))
+    return network.roles(seeds, lists, posts, expanded, engagers, accounts.select(F.col("key").alias("id")))
+
+
+@query(accounts="accounts")
+def neighborhood_summary(accounts):
+    """Every nation's follower list: sizes, shares, peaks, bursts and bands."""
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key"))) - 1
+    lists = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), rank.alias("pos"), F.col("id").alias("member_id"))
+    s = neighborhood.summary(lists, accounts, cut(_scores(accounts)), CONFIG)
+    return r6(s, "recent_share", "botlike_share", "peak", "aged_peak", "peak90", "burst_excess", "band_share")
+
+
+@query(edges="edges", members="members")
+def communities(edges, members):
+    """Communities of the core's follow graph, merged and pruned."""
+    return community.detect(edges, members.select(F.col("member_id").alias("id")))
+
+
+@query(f"WITH s AS (SELECT DISTINCT seed, created_us FROM accounts WHERE created_us IS NOT NULL) SELECT count(*) AS n, min(created_us) AS earliest_us, max(created_us) AS latest_us, round(avg((created_us >= {CONFIG.recent_since})::INT), 6) AS recent_share FROM accounts WHERE created_us IS NOT NULL", accounts="accounts")
+def group_summary(accounts):
+    s = group(accounts.select(F.col("id").alias("seed_id")), accounts, CONFIG)
+    return r6(s.select(F.col("seeds").alias("n"), "earliest_us", "latest_us", "recent_share"), "recent_share")

@@ -20,10 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of df, for small or narrow rows."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Reliable checkpoint of df, for small or narrow rows.
+
+    A checkpoint keeps its plan's inferred constraints, which double with each round of an
+    iteration that renames and joins its own result; so none are inferred here.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    with setting(spark, "spark.sql.constraintPropagation.enabled", "false"):
+        return df.checkpoint()
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -34,12 +40,15 @@ def table(df: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, each finished job's shuffle files go at once; for steps that end in a written table."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def dropping_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within it, each finished job's shuffle files go at once; for steps that end in a written table."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
