@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm.common import SPACE, cut, read
+from shoal.llm.common import SPACE, cut, read, table
 
 SIDES = ("source", "lang", "topic")
 SWEEPS, FITS = 5, 5
@@ -45,7 +45,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
         for side, shares in targets.items():
             sums = same(now.groupBy(side).agg(F.sum("w").alias("is")), shares, side).where("is > 0").select(side, (F.col("share") * total / F.col("is")).alias("by"))
             other = sums.withColumnRenamed(side, "_side")
-            now = cut(now.join(other, F.col(side).eqNullSafe(F.col("_side")), "left").withColumn("w", F.col("w") * F.coalesce("by", F.lit(1.0))).drop("_side", "by"))
+            now = table(now.join(other, F.col(side).eqNullSafe(F.col("_side")), "left").withColumn("w", F.col("w") * F.coalesce("by", F.lit(1.0))).drop("_side", "by"))
     return now
 
 
