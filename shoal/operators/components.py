@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.sources.shared import cut
+from shoal.sources.shared import table
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,12 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     Edges with a null end and self-loops add nothing; repeated edges count once.
     """
     a, b = F.col(src), F.col(dst)
-    now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = table(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = None
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if tuple(new) == state or new[0] == 0:
             break
         state = tuple(new)
-        now = cut(_contract(now))
+        now = table(_contract(now))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

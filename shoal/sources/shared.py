@@ -22,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of df, for small or narrow rows.
 
-    A checkpoint keeps its plan's inferred constraints, which double with each round of an
-    iteration that renames and joins its own result; so none are inferred here.
+    A checkpoint keeps its plan's inferred constraints and size estimate.  None of the former are
+    inferred here; but the estimate squares with each join of a result with itself, so
+    iterations end their rounds with table() instead, whose size is that of its files.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
