@@ -186,6 +186,19 @@ def test_secrets(spark, edge, nothing):
     assert sorted(map(str, secrets.redact(edge, model).columns)) == sorted(edge.columns)
 
 
+def test_secrets_of_any_length_and_alphabet(spark, edge):
+    model = secrets.learn(edge)
+    texts = ['then password = "hT7x!q2Z" and', "passwd='Zk#9v@Lm2$wQ'\n", 'api_key: "qWbXkRtYpLmNvHsDfGzJ" and', "x?password=Rk82!mPq\n", 'said "the river was blue" and', 'color: "green",', "note: the house"]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert sorted(texts[r.doc_id][r.start : r.end] for r in got) == sorted(["hT7x!q2Z", "Zk#9v@Lm2$wQ", "qWbXkRtYpLmNvHsDfGzJ", "Rk82!mPq"])
+
+
+def test_secrets_dictionary_of_all_documents(spark):
+    """Words that stand only in long documents count, and so does every document of a corpus over the sample."""
+    docs = spark.createDataFrame([(i, "usual") for i in range(10)] + [(10 + i, "seldom " * 5000) for i in range(20)], "doc_id long, text string")
+    assert secrets.frequent(docs, 1) == {"seldom"} and secrets.learn(docs, sample=2)["words"] == {"seldom", "usual"}
+
+
 def test_forest_held_out():
     found = secrets.made_up(300, seed=1)
     x, y = np.array([secrets.features(t, a, b, frozenset()) for t, a, b, _ in found]), np.array([f[3] for f in found])
