@@ -3,7 +3,8 @@
 Documents are summed into cells of (source, lang, topic) by token mass.  Each
 sweep rakes the cells' weights to the source, language and topic marginals in
 turn; a marginal is a partial aggregation joined back to the cells, so no key's cells are
-gathered.  A document's weight is its cell's raked mass over its own; sampling
+gathered.  Sweeps go on until every marginal meets its targets; targets that no
+weights of these cells can meet raise Infeasible (tempered ones, which nobody stated, warn).  A document's weight is its cell's raked mass over its own; sampling
 probabilities are the weights scaled so that the expected tokens meet the
 budget, none over 1, and the draw is a hash of the id.
 
@@ -14,6 +15,9 @@ doc_id draws as the text `null`; repeated rows count each and draw alike.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,12 @@ from shoal.llm.common import SPACE, cut, read, table
 
 SIDES = ("source", "lang", "topic")
 SWEEPS, FITS = 5, 5
+#: Largest relative error of a marginal at the end, and sweeps in which it must fall by a tenth.
+TOLERANCE, PATIENCE = 1e-6, 20
+
+
+class Infeasible(ValueError):
+    """The targets can't be met by weights of the cells."""
 
 
 def same(a: DataFrame, b: DataFrame, *names: str) -> DataFrame:
@@ -37,18 +47,43 @@ def tempered(cells: DataFrame, side: str, power: float) -> DataFrame:
     return mass.crossJoin(F.broadcast(total)).select(side, (F.pow("m", F.lit(power)) / F.col("total")).alias("share"))  # the total is one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """cells with w: mass fitted to the targets (side, share); values without a target keep what they have."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
+    """cells with w: mass fitted to the targets (side, share); values without a target keep what they have.
+
+    At least ``sweeps`` sweeps, and as many more as the largest relative error of a marginal needs to come under the
+    tolerance.  Where it stops falling first, strict raises Infeasible; else a warning names it and the last sweep holds.
+    """
     total = cells.agg(F.sum("mass")).first()[0] or 0
     now = cut(cells.withColumn("w", F.col("mass").cast("double")))
-    for _ in range(sweeps):
+    errors: list[float] = []
+    while total and targets:
         for side, shares in targets.items():
             sums = same(now.groupBy(side).agg(F.sum("w").alias("is")), shares, side).where("is > 0").select(side, (F.col("share") * total / F.col("is")).alias("by"))
             other = sums.withColumnRenamed(side, "_side")
             now = table(now.join(other, F.col(side).eqNullSafe(F.col("_side")), "left").withColumn("w", F.col("w") * F.coalesce("by", F.lit(1.0))).drop("_side", "by"))
+        errors.append(misfit(now, targets, total))
+        if errors[-1] <= tolerance and len(errors) >= sweeps:
+            break
+        if len(errors) > PATIENCE and errors[-1] > max(tolerance, 0.9 * errors[-1 - PATIENCE]):
+            said = f"after {len(errors)} sweeps a marginal is off its target by {errors[-1]:.3g} of it, and no longer nears it"
+            if strict:
+                raise Infeasible(said)
+            warnings.warn(said, stacklevel=2)
+            break
     return now
 
 
+def misfit(cells: DataFrame, targets: dict[str, DataFrame], total: float) -> float:
+    """Largest relative error of the sides' sums of w against their targets; a target without mass is off by all of it."""
+    parts = []
+    for side, shares in targets.items():
+        goal = shares.where("share > 0").select(F.col(side).alias("_side"), (F.col("share") * total).alias("goal"))
+        sums = cells.groupBy(side).agg(F.sum("w").alias("is"))
+        off = F.abs(F.coalesce("is", F.lit(0.0)) / F.col("goal") - 1)
+        parts.append(goal.join(sums, F.col(side).eqNullSafe(F.col("_side")), "left").agg(F.max(off).alias("off")))
+    return reduce(DataFrame.unionAll, parts).agg(F.max("off")).first()[0] or 0.0
+
+
 def scale(cells: DataFrame, budget: float, fits: int = FITS) -> float:
     """s such that the sum of mass * min(1, s * weight) nears the budget."""
     s = 0.0
@@ -76,7 +111,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     rows = cut(docs.select("doc_id", *SIDES, "n_tokens"))
     cells = cut(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("mass")))
     goals = targets or {side: cut(tempered(cells, side, power)) for side in SIDES}
-    raked = rake(cells, goals).select(*SIDES, "mass", F.when(F.col("mass") > 0, F.col("w") / F.col("mass")).otherwise(1.0).alias("weight"))
+    raked = rake(cells, goals, strict=targets is not None).select(*SIDES, "mass", F.when(F.col("mass") > 0, F.col("w") / F.col("mass")).otherwise(1.0).alias("weight"))
     raked = cut(raked)
     s = scale(raked, keep * (cells.agg(F.sum("mass")).first()[0] or 0))
     out = same(rows, raked.select(*SIDES, "weight"), *SIDES)

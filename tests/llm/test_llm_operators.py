@@ -34,6 +34,24 @@ def test_mixing(spark, edge, nothing):
     assert abs((got.probability * got.n_tokens).sum() / got.n_tokens.sum() - 0.4) < 0.01 and abs(got.sampled.mean() - 0.4) < 0.1
 
 
+def test_mixing_skewed_sources(spark):
+    """One hot source and sources tied to their languages: five sweeps leave marginals far off."""
+    rows = [(f"s{i}", f"l{k}", "t", (100_000 if i == 0 else 100 + i) * (9700 if k == i % 4 else 100)) for i in range(40) for k in range(4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, mass long")
+    goals = {side: mixing.tempered(cells, side, 0.5) for side in mixing.SIDES}
+    got, total = mixing.rake(cells, goals).toPandas(), sum(r[3] for r in rows)
+    for side, shares in goals.items():
+        is_ = got.groupby(side).w.sum()
+        assert max(abs(is_[r[0]] / (r[1] * total) - 1) for r in shares.collect()) < 1e-5
+
+
+def test_mixing_infeasible(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "x", "t", 10), ("c", "y", "t", 20)], "source string, lang string, topic string, mass long")
+    share = lambda side, rows: {side: spark.createDataFrame(rows, f"{side} string, share double")}
+    with pytest.raises(mixing.Infeasible):
+        mixing.rake(cells, share("source", [("a", 0.3), ("b", 0.3), ("c", 0.4)]) | share("lang", [("x", 0.5), ("y", 0.5)]))
+
+
 # 2
 
 
