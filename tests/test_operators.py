@@ -129,6 +129,13 @@ def test_graph(spark):
     assert network.mean_pairwise_jaccard(held, 50).first().mean_jaccard == pytest.approx(statistics.fmean(every[:50]))
 
 
+def test_communities_of_a_long_chain(spark):
+    """Moves go on until none raises modularity, however long the chain: the best parts are of about the root of its length."""
+    n = 600
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)], "a int, b int, w double")
+    assert community.modularity(links, community.communities(links)) > 0.91
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)] + [(None, 3), (7, 7)]
