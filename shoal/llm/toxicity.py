@@ -3,8 +3,9 @@
 Each word's input is a learned word vector beside the maximum over learned
 vectors of its character grams.  The network is trained in numpy on a bounded
 sample of labelled rows (``max_docs`` of each class, texts up to ``max_chars``
-in the sample; a fifth of them sets the threshold only) and scores all overlapping windows of every whole text; a
-document's score is that of its worst window.
+in the sample) and scores all overlapping windows of every whole text; a
+document's score pools its worst window with the mean of all its windows, by weights and a threshold
+fitted to cross-validated scores of the sample.
 
 Defined cases: null or empty text scores 0; a null doc_id is scored as any
 row; repeated rows are scored each; labels given twice count as their
@@ -25,13 +26,19 @@ from pyspark.sql import functions as F
 from shoal.llm.common import fold, held_out, read
 
 WINDOW, STRIDE = 32, 24
-HIDDEN, DIM, BUCKETS = 8, 6, 1 << 15
+HIDDEN, DIM = 8, 6
 GRAMS = (4, 6)
+#: Training texts a word or gram must stand in to get a vector; rarer ones share the zero vector.
+LEAST = 3
+EMBEDDED = ("words", "chars")
 WORD = re.compile(r"[^\W_]+")
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, buckets of its character grams (one row a gram size), and where each word's grams start."""
+    """Key of each word, keys of its character grams (one row a gram size), and where each word's grams start.
+
+    A gram's key is its bytes; a word's is a 64-bit hash of its bytes and places.
+    """
     coded = [b"<" + w.encode() + b">" for w in words]
     ends = np.cumsum([len(c) for c in coded])
     starts = np.concatenate([[0], ends[:-1]])
@@ -41,20 +48,37 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     grams = []
     for n in GRAMS:
         size = np.minimum(left, n).astype(np.uint64) * np.uint64(8)
-        part = eight & ((np.uint64(1) << size) - np.uint64(1))
-        grams.append(((part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64))
-    # a word's own bucket: its bytes' hashes, weighted by place
+        grams.append(eight & ((np.uint64(1) << size) - np.uint64(1)))
     place = np.arange(len(eight)) - np.repeat(starts, ends - starts)
     mixed = (eight & np.uint64(0xFF)) * np.uint64(0xC2B2AE3D27D4EB4F) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1))
     mixed ^= mixed >> np.uint64(29)
-    whole = np.add.reduceat(mixed * np.uint64(0x165667B19E3779F9), starts)
-    return (whole >> np.uint64(49)).astype(np.int64), np.stack(grams), starts
+    return np.add.reduceat(mixed * np.uint64(0x165667B19E3779F9), starts), np.stack(grams), starts
+
+
+def vector_rows(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Row of each key's vector; row 0, which stays zero, is that of all keys outside the sorted vocabulary."""
+    if not len(vocabulary):
+        return np.zeros(keys.shape, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == keys, at + 1, 0)
+
+
+def vocabulary(sets: list[np.ndarray], least: int) -> np.ndarray:
+    """Keys in at least `least` of the sets of distinct keys."""
+    keys, times = np.unique(np.concatenate(sets), return_counts=True)
+    return keys[times >= least]
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 def inputs(p: dict, words: list[str]) -> np.ndarray:
     own, grams, starts = word_features(words)
-    chars = np.maximum.reduceat(np.maximum(p["chars"][grams[0]], p["chars"][grams[1]]), starts, axis=0)
-    return np.concatenate([p["words"][own], chars], axis=1)
+    g = vector_rows(p["gram_keys"], grams)
+    chars = np.maximum.reduceat(np.maximum(p["chars"][g[0]], p["chars"][g[1]]), starts, axis=0)
+    return np.concatenate([p["words"][vector_rows(p["word_keys"], own)], chars], axis=1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -64,8 +88,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def forward(p: dict, gates: np.ndarray, real: np.ndarray, keep: bool = False):
     """gates: (steps, 2, batch, 3 hidden), the input's share with bias, the second direction already reversed in time; real: (batch, steps)."""
     steps, _, batch, _ = gates.shape
-    h = np.zeros((2, batch, HIDDEN), np.float32)
-    hs = np.empty((steps, 2, batch, HIDDEN), np.float32)
+    h = np.zeros((2, batch, HIDDEN), gates.dtype)
+    hs = np.empty((steps, 2, batch, HIDDEN), gates.dtype)
     trace = []
     for t in range(steps):
         u = h @ p["rec"]
@@ -77,7 +101,7 @@ def forward(p: dict, gates: np.ndarray, real: np.ndarray, keep: bool = False):
         h = n + z * (h - n)
         hs[t] = h
     both = np.concatenate([hs[:, 0], hs[::-1, 1]], axis=2)
-    score = both @ p["att"] + np.where(real.T, 0, -1e9).astype(np.float32)
+    score = both @ p["att"] + np.where(real.T, 0, -1e9).astype(gates.dtype)
     a = np.exp(score - score.max(0))
     a /= a.sum(0)
     pooled = (a[:, :, None] * both).sum(0)
@@ -104,7 +128,7 @@ def gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np
 def step_gates(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """table: (2, 1 + words, 3 hidden); row 0, the bias alone, stands for places past the text's end."""
     steps = ids.T
-    out = np.empty((len(steps), 2, len(ids), table.shape[2]), np.float32)
+    out = np.empty((len(steps), 2, len(ids), table.shape[2]), table.dtype)
     np.take(table[0], steps, axis=0, out=out[:, 0], mode="clip")
     np.take(table[1], steps[::-1], axis=0, out=out[:, 1], mode="clip")
     return out
@@ -112,11 +136,16 @@ def step_gates(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def project(p: dict, x: np.ndarray) -> np.ndarray:
     """The words' shares of all gates, after a first row for no word."""
-    return np.concatenate([np.zeros((2, 1, 3 * HIDDEN), np.float32), x @ p["in"]], axis=1) + p["b"][:, None]
+    return np.concatenate([np.zeros((2, 1, 3 * HIDDEN), x.dtype), x @ p["in"]], axis=1) + p["b"][:, None]
+
 
+def train(texts: list[str], y: np.ndarray, epochs: int = 8, least: int = 400, seed: int = 7, rate: float = 0.01, drop: float = 0.5, decay: float = 0.1, heavy: float = 4.0) -> dict:
+    """Multiple-instance training: a toxic text answers with its worst windows, half of them and eight at most, and a
+    clean one with its four worst and one drawn; a toxic window counts ``heavy`` times.  The first two rounds draw windows.
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 6, least: int = 300, seed: int = 7) -> dict:
-    """Multiple-instance training: a toxic text answers with its worst window and a clean one with its worst and one drawn."""
+    Against learning texts by heart, only words and grams of LEAST texts have vectors, a share `drop` of a batch's words
+    loses its word vector and as many their character vectors, and weights decay.
+    """
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
     docs = [np.array([words.setdefault(w, 1 + len(words)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
@@ -124,62 +153,68 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, least: int = 300, se
     docs, y = [docs[i] for i in kept], y[kept]
     own, grams, starts = word_features(list(words))
     size = np.diff(np.append(starts, grams.shape[1]))
-    p = {k: rng.normal(0, s, shape).astype(np.float32) for k, s, shape in (("words", 0.1, (BUCKETS, DIM)), ("chars", 0.1, (BUCKETS, DIM)), ("in", 0.25, (2, 2 * DIM, 3 * HIDDEN)), ("rec", 0.25, (2, HIDDEN, 3 * HIDDEN)), ("b", 0.01, (2, 3 * HIDDEN)), ("att", 0.1, (2 * HIDDEN,)), ("out", 0.3, (2 * HIDDEN,)), ("bias", 0.01, (1,)))}
-    # first component: each bucket's log odds of standing in a toxic text, so that the first worst windows are good guesses
-    in_doc = {"words": [np.unique(own[np.unique(d) - 1]) for d in docs], "chars": [np.unique(np.concatenate([grams[:, starts[w] : starts[w] + size[w]].ravel() for w in np.unique(d) - 1])) for d in docs]}
-    for k, sets in in_doc.items():
-        seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-        for s, label in zip(sets, y):
-            seen[int(label)][s] += 1
-        odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
-        sure = np.minimum(1, (seen[0] + seen[1]) / 8)
-        p[k][:, 0] = np.clip(odds * sure, -1, 6) / 3
+    distinct = [np.unique(d) - 1 for d in docs]
+    word_keys = vocabulary([own[d] for d in distinct], LEAST)
+    gram_keys = vocabulary([np.unique(grams[:, spans(starts[d], size[d])]) for d in distinct], LEAST)
+    own, grams = vector_rows(word_keys, own), vector_rows(gram_keys, grams)
+    shapes = (("words", 0.1, (len(word_keys) + 1, DIM)), ("chars", 0.1, (len(gram_keys) + 1, DIM)), ("in", 0.25, (2, 2 * DIM, 3 * HIDDEN)), ("rec", 0.25, (2, HIDDEN, 3 * HIDDEN)), ("b", 0.01, (2, 3 * HIDDEN)), ("att", 0.1, (2 * HIDDEN,)), ("out", 0.3, (2 * HIDDEN,)), ("bias", 0.01, (1,)))
+    p = {k: rng.normal(0, s, shape).astype(np.float32) for k, s, shape in shapes}
+    for k in EMBEDDED:
+        p[k][0] = 0
     lengths = np.array([len(d) for d in docs])
     offsets = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     ids, real, first = gather(np.concatenate(docs), offsets, lengths)
-    of = np.repeat(np.arange(len(docs)), np.diff(np.append(first, len(ids))))
+    per = np.diff(np.append(first, len(ids)))
+    of = np.repeat(np.arange(len(docs)), per)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
+    batches = 0
     tick = epoch = 0
     while epoch < epochs or tick < least:  # small samples go round more often
-        x = np.concatenate([p["words"][own], np.maximum.reduceat(np.maximum(p["chars"][grams[0]], p["chars"][grams[1]]), starts, axis=0)], axis=1)
-        if epoch == 0:
-            worth = np.append(-9, x[:, 0] + x[:, DIM])[ids].max(1)
+        if epoch < 2:
+            worth = rng.random(len(ids))
         else:
+            x = np.concatenate([p["words"][own], np.maximum.reduceat(np.maximum(p["chars"][grams[0]], p["chars"][grams[1]]), starts, axis=0)], axis=1)
             tab = project(p, x)
             worth = np.concatenate([forward(p, step_gates(tab, ids[i : i + 1024]), real[i : i + 1024]) for i in range(0, len(ids), 1024)])
         order, last = np.lexsort((worth, of)), np.append(first[1:], len(ids)) - 1
-        more = [order[np.maximum(last - k, first)][y == 0] for k in range(1, 5)]
-        chosen = np.concatenate([order[last], *more])
-        target = np.concatenate([y, np.zeros(sum(map(len, more)))]).astype(np.float32)
+        quota = np.where(y == 1, np.clip(per // 2, 1, 8), np.minimum(per, 4))
+        chosen = np.concatenate([order[(last - k)[k < quota]] for k in range(8)] + [(first + (rng.random(len(y)) * per).astype(np.int64))[y == 0]])
+        target = y[of[chosen]].astype(np.float32)
         epoch += 1
-        for i in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // (256 if len(chosen) > 8000 else 64))):
+        batches = max(1, len(chosen) // (256 if len(chosen) > 8000 else 64))
+        for i in np.array_split(rng.permutation(len(chosen)), batches):
             tick += 1
-            g = gradients(p, own, grams, starts, size, ids[chosen[i]], real[chosen[i]], target[i])
+            g = gradients(p, own, grams, starts, size, ids[chosen[i]], real[chosen[i]], target[i], rng, drop, heavy)
+            step = rate * min(1.0, 2 * (1 - tick / max(least, tick, epochs * batches)) + 0.05)
             for k in p:
                 m1[k] += 0.1 * (g[k] - m1[k])
                 m2[k] += 0.01 * (g[k] ** 2 - m2[k])
-                p[k] -= 0.01 * (m1[k] / (1 - 0.9**tick)) / (np.sqrt(m2[k] / (1 - 0.99**tick)) + 1e-6)
-    return p
+                p[k] -= step * ((m1[k] / (1 - 0.9**tick)) / (np.sqrt(m2[k] / (1 - 0.99**tick)) + 1e-6) + decay * p[k])
+    return p | {"word_keys": word_keys, "gram_keys": gram_keys}
 
 
-def gradients(p: dict, own, grams, starts, size, ids, real, target) -> dict:
-    """Of the mean log loss over a batch of windows, by backpropagation through time."""
+def gradients(p: dict, own, grams, starts, size, ids, real, target, rng: np.random.Generator | None = None, drop: float = 0.0, heavy: float = 1.0) -> dict:
+    """Of the mean log loss over a batch of windows, by backpropagation through time; with rng, under dropout of words' vectors."""
     used, where = np.unique(ids[real], return_inverse=True)
     ids = np.zeros(ids.shape, np.int64)
     ids[real] = where + 1
     used -= 1
-    spans = [np.arange(starts[w], starts[w] + size[w]) for w in used]
-    cut = np.concatenate([[0], np.cumsum(size[used])])[:-1]
-    flat = grams[:, np.concatenate(spans)]
+    cut = np.cumsum(size[used]) - size[used]
+    flat = grams[:, spans(starts[used], size[used])]
     vec = p["chars"][flat]  # (2, grams, DIM)
     top = vec.max(0)
     best = np.maximum.reduceat(top, cut, axis=0)
     x = np.concatenate([p["words"][own[used]], best], axis=1)
+    lives = np.ones_like(x)
+    if rng is not None:
+        lives[:, :DIM] = rng.random((len(used), 1)) >= drop
+        lives[:, DIM:] = rng.random((len(used), 1)) >= drop
+    x = x * lives
     gates = step_gates(project(p, x), ids)
     logit, (hs, both, a, pooled, trace) = forward(p, gates, real, keep=True)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    d = (sigmoid(logit) - target) / len(target)
+    g = {k: np.zeros_like(v) for k, v in p.items() if not k.endswith("_keys")}
+    d = (sigmoid(logit) - target) * (1 + (heavy - 1) * target) / len(target)
     g["out"], g["bias"][0] = pooled.T @ d, d.sum()
     dpool = d[:, None] * p["out"]
     da = (both * dpool).sum(2)
@@ -201,16 +236,20 @@ def gradients(p: dict, own, grams, starts, size, ids, real, target) -> dict:
         dh = dh * z + du @ p["rec"].transpose(0, 2, 1)
     back = np.stack([dgates[:, 0], dgates[::-1, 1]], axis=1).transpose(2, 0, 1, 3)  # (batch, steps, 2, gates)
     g["b"] = back.sum((0, 1))
-    dtable = np.zeros((len(used), 2, 3 * HIDDEN), np.float32)
-    np.add.at(dtable, where, back[real])
+    dtable = np.empty((len(used), 2, 3 * HIDDEN), x.dtype)
+    order = np.argsort(where, kind="stable")
+    dtable[:] = np.add.reduceat(back[real][order], np.searchsorted(where[order], np.arange(len(used))))
     g["in"] = np.einsum("wd,wkg->kdg", x, dtable)
-    dx = np.einsum("wkg,kdg->wd", dtable, p["in"])
-    np.add.at(g["words"], own[used], dx[:, :DIM])
+    dx = np.einsum("wkg,kdg->wd", dtable, p["in"]) * lives
+    for j in range(DIM):
+        g["words"][:, j] = np.bincount(own[used], dx[:, j], len(g["words"]))
     lit = top == np.repeat(best, size[used], axis=0)
     dchar = np.where(lit, np.repeat(dx[:, DIM:], size[used], axis=0), 0)
     pick = np.where(vec[0] >= vec[1], 0, 1)
     for j in range(DIM):
-        np.add.at(g["chars"][:, j], flat[pick[:, j], np.arange(flat.shape[1])], dchar[:, j])
+        g["chars"][:, j] = np.bincount(flat[pick[:, j], np.arange(flat.shape[1])], dchar[:, j], len(g["chars"]))
+    for k in EMBEDDED:
+        g[k][0] = 0
     return g
 
 
@@ -240,19 +279,46 @@ class Scorer:
             self.rows += len(some)
         return np.fromiter(chain.from_iterable(lists), np.int64), np.array([len(x) for x in lists], np.int64)
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts have words, and the worst logit and the mean probability of their windows."""
         ids, lengths = self.ids(texts)
-        out = np.zeros(len(texts))
         some = np.flatnonzero(lengths)
         if not len(some):
-            return out
+            return some, np.zeros(0), np.zeros(0)
         starts = (np.cumsum(lengths) - lengths)[some]
         grid, real, first = gather(ids, starts, lengths[some])
-        logit = np.concatenate([forward(self.p, step_gates(self.table[:, : self.rows], grid[i : i + 1024]), real[i : i + 1024]) for i in range(0, len(grid), 1024)])
-        out[some] = np.maximum.reduceat(sigmoid(logit), first)
+        logit = np.concatenate([forward(self.p, step_gates(self.table[:, : self.rows], grid[i : i + 1024]), real[i : i + 1024]) for i in range(0, len(grid), 1024)]).astype(np.float64)
+        return some, np.maximum.reduceat(logit, first), np.add.reduceat(sigmoid(logit), first) / np.diff(np.append(first, len(grid)))
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros(len(texts))
+        some, worst, mean = self.logits(texts)
+        if len(some):
+            out[some] = sigmoid(pooled_parts(worst, mean) @ self.p.get("pool", WORST))
         return out
 
 
+#: Weights of a document's (1, worst logit, logit of the windows' mean probability) without a calibration.
+WORST = np.array([0.0, 1.0, 0.0])
+
+
+def pooled_parts(worst: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    mean = np.clip(mean, 1e-6, 1 - 1e-6)
+    return np.stack([np.ones(len(worst)), worst, np.log(mean / (1 - mean))], axis=1)
+
+
+def pooling(parts: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Logistic regression of the label on the parts, both weights kept non-negative; Newton steps with a small ridge."""
+    w, ridge = WORST.copy(), np.array([0.0, 1.0, 1.0])
+    for _ in range(rounds):
+        q = sigmoid(parts @ w)
+        grad = parts.T @ (q - y) + ridge * (w - WORST)
+        hess = (parts * (q * (1 - q))[:, None]).T @ parts + np.diag(ridge + 1e-6)
+        w = w - np.clip(np.linalg.solve(hess, grad), -2, 2)
+        w[1:] = np.maximum(w[1:], 0)
+    return w
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2400, max_chars: int = 10_000) -> dict | None:
     """Fit on at most max_docs texts of each class, the first by a hash of the id, none of the held-out fold."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -263,29 +329,38 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2400, max_chars: i
     # at most 2 * max_docs ids: a proven bound for the broadcast
     got = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(drawn), "doc_id").select("text", "toxic").toPandas()
     got = got.sort_values(["toxic", "text"])
-    y, texts = got["toxic"].to_numpy(np.int64), list(got["text"])
+    return fit(list(got["text"]), got["toxic"].to_numpy(np.int64))
+
+
+def fit(texts: list[str], y: np.ndarray, folds: int = 3, few: int = 20) -> dict | None:
+    """A model of all texts, pooled and cut as cross-validated models of the folds suggest; texts in an order that deals classes evenly."""
     if not len(y) or y.min() == y.max():
         return None
-    apart = np.arange(len(y)) % 5 == 0  # a fifth of each class sets the threshold only
-    if min(y[apart].sum(), (1 - y[apart]).sum()) < 20:
-        return train(texts, y)
-    p = train([t for t, a in zip(texts, apart) if not a], y[~apart])
-    return calibrated(p, [t for t, a in zip(texts, apart) if a], y[apart])
-
-
-def calibrated(p: dict, texts: list[str], y: np.ndarray, threshold: float = 0.3, clean: float = 9.0) -> dict:
-    """Move the output's bias so that the threshold lies amid the cuts with the least cost; a clean text flagged costs `clean` toxic ones missed."""
-    scorer = Scorer(p)
-    got = np.concatenate([scorer(texts[i : i + 64]) for i in range(0, len(texts), 64)])
-    logit = np.log(np.clip(got, 1e-6, 1 - 1e-6)) - np.log1p(-np.clip(got, 1e-6, 1 - 1e-6))
+    model = train(texts, y)
+    if min(y.sum(), (1 - y).sum()) < few:
+        return model
+    part, parts, labels = np.arange(len(y)) % folds, [], []
+    for k in range(folds):
+        scorer = Scorer(train([t for t, i in zip(texts, part) if i != k], y[part != k]))
+        apart, own = [t for t, i in zip(texts, part) if i == k], y[part == k]
+        for i in range(0, len(apart), 64):
+            some, worst, mean = scorer.logits(apart[i : i + 64])
+            parts.append(pooled_parts(worst, mean))
+            labels.append(own[i : i + 64][some])
+    return model | {"pool": calibrated(np.concatenate(parts), np.concatenate(labels))}
+
+
+def calibrated(parts: np.ndarray, y: np.ndarray, threshold: float = 0.3, clean: float = 9.0) -> np.ndarray:
+    """Pooling weights such that the threshold lies amid the cuts with the least cost; a clean text flagged costs `clean` toxic ones missed."""
+    w = pooling(parts, y)
+    logit = parts @ w
     order = np.argsort(logit)
     missed = np.concatenate([[0], np.cumsum(y[order])])
     flagged = (1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y[order])])
     cost = missed / y.sum() + clean * flagged / (1 - y).sum()
     cuts = np.concatenate([[logit[order[0]] - 1], (logit[order][1:] + logit[order][:-1]) / 2, [logit[order[-1]] + 1]])
     best = cuts[cost <= cost.min() + 1e-12]
-    p["bias"] = (p["bias"] + np.log(threshold / (1 - threshold)) - (best[0] + best[-1]) / 2).astype(np.float32)
-    return p
+    return w + np.array([np.log(threshold / (1 - threshold)) - (best[0] + best[-1]) / 2, 0, 0])
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
