@@ -33,7 +33,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled documents with topic, token count, weight and probability."""
+    """The sampled documents, all columns, with token count, topic, weight and probability."""
     return mixing.mix(mixing.topics(docs)).where("sampled").drop("sampled")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from shoal.llm.common import SPACE, cut, read, table
 
 SIDES = ("source", "lang", "topic")
+#: Sweeps at least, and the rounds of scale() that the SQL writes out.
 SWEEPS, FITS = 5, 5
 #: Largest relative error of a marginal at the end, and sweeps in which it must fall by a tenth.
 TOLERANCE, PATIENCE = 1e-6, 20
@@ -34,10 +35,9 @@ class Infeasible(ValueError):
 
 
 def same(a: DataFrame, b: DataFrame, *names: str) -> DataFrame:
-    """a joined to b on the names, nulls being equal; b's names are dropped."""
-    other = b.select(*(F.col(n).alias(f"_{n}") if n in names else F.col(n) for n in b.columns))
-    on = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
-    return a.join(other, on).drop(*(f"_{n}" for n in names))
+    """a joined to b on the names, nulls being equal; all columns of a, then b's others."""
+    on = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
+    return a.alias("a").join(b.alias("b"), on).select("a.*", *(F.col(f"b.{n}") for n in b.columns if n not in names))
 
 
 def tempered(cells: DataFrame, side: str, power: float) -> DataFrame:
@@ -84,16 +84,19 @@ def misfit(cells: DataFrame, targets: dict[str, DataFrame], total: float) -> flo
     return reduce(DataFrame.unionAll, parts).agg(F.max("off")).first()[0] or 0.0
 
 
-def scale(cells: DataFrame, budget: float, fits: int = FITS) -> float:
-    """s such that the sum of mass * min(1, s * weight) nears the budget."""
+def scale(cells: DataFrame, budget: float) -> float:
+    """s such that the sum of mass * min(1, s * weight) meets the budget, or 1 for every cell if it can't.
+
+    Each round caps the cells that the last s takes to 1; s only rises, so rounds end at the latest when every cell is capped.
+    """
     s = 0.0
-    for _ in range(fits):
+    while True:
         full = F.col("weight") * s >= 1
         row = cells.agg(F.sum(F.when(full, F.col("mass")).otherwise(0)).alias("capped"), F.sum(F.when(full, 0.0).otherwise(F.col("mass") * F.col("weight"))).alias("open")).first()
-        if not row["open"]:
-            break
-        s = max(s, (budget - row["capped"]) / row["open"])
-    return s
+        rise = (budget - row["capped"]) / row["open"] if row["open"] else 0.0
+        if rise <= s * (1 + 1e-12):
+            return s
+        s = rise
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -107,8 +110,11 @@ def tokens(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 0.5, seed: str = ":mix") -> DataFrame:
-    """The operator. docs: doc_id, source, lang, topic, n_tokens. Adds weight, probability and sampled to each row."""
-    rows = cut(docs.select("doc_id", *SIDES, "n_tokens"))
+    """The operator. docs: doc_id, source, lang, topic, n_tokens and any others. Adds weight, probability and sampled to each row.
+
+    Columns of docs with one of these three names are replaced.  docs is read twice: for the cells and for the result.
+    """
+    rows = docs.drop("weight", "probability", "sampled")
     cells = cut(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("mass")))
     goals = targets or {side: cut(tempered(cells, side, power)) for side in SIDES}
     raked = rake(cells, goals, strict=targets is not None).select(*SIDES, "mass", F.when(F.col("mass") > 0, F.col("w") / F.col("mass")).otherwise(1.0).alias("weight"))
@@ -120,15 +126,18 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
 
 
 def topics(docs: DataFrame) -> DataFrame:
-    """docs' columns for mix(): token counts, and as topic the form of the text (note, table, long, prose)."""
-    n, text = tokens(F.col("text")), F.col("text")
-    df = docs.select("doc_id", "source", "lang", n.alias("n_tokens"), text.contains(" | ").alias("bars"))
-    topic = F.when(F.col("n_tokens") < 100, "note").when(F.col("bars"), "table").when(F.col("n_tokens") >= 1000, "long").otherwise("prose")
-    return df.select("doc_id", "source", "lang", topic.alias("topic"), "n_tokens")
+    """docs with what mix() needs: token counts, and as topic the form of the text (note, table, long, prose).
+
+    Columns of docs named topic or n_tokens are replaced.
+    """
+    n = F.col("n_tokens")
+    topic = F.when(n < 100, "note").when(F.col("text").contains(" | "), "table").when(n >= 1000, "long").otherwise("prose")
+    return docs.withColumn("n_tokens", tokens(F.col("text"))).withColumn("topic", topic)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(topics(read(spark, sf_dir, "documents")))
+    rows = topics(read(spark, sf_dir, "documents")).select("doc_id", *SIDES, "n_tokens")
+    return mix(cut(rows))
 
 
 def oracle(documents: str = "documents", power: float = 0.5, keep: float = 0.5) -> str:

@@ -2,7 +2,9 @@
 
 Each document's base metrics are computed from its whole text, rule failures
 are summed by host, each host's failure rates are shrunk toward the corpus by
-a beta prior fitted to the hosts' own rates, and verdicts are joined back.
+a beta prior fitted to the hosts' own rates, hosts whose rate is all but surely
+a multiple of the corpus's fail, and verdicts are joined back.  Repeated
+windows are told by 64-bit hashes of their words.
 
 Defined cases: a null or empty text has no words, zero counts and fails the
 base; a null host is one host of its own; repeated rows count and are
@@ -21,6 +23,8 @@ from shoal.llm.common import SPACE, cut, read
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
+#: A host's limit: this many times the corpus rate, and no less than the floor; and the standard deviations it must be exceeded by.
+FACTOR, FLOOR, SURE = 2.0, 0.1, 1.645
 
 #: Document rules whose failures are summed by host: (name, condition on the metrics).
 RULES = {
@@ -63,35 +67,39 @@ def metrics(docs: DataFrame, host: str = "source") -> DataFrame:
     return df.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
 
-def host_verdicts(measured: DataFrame, limit: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, factor: float = FACTOR, floor: float = FLOOR, sure: float = SURE) -> DataFrame:
     """host, n_docs, one shrunk rate for each rule, host_failed.
 
-    The prior Beta(a, b) has the mean and variance of the hosts' rates
-    (method of moments, hosts weighted by documents); where the variance leaves no
-    such prior it is Beta(mean, 1 - mean), the weight of one document.
+    The prior Beta(a, b) has the mean of all documents and the variance between hosts: that of their observed
+    rates (weighted by documents) less what sampling alone would give.  Where nothing is left
+    of it hosts don't differ and all shrink to the mean.  A host fails by a rule if its posterior lies above the limit, the larger of ``floor``
+    and ``factor`` times the corpus rate, by ``sure`` standard deviations (1.645: probability 0.95, the beta taken as normal).
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.sum(F.expr(f"cast({rule} as int)")).alias(name) for name, rule in RULES.items()))
     hosts = cut(hosts)
-    moments = []
+    n = F.sum("n_docs")
+    moments = [n.alias("total"), F.count("*").alias("hosts"), F.sum(F.col("n_docs") * F.col("n_docs").cast("double")).alias("squares")]
     for name in RULES:
         rate = F.col(name) / F.col("n_docs")
-        mean = F.sum(name) / F.sum("n_docs")
-        moments += [mean.alias(f"m_{name}"), (F.sum(F.col("n_docs") * rate * rate) / F.sum("n_docs") - mean * mean).alias(f"v_{name}")]
-    prior = hosts.agg(*moments)
-    joined = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
-    rates = []
+        mean = F.sum(name) / n
+        moments += [mean.alias(f"m_{name}"), (F.sum(F.col("n_docs") * rate * rate) / n - mean * mean).alias(f"v_{name}")]
+    joined = hosts.crossJoin(F.broadcast(hosts.agg(*moments)))  # the moments are one row
+    rates, fails = [], []
     for name in RULES:
         m, v = F.col(f"m_{name}"), F.col(f"v_{name}")
-        weight = F.when((v > 1e-12) & (m * (1 - m) > v), m * (1 - m) / v - 1).otherwise(F.lit(1.0))
-        rates.append(((F.col(name) + weight * m) / (F.col("n_docs") + weight)).alias(f"rate_{name}"))
-    out = joined.select("host", "n_docs", *rates)
-    return out.withColumn("host_failed", reduce(lambda a, b: a | b, (F.col(f"rate_{name}") > limit for name in RULES)))
+        own = F.greatest(F.lit(1e-12), (v - (F.col("hosts") - 1) * m * (1 - m) / F.col("total")) / F.greatest(F.lit(1e-9), 1 - F.col("squares") / (F.col("total") * F.col("total"))))
+        weight = F.greatest(F.lit(1.0), m * (1 - m) / own - 1)
+        n_all = F.col("n_docs") + weight
+        p = (F.col(name) + weight * m) / n_all
+        rates.append(p.alias(f"rate_{name}"))
+        fails.append(p - sure * F.sqrt(p * (1 - p) / (n_all + 1)) > F.greatest(F.lit(floor), factor * m))
+    return joined.select("host", "n_docs", *rates, reduce(lambda a, b: a | b, fails).alias("host_failed"))
 
 
-def judge(docs: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """The operator: doc_id, base metrics, base_failed, host_failed and kept for each row of docs."""
     measured = cut(metrics(docs, host))
-    verdicts = host_verdicts(measured, limit).select(F.col("host").alias("of"), "host_failed")
+    verdicts = host_verdicts(measured).select(F.col("host").alias("of"), "host_failed")
     kept = ~F.col("base_failed") & ~F.col("host_failed")
     return measured.join(verdicts, F.col("host").eqNullSafe(F.col("of"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", kept.alias("kept"))
 
@@ -123,14 +131,17 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT host, count(*) AS n_docs, """
     + ", ".join(f"sum(r_{name})::DOUBLE AS {name}" for name in RULES)
     + """ FROM f GROUP BY host),
-p AS (SELECT """
+p AS (SELECT sum(n_docs) AS total, count(*) AS hosts, sum(n_docs::DOUBLE * n_docs) AS squares, """
     + ", ".join(f"sum({n})/sum(n_docs) AS m_{n}, sum(n_docs*({n}/n_docs)*({n}/n_docs))/sum(n_docs) - (sum({n})/sum(n_docs))*(sum({n})/sum(n_docs)) AS v_{n}" for n in RULES)
     + """ FROM h),
+u AS (SELECT *, """
+    + ", ".join(f"greatest(1.0::DOUBLE, m_{n}*(1-m_{n}) / greatest(1e-12, (v_{n} - (hosts-1)*m_{n}*(1-m_{n})/total) / greatest(1e-9, 1 - squares/(total::DOUBLE*total))) - 1) AS w_{n}" for n in RULES)
+    + """ FROM h, p),
 v AS (SELECT host, """
-    + " OR ".join(f"({n} + w_{n}*m_{n})/(n_docs + w_{n}) > 0.5" for n in RULES)
-    + " AS host_failed FROM (SELECT h.*, p.*, "
-    + ", ".join(f"CASE WHEN v_{n} > 1e-12 AND m_{n}*(1-m_{n}) > v_{n} THEN m_{n}*(1-m_{n})/v_{n} - 1 ELSE 1.0 END AS w_{n}" for n in RULES)
-    + """ FROM h, p))
+    + " OR ".join(f"q_{n} - {SURE}*sqrt(q_{n}*(1-q_{n})/(n_docs + w_{n} + 1)) > greatest({FLOOR}, {FACTOR}*m_{n})" for n in RULES)
+    + " AS host_failed FROM (SELECT *, "
+    + ", ".join(f"({n} + w_{n}*m_{n})/(n_docs + w_{n}) AS q_{n}" for n in RULES)
+    + """ FROM u))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
   NOT base_failed AND NOT host_failed AS kept FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 """

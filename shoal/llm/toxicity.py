@@ -333,13 +333,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2400, max_chars: i
 
 
 def fit(texts: list[str], y: np.ndarray, folds: int = 3, few: int = 20) -> dict | None:
-    """A model of all texts, pooled and cut as cross-validated models of the folds suggest; texts in an order that deals classes evenly."""
+    """A model of all texts, pooled and cut as cross-validated models of the folds suggest."""
     if not len(y) or y.min() == y.max():
         return None
     model = train(texts, y)
     if min(y.sum(), (1 - y).sum()) < few:
         return model
-    part, parts, labels = np.arange(len(y)) % folds, [], []
+    part, parts, labels = np.empty(len(y), np.int64), [], []
+    part[np.argsort(y, kind="stable")] = np.arange(len(y)) % folds  # each class evenly
     for k in range(folds):
         scorer = Scorer(train([t for t, i in zip(texts, part) if i != k], y[part != k]))
         apart, own = [t for t, i in zip(texts, part) if i == k], y[part == k]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -26,6 +27,7 @@ def test_mixing(spark, edge, nothing):
     docs = mixing.topics(edge)
     out = mixing.mix(docs)
     assert out.count() == edge.count() and mixing.mix(mixing.topics(nothing)).count() == 0
+    assert set(edge.columns) < set(out.columns) and {r.text for r in out.collect()} == {r.text for r in edge.collect()}
     big = spark.createDataFrame([(i, "a" if i % 3 else "b", "en" if i % 5 else None, "t", 10 + i % 7) for i in range(600)], "doc_id long, source string, lang string, topic string, n_tokens long")
     goal = {"source": spark.createDataFrame([("a", 0.3), ("b", 0.7)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.5), (None, 0.5)], "lang string, share double")}
     got = mixing.mix(big, goal, keep=0.4).toPandas()
@@ -75,6 +77,24 @@ def test_quality_hosts(spark):
     assert got.host_failed.sum() == 50 and set(got.doc_id[got.host_failed]) == set(range(50)) and got.kept.sum() == 100
 
 
+def test_quality_hosts_among_the_tables(spark):
+    """Two hosts of mixed pages planted among the given documents fail, no other does; Spark and SQL agree."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
+    prose = docs.where("length(text) between 500 and 2000").orderBy("doc_id").limit(400).toPandas()
+    prose["source"] = ["planted a" if i % 2 else "planted b" for i in range(len(prose))]
+    prose["doc_id"] += 10_000_000
+    spoilt = [t if i % 5 < 2 else ("\n".join([t[:60]] * 12) if host == "planted a" else t.replace(" ", " ## ")) for i, (t, host) in enumerate(zip(prose["text"], prose["source"]))]
+    table = docs.unionByName(spark.createDataFrame(prose.assign(text=spoilt)))
+    got = quality.judge(table).toPandas()
+    host = table.toPandas().set_index("doc_id")["source"]
+    assert set(host[got.doc_id[got.host_failed]]) == {"planted a", "planted b"}
+    with duckdb.connect() as con:
+        con.register("documents", table.toPandas())
+        want = con.execute(quality.ORACLE).df()
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, want[cols].itertuples(index=False))) == sorted(map(tuple, got[cols].itertuples(index=False)))
+
+
 # 3
 
 
@@ -273,7 +293,7 @@ def toxic_corpus(n, seed):
 
 
 def test_toxicity_held_out():
-    model = toxicity.train(*toxic_corpus(400, 1))
+    model = toxicity.fit(*toxic_corpus(400, 1))
     texts, y = toxic_corpus(150, 2)
     got = toxicity.Scorer(model)(texts)
     assert ((got >= 0.3) == y).mean() > 0.93
