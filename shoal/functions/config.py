@@ -27,6 +27,8 @@ class Config:
     cluster_flag_threshold: float = 0.5
     louvain_resolution: float = 1.0
     seed: int = 42
+    #: Pairs of a cluster that overlap and copy shares are taken over, in order of members; None takes all.
+    first_pairs: int | None = None
     blocked: tuple[str, ...] = BLOCKED
 
     @property

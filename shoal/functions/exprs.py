@@ -50,9 +50,10 @@ def rounded(x, digits: int) -> Column:
 
 
 def level(score) -> Column:
-    out = None
+    """Scores are products taken in no fixed order, so they are held against the limits at nine digits."""
+    out, score = None, F.round(col(score), 9)
     for limit, name in LEVELS:
-        out = (F.when if out is None else out.when)(col(score) >= limit, name)
+        out = (F.when if out is None else out.when)(score >= limit, name)
     return out.otherwise("low")
 
 
@@ -82,17 +83,26 @@ def tweet_id(value) -> Column:
 
 
 def iso_us(value) -> Column:
-    """ISO text, with Z or an offset or none (UTC), or the legacy form `Thu Jan 22 10:23:48 +0000 2026`."""
+    """ISO text, with Z or an offset or none (UTC), the legacy form `Thu Jan 22 10:23:48 +0000 2026`, or the mail form `Thu, 22 Jan 2026 10:23:48 +0000`."""
     v = F.trim(col(value))
     legacy = F.try_to_timestamp(F.substring(v, 5, 26), F.lit("MMM dd HH:mm:ss Z yyyy"))
-    return F.unix_micros(F.coalesce(v.try_cast("timestamp"), legacy))
+    bare = F.regexp_replace(F.regexp_replace(v, r"^[A-Za-z]{3},\s*", ""), r"\s+(GMT|UTC|UT|Z)$", " +0000")
+    mail = F.try_to_timestamp(F.when(bare.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} "), bare), F.lit("d MMM yyyy HH:mm:ss Z"))
+    return F.unix_micros(F.coalesce(v.try_cast("timestamp"), legacy, mail))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def normalize_text(text) -> Column:
     """Lower-cased letters and digits with single spaces; addresses and mentions go. Null gives an empty text."""
-    t = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?U)https?://\S+", " ")
-    t = F.regexp_replace(t, r"@[\p{L}\p{N}_]+", " ")
-    return F.lower(F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")))
+    t = F.coalesce(col(text), F.lit(""))
+    # texts without an address or mention skip those patterns, and single spaces stay as they are
+    t = let(t, lambda t: F.when(t.contains("http"), F.regexp_replace(t, r"(?U)https?://\S+", " ")).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains("@"), F.regexp_replace(t, r"@[\p{L}\p{N}_]+", " ")).otherwise(t))
+    return F.lower(F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]{2,}|[^\p{L}\p{N} ]", " ")))
 
 
 def trigrams(text) -> Column:

@@ -64,7 +64,9 @@ def cadence(posts: DataFrame) -> DataFrame:
 
 def duplicate_share(rows: DataFrame, keys: list[str], text: str, least_chars: int) -> DataFrame:
     """keys, texts (of at least least_chars once normalised), copies among them, and their share."""
-    counted = rows.select(*keys, normalize_text(text).alias("t")).where(F.length("t") >= least_chars).groupBy(*keys, "t").agg(F.count("*").alias("c"))
+    # the length is aggregated beside the digest: a filter on it would repeat the text's patterns below
+    hashed = rows.select(*keys, normalize_text(text).alias("t")).select(*keys, F.sha2("t", 256).alias("h"), F.length("t").alias("n"))
+    counted = hashed.groupBy(*keys, "h").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("n") >= least_chars)
     return counted.groupBy(*keys).agg(F.sum("c").alias("texts"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("copies")).withColumn("share", F.col("copies") / F.col("texts"))
 
 
@@ -75,10 +77,31 @@ def clients(posts: DataFrame) -> DataFrame:
     return rows.groupBy("owner_id").agg(F.count("*").alias("client_items"), rounded(F.avg(third), 3).alias("third_party_client_share"))
 
 
+def most_common(posts: DataFrame, column: str, k: int, name: str, keep=None) -> DataFrame:
+    """owner_id and, as name, the k most common values with their counts, most common first."""
+    top = top_values(posts, column, k, keep)
+    return top.groupBy("owner_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(name))  # k values at most
+
+
 def timeline_metrics(posts: DataFrame) -> DataFrame:
+    """One row for each owner: items by kind, amplified handles, languages, cadence with the hours' histogram, own texts and clients."""
     dup = duplicate_share(posts.where("kind <> 'repost'"), ["owner_id"], "text", 20).select("owner_id", F.col("texts").alias("own_texts"), rounded("share", 3).alias("duplicate_share"))
+    by_kind = posts.groupBy("owner_id", "kind").agg(F.count("*").alias("n")).groupBy("owner_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+    amplified = F.col("kind").isin("repost", "quote") & (F.coalesce("target_handle", F.lit("")) != "")
+    own = posts.groupBy("owner_id").agg(F.count_if(amplified & F.col("target_id").eqNullSafe(F.col("owner_id"))).alias("self_reposts"))
+    hours = hour_histogram(posts).groupBy("owner_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "n"))), lambda x: x["n"]).alias("hour_histogram_utc"))  # 24 values
     out = kinds(posts)
-    for part in (cadence(posts), dup, clients(posts)):
+    for part in (
+        by_kind,
+        own,
+        top_amplified(posts).groupBy("owner_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_amplified")),
+        most_common(posts, "lang", 5, "languages"),
+        most_common(posts, "client", 5, "clients", F.col("kind") != "repost"),
+        cadence(posts),
+        hours,
+        dup,
+        clients(posts),
+    ):
         out = out.join(part, "owner_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("timed_items", "own_texts")})
 
@@ -98,5 +121,3 @@ def behavior_signals(metrics: DataFrame, accounts: DataFrame, cfg: Config) -> Da
     ]
     every = F.array(*(F.struct(F.lit(k).alias("signal"), s.cast("double").alias("score"), F.lit(w).alias("weight")) for k, w, s in rules))
     return m.select(F.col("owner_id").alias("id"), F.inline(F.filter(every, lambda x: x["score"] > 0)))
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.config import Config
@@ -30,12 +30,12 @@ def measure(edges: DataFrame, members: DataFrame, accounts: DataFrame, lists: Da
     amp = reposts.join(members, "member_id").select(F.col("cluster_id").alias("grp"), F.col("member_id").alias("owner"), "item")
     named = m.select(F.col("cluster_id").alias("grp"), F.col("member_id").alias("pos"), F.col("name").alias("text"))
     bios = m.where("description <> ''").select(F.col("cluster_id").alias("grp"), F.col("member_id").alias("pos"), F.col("description").alias("text"))
-    co = network.mean_pairwise_jaccard(amp).select(F.col("grp").alias("cluster_id"), F.when(F.col("n_sets") >= 3, F.col("mean_jaccard")).alias("co_amplification"))
+    co = network.mean_pairwise_jaccard(amp, cfg.first_pairs).select(F.col("grp").alias("cluster_id"), F.when(F.col("n_sets") >= 3, F.col("mean_jaccard")).alias("co_amplification"))
     for part in (
-        network.mean_pairwise_jaccard(sets).select(F.col("grp").alias("cluster_id"), F.col("mean_jaccard").alias("following_jaccard")),
+        network.mean_pairwise_jaccard(sets, cfg.first_pairs).select(F.col("grp").alias("cluster_id"), F.col("mean_jaccard").alias("following_jaccard")),
         co,
-        network.near_duplicate_share(named, 0.8).select(F.col("grp").alias("cluster_id"), F.col("share").alias("name_dup_share")),
-        network.near_duplicate_share(bios, 0.6, 12).select(F.col("grp").alias("cluster_id"), F.col("share").alias("bio_dup_share")),
+        network.near_duplicate_share(named, 0.8, first_pairs=cfg.first_pairs).select(F.col("grp").alias("cluster_id"), F.col("share").alias("name_dup_share")),
+        network.near_duplicate_share(bios, 0.6, 12, cfg.first_pairs).select(F.col("grp").alias("cluster_id"), F.col("share").alias("bio_dup_share")),
     ):
         out = out.join(part, "cluster_id", "left")
     return out
@@ -80,6 +80,19 @@ def signals(measured: DataFrame, cfg: Config, baseline: DataFrame | None = None)
     return d.select("cluster_id", F.inline(F.filter(every, lambda x: x["score"] > 0)))
 
 
+def numbered(scored: DataFrame) -> DataFrame:
+    """scored with rank, 1 for the highest score (larger clusters first among equals, then by cluster_id).
+
+    A count of the clusters above each distinct (score, size), so that no single task orders all clusters.
+    """
+    grades = scored.groupBy("score", "size").agg(F.count("*").alias("c"))
+    above = grades.select(F.col("score").alias("s"), F.col("size").alias("z"), F.col("c").alias("k"))
+    higher = (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & (F.col("z") > F.col("size")))
+    before = grades.join(above, higher, "left").groupBy("score", "size").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("score", "size").orderBy("cluster_id"))
+    return scored.join(before, ["score", "size"]).withColumn("rank", F.col("before") + within).drop("before")
+
+
 def scores(measured: DataFrame, found: DataFrame, neighbours: bool = True) -> DataFrame:
     """cluster_id, size, score, level."""
     kind = lambda names: F.when(F.col("signal").isin(*names), F.col("score")).otherwise(0.0)

@@ -11,7 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.functions.exprs import normalize_text, ramp, trigrams
+from shoal.functions.exprs import jaccard, normalize_text, ramp, trigrams
+from shoal.sources.shared import table
 
 
 def _named(column: str):
@@ -50,7 +51,7 @@ def structure(edges: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumns({"density": F.when(n > 1, F.col("n_edges") / (n * (n - 1))).otherwise(0.0), "reciprocity": F.when(F.col("linked") > 0, F.col("mutual") / F.col("linked")).otherwise(0.0)})
 
 
-def mean_pairwise_jaccard(sets: DataFrame, first_pairs: int | None = 5000) -> DataFrame:
+def mean_pairwise_jaccard(sets: DataFrame, first_pairs: int | None = None) -> DataFrame:
     """group, n_sets, mean_jaccard over pairs of a group's sets. sets: grp, owner, item (distinct).
 
     Intersections are counted by a join on shared items, so pairs without
@@ -61,7 +62,11 @@ def mean_pairwise_jaccard(sets: DataFrame, first_pairs: int | None = 5000) -> Da
     sized = sets.groupBy("grp", "owner").agg(F.count("*").alias("size")).withColumn("i", order)
     total = sized.groupBy("grp").agg(F.count("*").alias("n_sets"))
     held = sets.join(sized, ["grp", "owner"]).join(total, "grp")
-    a = held.select("grp", "item", "n_sets", F.col("i").alias("ia"), F.col("size").alias("sa"))
+    if first_pairs is not None:  # owners whose first pair comes too late are left out before the join
+        held = held.withColumn("leads", F.col("i") * F.col("n_sets") - (F.col("i") * (F.col("i") + 1)) / 2 < first_pairs)
+    else:
+        held = held.withColumn("leads", F.lit(True))
+    a = held.where("leads").select("grp", "item", "n_sets", F.col("i").alias("ia"), F.col("size").alias("sa"))
     b = held.select("grp", "item", F.col("i").alias("ib"), F.col("size").alias("sb"))
     shared = a.join(b, ["grp", "item"]).where("ia < ib").groupBy("grp", "ia", "ib", "sa", "sb", "n_sets").agg(F.count("*").alias("both"))
     place = F.col("ia") * F.col("n_sets") - (F.col("ia") * (F.col("ia") + 1)) / 2 + F.col("ib") - F.col("ia") - 1
@@ -73,25 +78,36 @@ def mean_pairwise_jaccard(sets: DataFrame, first_pairs: int | None = 5000) -> Da
     return total.join(summed, "grp", "left").select("grp", "n_sets", F.when(F.col("n_sets") >= 2, F.coalesce("s", F.lit(0.0)) / pairs).alias("mean_jaccard"))
 
 
-def near_duplicate_share(texts: DataFrame, threshold: float, least_chars: int = 3, first_pairs: int | None = 5000) -> DataFrame:
+def near_duplicate_share(texts: DataFrame, threshold: float, least_chars: int = 3, first_pairs: int | None = None) -> DataFrame:
     """grp, n_texts, share of pairs whose character trigrams reach the Jaccard threshold. texts: grp, pos, text; under three texts gives null.
 
-    Equal normalised texts are one row with a count of places; only pairs that share a trigram are compared.
+    Equal normalised texts are one row with a count; of the others only pairs that share one of each other's rarest
+    trigrams are compared: a pair that reaches the threshold has one among the first size - ceil(threshold * size) + 1 of each side.
+    first_pairs keeps the first so many pairs in order of pos (a parity setting; None takes all), for which texts stay apart.
     """
-    t = texts.select("grp", "pos", normalize_text("text").alias("t")).where(F.length("t") >= least_chars)
-    t = t.withColumn("i", F.row_number().over(Window.partitionBy("grp").orderBy("pos")) - 1)
-    total = t.groupBy("grp").agg(F.count("*").alias("n_texts"))
-    grams = t.select("grp", "i", F.explode(trigrams("t")).alias("g"))
-    sized = t.select("grp", "i", F.size(trigrams("t")).alias("size"))
-    both = grams.alias("x").join(grams.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.grp").alias("grp"), F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).agg(F.count("*").alias("both"))
-    both = both.join(sized.select("grp", F.col("i").alias("ia"), F.col("size").alias("sa")), ["grp", "ia"]).join(sized.select("grp", F.col("i").alias("ib"), F.col("size").alias("sb")), ["grp", "ib"]).join(total, "grp")
-    place = F.col("ia") * F.col("n_texts") - (F.col("ia") * (F.col("ia") + 1)) / 2 + F.col("ib") - F.col("ia") - 1
-    near = both.where(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")) >= threshold)
-    near = near if first_pairs is None else near.where(place < first_pairs)
-    counted = near.groupBy("grp").agg(F.count("*").alias("near"))
+    t = texts.select("grp", "pos", normalize_text("text").alias("t")).withColumn("n", F.length("t"))
+    if first_pairs is None:
+        t = t.groupBy("grp", F.sha2("t", 256).alias("i")).agg(F.count("*").alias("c"), F.any_value("t").alias("t"), F.max("n").alias("n"))
+    else:
+        t = t.where(F.col("n") >= least_chars).select("grp", (F.row_number().over(Window.partitionBy("grp").orderBy("pos")) - 1).alias("i"), F.lit(1).alias("c"), "t", "n")
+    rows = table(t.where(F.col("n") >= least_chars).select("grp", "i", "c", trigrams("t").alias("grams")))
+    total = rows.groupBy("grp").agg(F.sum("c").alias("n_texts"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("equal"))
+    each = rows.select("grp", "i", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    held = each.join(each.groupBy("grp", "gram").agg(F.count("*").alias("f")), ["grp", "gram"]).groupBy("grp", "i", "size").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("grams"))  # one text's
+    reach = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    rare = held.select("grp", "i", "size", F.explode(F.transform(F.slice("grams", F.lit(1), reach.cast("int")), lambda x: x["gram"])).alias("gram"))
+    x, y = rare.alias("x"), rare.alias("y")
+    close = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-9
+    met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.i") < F.col("y.i")) & close).select(F.col("x.grp").alias("grp"), F.col("x.i").alias("ia"), F.col("y.i").alias("ib"))
+    if first_pairs is not None:
+        place = F.col("ia") * F.col("n_texts") - (F.col("ia") * (F.col("ia") + 1)) / 2 + F.col("ib") - F.col("ia") - 1
+        met = met.join(total, "grp").where(place < first_pairs).select("grp", "ia", "ib")
+    one = lambda end: rows.select("grp", F.col("i").alias(f"i{end}"), F.col("c").alias(f"c{end}"), F.col("grams").alias(f"g{end}"))
+    near = met.distinct().join(one("a"), ["grp", "ia"]).join(one("b"), ["grp", "ib"]).where(jaccard("ga", "gb") >= threshold)
+    counted = near.groupBy("grp").agg(F.sum(F.col("ca") * F.col("cb")).alias("near"))
     pairs = F.col("n_texts") * (F.col("n_texts") - 1) / 2
     pairs = pairs if first_pairs is None else F.least(pairs, F.lit(first_pairs))
-    return total.join(counted, "grp", "left").select("grp", "n_texts", F.when(F.col("n_texts") >= 3, F.coalesce("near", F.lit(0)) / pairs).alias("share"))
+    return total.join(counted, "grp", "left").select("grp", "n_texts", F.when(F.col("n_texts") >= 3, (F.coalesce("near", F.lit(0)) + F.col("equal")) / pairs).alias("share"))
 
 
 def shared_targets(lists: DataFrame, members: DataFrame, most: int = 15, least_share: float = 0.5) -> DataFrame:
@@ -162,6 +178,12 @@ def pair_overlap(seeds: DataFrame, accounts: DataFrame, lists: DataFrame, posts:
     return pairs.select("a", "b", "followers_jaccard", "following_jaccard", "shared_followers", "shared_following", "a_follows_b", "b_follows_a", "created_days_apart", "shared_amplified_accounts", "shared_reposted_posts", "a_amplifies_b", "b_amplifies_a")
 
 
+def informative(pairs: DataFrame) -> DataFrame:
+    """The pairs with something to show: two lists of a kind, a follow, or shared amplification."""
+    shown = F.col("followers_jaccard").isNotNull() | F.col("following_jaccard").isNotNull() | F.col("a_follows_b") | F.col("b_follows_a") | (F.col("shared_amplified_accounts") > 0) | (F.col("shared_reposted_posts") > 0)
+    return pairs.where(F.coalesce(shown, F.lit(False)))
+
+
 def roles(seeds: DataFrame, lists: DataFrame, posts: DataFrame, expanded: DataFrame, engagers: DataFrame, accounts: DataFrame) -> DataFrame:
     """id, roles (in order of rule, comma-joined); 2nd-degree only where no earlier rule gave a role, other where none did."""
     seed = seeds.select(F.col("seed_id").alias("owner_id")).distinct()

@@ -19,10 +19,14 @@ def _by(keys):
 def densest_window(rows: DataFrame, keys: list[str], days: float, ts: str = "ts") -> DataFrame:
     """keys, total, count, share, start_us, end_us of the fullest closed window; the earliest end wins ties. Null times don't count."""
     w = int(days * DAY_US)
-    frame = _by(keys).orderBy(ts).rangeBetween(-w, 0)
-    counted = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("end_us"), F.count("*").over(frame).alias("count"), F.min(ts).over(frame).alias("start_us"))
+    # equal times are one row; blocks of the window's length, each with the one before it, so that no group is one task
+    dated = rows.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("end_us")).agg(F.count("*").alias("c"))
+    block = F.floor(F.col("end_us") / F.lit(max(w, 1)))
+    dealt = dated.withColumn("_block", F.explode(F.array(block, block + 1)))
+    frame = _by([*keys, "_block"]).orderBy("end_us").rangeBetween(-w, 0)
+    counted = dealt.select(*keys, "_block", "c", "end_us", F.sum("c").over(frame).alias("count"), F.min("end_us").over(frame).alias("start_us")).where(F.col("_block") == block)
     # one aggregate: the largest count, then the smallest end
-    best = counted.groupBy(*keys).agg(F.count("*").alias("total"), F.max(F.struct("count", (-F.col("end_us")).alias("e"), "start_us")).alias("b"))
+    best = counted.groupBy(*keys).agg(F.sum("c").alias("total"), F.max(F.struct("count", (-F.col("end_us")).alias("e"), "start_us")).alias("b"))
     return best.select(*keys, "total", F.col("b.count").alias("count"), (F.col("b.count") / F.col("total")).alias("share"), F.col("b.start_us").alias("start_us"), (-F.col("b.e")).alias("end_us"))
 
 

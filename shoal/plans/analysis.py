@@ -33,12 +33,12 @@ def analyze(t: dict[str, DataFrame], cfg: Config) -> dict[str, DataFrame]:
 
     # the analysed handles themselves, when three or more of them have a list
     observed = of_seed.select("owner_id").distinct()
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))  # seeds are the analysed handles: a stated, small set
-    group = cut(observed.withColumn("n", n).where(F.col("n") >= max(3, cfg.min_cluster_size)).select(F.lit("seed-group").alias("cluster_id"), F.col("owner_id").alias("member_id")))
+    n = observed.agg(F.count("*").alias("n"))
+    group = cut(observed.crossJoin(F.broadcast(n)).where(F.col("n") >= max(3, cfg.min_cluster_size)).select(F.lit("seed-group").alias("cluster_id"), F.col("owner_id").alias("member_id")))
     group_measured = clusters.measure(edges, group, accounts, lists, posts, meta, cfg)
     group_signals = clusters.signals(group_measured, cfg)
     group_scores = clusters.scores(group_measured, group_signals, neighbours=False).withColumn("kind", F.lit("seed-group"))
-    all_scores = cut(scored.withColumn("cluster_id", F.col("cluster_id").cast("string")).unionByName(group_scores))
+    all_scores = cut(clusters.numbered(scored.withColumn("cluster_id", F.col("cluster_id").cast("string")).unionByName(group_scores)))
 
     ties = network.seed_ties(edges, members, seeds).select("seed_id", F.col("cluster_id").cast("string").alias("cluster_id"), "attachment").unionByName(group.select(F.col("member_id").alias("seed_id"), "cluster_id", F.lit(1.0).alias("attachment")))
     best = ties.where("attachment > 0").join(all_scores, "cluster_id").withColumn("k", F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc(F.col("attachment") * F.col("score")), F.desc("score"), F.desc("size"), "cluster_id"))).where("k = 1")
@@ -68,6 +68,7 @@ def analyze(t: dict[str, DataFrame], cfg: Config) -> dict[str, DataFrame]:
         "cluster_members": members,
         "cluster_signals": cluster_signals,
         "pairs": network.pair_overlap(seeds, accounts, lists, posts),
+        "metrics": profile.account_metrics(accounts, cfg),
         "engagements": engagement.scored(summaries),
         "group": group_summary(seeds, accounts, cfg),
         "edges": edges,

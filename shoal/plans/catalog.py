@@ -145,22 +145,22 @@ _SIGNALS = (
     + "), signals AS (SELECT * FROM rules WHERE score > 0)"
 )
 _SCORES = f"{_SIGNALS}, scores AS (SELECT accounts.id, coalesce(s.score, 0.0)::DOUBLE AS score FROM accounts LEFT JOIN (SELECT id, 1 - product(1 - least(greatest(score * weight, 0), 0.999)) AS score FROM signals GROUP BY id) AS s ON s.id = accounts.id)"
-_LEVEL = "CASE WHEN score >= 0.7 THEN 'very high' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.3 THEN 'moderate' ELSE 'low' END"
+_LEVEL = "CASE WHEN round(score, 9) >= 0.7 THEN 'very high' WHEN round(score, 9) >= 0.5 THEN 'high' WHEN round(score, 9) >= 0.3 THEN 'moderate' ELSE 'low' END"
 
 
-@query(f"WITH {_SIGNALS} SELECT id, signal, round(score, 6) AS score, weight FROM signals", accounts="accounts")
+@query(f"WITH {_SIGNALS} SELECT id, signal, floor(score * 1e6 + 0.500001) / 1e6 AS score, weight FROM signals", accounts="accounts")
 def account_signals(accounts):
-    return r6(profile.account_signals(accounts, CONFIG), "score")
+    """Half units of the sixth place are common here and rounded by either engine in its own way; both sides lift them over the tie."""
+    return profile.account_signals(accounts, CONFIG).withColumn("score", F.floor(F.col("score") * 1e6 + 0.500001) / 1e6)
 
 
 def _scores(accounts: DataFrame) -> DataFrame:
     return profile.combine(accounts, "id", profile.account_signals(accounts, CONFIG))
 
 
-@query(f"WITH {_SCORES} SELECT id, round(score, 6) AS score, CASE WHEN abs(score - 0.3) < 1e-9 THEN 'moderate' ELSE {_LEVEL} END AS level FROM scores", accounts="accounts")
+@query(f"WITH {_SCORES} SELECT id, round(score, 6) AS score, {_LEVEL} AS level FROM scores", accounts="accounts")
 def account_scores(accounts):
-    s = _scores(accounts)
-    return r6(s.withColumn("level", F.when(F.abs(F.col("score") - 0.3) < 1e-9, "moderate").otherwise(exprs.level("score"))), "score")
+    return r6(_scores(accounts).withColumn("level", exprs.level("score")), "score")
 
 
 @query(f"WITH {_SCORES} SELECT {_LEVEL} AS level, count(*) AS n FROM scores GROUP BY 1", accounts="accounts")
@@ -352,12 +352,15 @@ def behavior_signals(posts, accounts):
 # graph
 
 
-@query("SELECT src, dst FROM edges", edges="edges")
-def follow_edges(edges):
-    """Edges rebuilt from follow lists: each source's followed accounts, and its own entry in theirs."""
-    lists = edges.select(F.col("src").alias("owner_id"), F.lit("following").alias("relation"), F.col("dst").alias("member_id")).unionAll(edges.select("dst", F.lit("followers"), "src"))
-    seeds, expanded = edges.select(F.col("dst").alias("seed_id")), edges.select(F.col("src").alias("account_id"))
-    return network.follow_edges(lists, seeds, expanded)
+def _all_lists(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nations' lists and the follows of the graph's sources."""
+    return lists.select("owner_id", "relation", "member_id").unionAll(edges.select("src", F.lit("following"), "dst"))
+
+
+@query("SELECT member_id AS src, owner_id AS dst FROM lists WHERE relation = 'followers' UNION SELECT owner_id, member_id FROM lists WHERE relation = 'following' UNION SELECT src, dst FROM edges", edges="edges", lists="lists")
+def follow_edges(edges, lists):
+    """Seeds are the nations with their lists, expanded accounts the sources of the graph with what they follow."""
+    return network.follow_edges(_all_lists(lists, edges), lists.select(F.col("owner_id").alias("seed_id")), edges.select(F.col("src").alias("account_id")))
 
 
 @query("SELECT owner_id AS src, target_id AS dst, count(*) AS weight FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS NOT NULL AND target_id <> owner_id GROUP BY ALL", posts="posts")
@@ -390,16 +393,16 @@ def mean_pairwise_jaccard(edges, members):
     return r6(network.mean_pairwise_jaccard(_jaccard_sets(edges, members), None), "mean_jaccard")
 
 
-@query("WITH f AS (SELECT DISTINCT cluster_id, src, dst FROM edges JOIN members ON member_id = src), c AS (SELECT cluster_id, dst AS target, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.cluster_id = f.cluster_id AND m.member_id = f.dst) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, target) AS rank FROM c) SELECT r.cluster_id, target, n, rank FROM r JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) s ON s.cluster_id = r.cluster_id WHERE rank <= 15 AND n >= greatest(2, ceil(size / 8))", edges="edges", members="members")
+@query("WITH f AS (SELECT DISTINCT cluster_id, src, dst FROM edges JOIN members ON member_id = src), c AS (SELECT cluster_id, dst AS target, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.cluster_id = f.cluster_id AND m.member_id = f.dst) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, target) AS rank FROM c) SELECT r.cluster_id, target, n, rank FROM r JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) s ON s.cluster_id = r.cluster_id WHERE rank <= 15 AND n >= greatest(2, ceil(size / 2))", edges="edges", members="members")
 def shared_targets(edges, members):
-    """The rule's threshold is half of a cluster; an eighth here, so that the sparse graph of the tables has some."""
     lists = edges.select(F.col("src").alias("owner_id"), F.lit("following").alias("relation"), F.col("dst").alias("member_id"))
-    return network.shared_targets(lists, members, least_share=0.125)
+    return network.shared_targets(lists, members)
 
 
-@query("WITH sd AS (SELECT DISTINCT src AS seed_id FROM edges WHERE src % 10 = 1), t AS (SELECT cluster_id, seed_id, member_id AS m, bool_or(edges.src = seed_id) AS o, bool_or(edges.dst = seed_id) AS i FROM sd JOIN edges ON edges.src = seed_id OR edges.dst = seed_id JOIN members ON member_id = CASE WHEN edges.src = seed_id THEN edges.dst ELSE edges.src END GROUP BY ALL), k AS (SELECT cluster_id, seed_id, count(*) FILTER (o AND i) AS mutual, count(*) FILTER (o AND NOT i) AS follows, count(*) FILTER (i AND NOT o) AS followed_by FROM t GROUP BY ALL) SELECT k.*, round(" + ramp("(2 * mutual + follows + followed_by) / (2.0 * size)", 0.15, 0.6) + ", 6) AS attachment FROM k JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) s ON s.cluster_id = k.cluster_id", edges="edges", members="members")
+@query("WITH sd AS (SELECT DISTINCT src AS seed_id FROM edges  ), t AS (SELECT cluster_id, seed_id, member_id AS m, bool_or(edges.src = seed_id) AS o, bool_or(edges.dst = seed_id) AS i FROM sd JOIN edges ON edges.src = seed_id OR edges.dst = seed_id JOIN members ON member_id = CASE WHEN edges.src = seed_id THEN edges.dst ELSE edges.src END GROUP BY ALL), k AS (SELECT cluster_id, seed_id, count(*) FILTER (o AND i) AS mutual, count(*) FILTER (o AND NOT i) AS follows, count(*) FILTER (i AND NOT o) AS followed_by FROM t GROUP BY ALL) SELECT k.*, round(" + ramp("(2 * mutual + follows + followed_by) / (2.0 * size)", 0.15, 0.6) + ", 6) AS attachment FROM k JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) s ON s.cluster_id = k.cluster_id", edges="edges", members="members")
 def seed_ties(edges, members):
-    seeds = edges.where("src % 10 = 1").select(F.col("src").alias("seed_id"))
+    """Every source of the graph is a seed."""
+    seeds = edges.select(F.col("src").alias("seed_id"))
     return r6(network.seed_ties(edges, members, seeds), "attachment")
 
 
@@ -419,10 +422,10 @@ def co_amplification(posts):
     return r6(network.mean_pairwise_jaccard(sets, None), "mean_jaccard")
 
 
-@query(f"WITH t AS (SELECT owner_id AS grp, pos, {NORMAL.format(x='text')} AS t FROM posts WHERE kind = 'reply' AND owner_id % 10 = 3), g AS (SELECT grp, pos, {GRAMS} AS g FROM t WHERE length(t) >= 3), n AS (SELECT grp, count(*) AS n_texts FROM g GROUP BY 1), p AS (SELECT a.grp, avg((len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.7)::INT) AS share FROM g a JOIN g b ON a.grp = b.grp AND a.pos < b.pos GROUP BY 1) SELECT n.grp, n_texts, CASE WHEN n_texts >= 3 THEN round(share, 6) END AS share FROM n LEFT JOIN p ON p.grp = n.grp", posts="posts")
+@query(f"WITH t AS (SELECT owner_id AS grp, pos, {NORMAL.format(x='text')} AS t FROM posts WHERE kind = 'reply'), g AS (SELECT grp, pos, {GRAMS} AS g FROM t WHERE length(t) >= 3), n AS (SELECT grp, count(*) AS n_texts FROM g GROUP BY 1), p AS (SELECT a.grp, avg((len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.7)::INT) AS share FROM g a JOIN g b ON a.grp = b.grp AND a.pos < b.pos GROUP BY 1) SELECT n.grp, n_texts, CASE WHEN n_texts >= 3 THEN round(share, 6) END AS share FROM n LEFT JOIN p ON p.grp = n.grp", posts="posts")
 def near_duplicate_share(posts):
-    """Of each tenth user's replies, a cluster of texts each."""
-    texts = posts.where("kind = 'reply' and owner_id % 10 = 3").select(F.col("owner_id").alias("grp"), "pos", "text")
+    """Of each user's replies, a cluster of texts each."""
+    texts = posts.where("kind = 'reply'").select(F.col("owner_id").alias("grp"), "pos", "text")
     return r6(network.near_duplicate_share(texts, 0.7, 3, None), "share")
 
 
@@ -467,27 +470,44 @@ def engagement_signals(posts, accounts):
     return r6(engagement.signals(_engagement_summary(posts, accounts)), "score")
 
 
-@query("SELECT a.owner_id AS a, b.owner_id AS b, count(*) AS shared FROM (SELECT DISTINCT owner_id, target_post_id AS p FROM posts WHERE kind = 'repost') a JOIN (SELECT DISTINCT owner_id, target_post_id AS p FROM posts WHERE kind = 'repost') b ON a.p = b.p AND a.owner_id < b.owner_id WHERE a.owner_id < 12 AND b.owner_id < 12 GROUP BY ALL", posts="posts", lists="lists", accounts="accounts")
+def _tie(name: str, rows: str) -> str:
+    return f"{name}s AS (SELECT DISTINCT {rows}), {name} AS (SELECT x.o AS a, y.o AS b, count(*) AS n FROM {name}s x JOIN {name}s y ON x.i = y.i AND x.o < y.o JOIN sd s ON s.id = x.o JOIN sd t ON t.id = y.o GROUP BY ALL), {name}n AS (SELECT o, count(*) AS n FROM {name}s GROUP BY 1)"
+
+
+_PAIRS = f"""sd AS (SELECT DISTINCT owner_id AS id FROM lists), {_tie("fl", "owner_id AS o, member_id AS i FROM lists WHERE relation = 'followers'")}, {_tie("fg", "owner_id AS o, member_id AS i FROM lists WHERE relation = 'following'")},
+{_tie("am", "owner_id AS o, target_id AS i FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS NOT NULL")}, {_tie("rp", "owner_id AS o, target_post_id AS i FROM posts WHERE kind = 'repost' AND target_post_id IS NOT NULL")},
+seen AS (SELECT o AS u, i AS v FROM fgs UNION SELECT i, o FROM fls), w AS (SELECT owner_id AS u, target_id AS v, count(*) AS n FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS NOT NULL AND target_id <> owner_id GROUP BY ALL),
+prs AS (SELECT x.id AS a, y.id AS b FROM sd x JOIN sd y ON x.id < y.id)"""
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT p.a, p.b, round(CASE WHEN la.n > 0 AND lb.n > 0 THEN coalesce(fl.n, 0) / (la.n + lb.n - coalesce(fl.n, 0)) END, 6) AS followers_jaccard, round(CASE WHEN ga.n > 0 AND gb.n > 0 THEN coalesce(fg.n, 0) / (ga.n + gb.n - coalesce(fg.n, 0)) END, 6) AS following_jaccard,
+    coalesce(fl.n, 0) AS shared_followers, coalesce(fg.n, 0) AS shared_following, CASE WHEN s1.u IS NOT NULL THEN TRUE WHEN ga.n > 0 OR lb.n > 0 THEN FALSE END AS a_follows_b, CASE WHEN s2.u IS NOT NULL THEN TRUE WHEN gb.n > 0 OR la.n > 0 THEN FALSE END AS b_follows_a,
+    round(abs(ca.created_us - cb.created_us) / 86400e6, 6) AS created_days_apart, coalesce(am.n, 0) AS shared_amplified_accounts, coalesce(rp.n, 0) AS shared_reposted_posts, coalesce(w1.n, 0) AS a_amplifies_b, coalesce(w2.n, 0) AS b_amplifies_a
+    FROM prs p LEFT JOIN fl ON fl.a = p.a AND fl.b = p.b LEFT JOIN fg ON fg.a = p.a AND fg.b = p.b LEFT JOIN am ON am.a = p.a AND am.b = p.b LEFT JOIN rp ON rp.a = p.a AND rp.b = p.b LEFT JOIN fln la ON la.o = p.a LEFT JOIN fln lb ON lb.o = p.b LEFT JOIN fgn ga ON ga.o = p.a LEFT JOIN fgn gb ON gb.o = p.b
+    LEFT JOIN seen s1 ON s1.u = p.a AND s1.v = p.b LEFT JOIN seen s2 ON s2.u = p.b AND s2.v = p.a LEFT JOIN w w1 ON w1.u = p.a AND w1.v = p.b LEFT JOIN w w2 ON w2.u = p.b AND w2.v = p.a LEFT JOIN accounts ca ON ca.key = p.a LEFT JOIN accounts cb ON cb.key = p.b""",
+    posts="posts",
+    lists="lists",
+    accounts="accounts",
+)
 def pair_overlap(posts, lists, accounts):
-    """The dozen analysed handles are users 0 to 11 (seeds of an analysis are a stated set)."""
-    seeds = posts.where("owner_id < 12").select("owner_id").distinct().select(F.col("owner_id").alias("seed_id"), F.col("owner_id").cast("int").alias("pos"))
-    p = network.pair_overlap(seeds, accounts.withColumn("id", F.col("key")), lists, posts)
-    return p.where("shared_reposted_posts > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("shared_reposted_posts").alias("shared"))
+    """Every two nations, the seeds that have lists, with all measures; each pair has a list or more, so all are informative."""
+    seeds = lists.select("owner_id").distinct().select(F.col("owner_id").alias("seed_id"), F.col("owner_id").cast("int").alias("pos"))
+    p = network.informative(network.pair_overlap(seeds, accounts.withColumn("id", F.col("key")), lists, posts))
+    return r6(p, "followers_jaccard", "following_jaccard", "created_days_apart")
 
 
-_ROLES = """lst AS (SELECT * FROM lists), sd AS (SELECT DISTINCT owner_id AS id FROM lists WHERE owner_id < 5), ex AS (SELECT DISTINCT owner_id AS id FROM lists WHERE owner_id >= 20),
-ev AS (SELECT id, 0 AS p, 'seed' AS r FROM sd UNION SELECT member_id, 1, 'follower' FROM lst WHERE relation = 'followers' AND owner_id IN (SELECT id FROM sd) UNION SELECT member_id, 2, 'following' FROM lst WHERE relation = 'following' AND owner_id IN (SELECT id FROM sd)
- UNION SELECT target_id, 3, 'amplified' FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS NOT NULL AND owner_id IN (SELECT id FROM sd) UNION SELECT id, 4, 'expanded' FROM ex UNION SELECT member_id, 5, '2nd-degree' FROM lst WHERE relation = 'following' AND owner_id IN (SELECT id FROM ex)
+_ROLES = """sd AS (SELECT DISTINCT owner_id AS id FROM lists), ex AS (SELECT DISTINCT src AS id FROM edges),
+ev AS (SELECT id, 0 AS p, 'seed' AS r FROM sd UNION SELECT member_id, 1, 'follower' FROM lists WHERE relation = 'followers' UNION SELECT member_id, 2, 'following' FROM lists WHERE relation = 'following' UNION SELECT dst, 2, 'following' FROM edges WHERE src IN (SELECT id FROM sd)
+ UNION SELECT target_id, 3, 'amplified' FROM posts WHERE kind IN ('repost', 'quote') AND target_id IS NOT NULL AND owner_id IN (SELECT id FROM sd) UNION SELECT id, 4, 'expanded' FROM ex UNION SELECT dst, 5, '2nd-degree' FROM edges UNION SELECT member_id, 5, '2nd-degree' FROM lists WHERE relation = 'following' AND owner_id IN (SELECT id FROM ex)
  UNION SELECT owner_id, 6, 'engager' FROM posts WHERE kind IN ('repost', 'reply') UNION SELECT key, 7, 'other' FROM accounts), mn AS (SELECT id, min(p) AS lo, count(*) AS n FROM ev GROUP BY 1)"""
 
 
-@query(f"WITH {_ROLES} SELECT ev.id, string_agg(r, ',' ORDER BY p) AS roles FROM ev JOIN mn ON mn.id = ev.id WHERE p < 5 OR (p = 5 AND lo = 5) OR p = 6 OR (p = 7 AND n = 1) GROUP BY ev.id", posts="posts", lists="lists", accounts="accounts")
-def roles(posts, lists, accounts):
-    owners = lists.select("owner_id").distinct()
-    seeds = owners.where("owner_id < 5").select(F.col("owner_id").alias("seed_id"))
-    expanded = owners.where("owner_id >= 20").select(F.col("owner_id").alias("account_id"))
+@query(f"WITH {_ROLES} SELECT ev.id, string_agg(r, ',' ORDER BY p) AS roles FROM ev JOIN mn ON mn.id = ev.id WHERE p < 5 OR (p = 5 AND lo = 5) OR p = 6 OR (p = 7 AND n = 1) GROUP BY ev.id", posts="posts", lists="lists", accounts="accounts", edges="edges")
+def roles(posts, lists, accounts, edges):
+    """Seeds are the nations, expanded accounts the graph's sources."""
     engagers = posts.where("kind in ('repost', 'reply')").select(F.col("owner_id").alias("account_id"))
-    return network.roles(seeds, lists, posts, expanded, engagers, accounts.select(F.col("key").alias("id")))
+    return network.roles(lists.select(F.col("owner_id").alias("seed_id")), _all_lists(lists, edges), posts, edges.select(F.col("src").alias("account_id")).distinct(), engagers, accounts.select(F.col("key").alias("id")))
 
 
 @query(accounts="accounts")
@@ -505,7 +525,7 @@ def communities(edges, members):
     return community.detect(edges, members.select(F.col("member_id").alias("id")))
 
 
-@query(f"WITH s AS (SELECT DISTINCT seed, created_us FROM accounts WHERE created_us IS NOT NULL) SELECT count(*) AS n, min(created_us) AS earliest_us, max(created_us) AS latest_us, round(avg((created_us >= {CONFIG.recent_since})::INT), 6) AS recent_share FROM accounts WHERE created_us IS NOT NULL", accounts="accounts")
+@query(f"SELECT b.*, round(d.share, 6) AS share, d.start_us, d.end_us FROM (SELECT count(*) AS n, min(created_us) AS earliest_us, max(created_us) AS latest_us, round(avg((created_us >= {CONFIG.recent_since})::INT), 6) AS recent_share FROM accounts WHERE created_us IS NOT NULL) AS b, {_densest(30, 'g', '(SELECT 1 AS g, created_us FROM accounts)')} AS d", accounts="accounts")
 def group_summary(accounts):
     s = group(accounts.select(F.col("id").alias("seed_id")), accounts, CONFIG)
-    return r6(s.select(F.col("seeds").alias("n"), "earliest_us", "latest_us", "recent_share"), "recent_share")
+    return r6(s.withColumnRenamed("seeds", "n"), "recent_share", "share")

@@ -1,7 +1,8 @@
 """The account analytics' tables, stood in for by the driver's: the same SQL in both dialects.
 
 A nation is a seed, its orders are accounts that follow it (the newest order first), events are posts, customers and suppliers are the
-follow graph.  The oldest fifth of the orders is a farm created within three days.
+follow graph: a customer follows its suppliers, and ids that are both are the core.  Open line items are a nation's
+follows, shipped ones its followers.  The oldest fifth of the orders is a farm created within three days.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ SQL = {
       CASE o_orderkey % 6 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS location_accurate, o_orderkey % 4 AS username_changes,
       CASE WHEN o_orderkey % 8 < 4 THEN {{us:o_orderdate}} + 86400000000 ELSE {AS_OF} - (o_orderkey % 700) * 86400000000 END AS renamed_us
       FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (SELECT max(o_orderkey) AS m FROM orders) AS top""",
-    "edges": "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_discount >= 0.05 AND o_custkey <> l_suppkey",
+    "edges": "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey",
     "posts": """SELECT user_id AS owner_id, event_id AS pos, {us:ts} AS created_us, event_id % 13 <> 0 AS time_is_action,
       CASE event_type WHEN 'view' THEN 'repost' WHEN 'click' THEN 'quote' WHEN 'error' THEN 'reply' ELSE 'post' END AS kind, text, lang, k % 20 AS target_id,
       concat('user', CAST(k % 20 AS VARCHAR(20))) AS target_handle, k AS target_post_id, CASE event_id % 4 WHEN 0 THEN 'Twitter Web App' WHEN 1 THEN 'AutoPoster' WHEN 2 THEN 'X for iPhone' ELSE NULL END AS client
       FROM (SELECT *, CAST({json:props} AS BIGINT) AS k FROM events) AS e CROSS JOIN (SELECT count(*) AS n_docs FROM documents) AS c LEFT JOIN documents ON doc_id = event_id % n_docs""",
 }
 
-MEMBERS = "SELECT CAST(c_custkey % 4 AS BIGINT) AS cluster_id, c_custkey AS member_id FROM customer WHERE c_custkey < (SELECT count(*) FROM supplier)"
-LISTS = "SELECT CAST(c_nationkey AS BIGINT) AS owner_id, 'following' AS relation, l_suppkey AS member_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity < 3 UNION ALL SELECT CAST(c_nationkey AS BIGINT), 'followers', l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 48"
+MEMBERS = "SELECT CAST(c_custkey % 4 AS BIGINT) AS cluster_id, c_custkey AS member_id FROM customer JOIN supplier ON s_suppkey = c_custkey"
+LISTS = "SELECT CAST(c_nationkey AS BIGINT) AS owner_id, CASE WHEN l_linestatus = 'O' THEN 'following' ELSE 'followers' END AS relation, l_partkey AS member_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
 
 _TABLES = ("orders", "customer", "lineitem", "events", "documents", "supplier", "nation")
 
