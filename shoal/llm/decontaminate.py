@@ -8,7 +8,9 @@ all pieces) give every candidate place.  Each is verified with Myers'
 bit-parallel distance against any substring of the text around the hit.
 
 The items form the stated query set: when they exceed ``block_chars`` they
-are run against all documents in several blocks of that size.
+are run against all documents in several blocks of that size, one after the
+other: the driver, an executor's broadcast and a worker's automaton hold one block at a time, and each
+block's result is a written table before the next begins.
 
 Defined cases: null or empty texts and items match nothing; items shorter
 than ``min_chars`` after normalising identify no passage and are left out; a
@@ -18,13 +20,14 @@ null doc_id is carried; repeated rows and repeated items are reported each.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm.common import read
+from shoal.llm.common import read, table
 
 
 def normal(text: str | None) -> str:
@@ -104,24 +107,52 @@ class Matcher:
         return out
 
 
-def blocks_of(benchmark: DataFrame, block_chars: int, min_chars: int):
-    """The benchmark's normalised items, in blocks of about block_chars characters."""
+#: The matcher of the block that this worker process used last, by the block's number.
+_LAST: dict[int, Matcher] = {}
+_NUMBERS = count()
+
+
+def matcher(number: int, block) -> Matcher:
+    """The block's matcher, built once in a worker process however many tasks it runs."""
+    if number not in _LAST:
+        _LAST.clear()
+        _LAST[number] = Matcher(*block.value)
+    return _LAST[number]
+
+
+def block_count(benchmark: DataFrame, block_chars: int) -> int:
+    return -(-(benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) or 1
+
+
+def block_items(benchmark: DataFrame, k: int, blocks: int, min_chars: int) -> list:
+    """(item id, normalised text) of the items of block k; about block_chars characters, as a hash deals the items."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-size // block_chars) or 1
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    return [(r.item_id, t) for r in part.collect() if len(t := normal(r.text)) >= min_chars]
+
+
+def over_blocks(docs: DataFrame, benchmark: DataFrame, rate: float, min_piece: int, min_chars: int, block_chars: int, apply) -> list[DataFrame]:
+    """apply(number, broadcast block, result of the block before) for each block; with several, each result is written before the next block is read."""
+    context, out = docs.sparkSession.sparkContext, [None]
+    blocks = block_count(benchmark, block_chars)
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [(r.item_id, t) for r in part.collect() if len(t := normal(r.text)) >= min_chars]
+        block = context.broadcast((block_items(benchmark, k, blocks, min_chars), rate, min_piece))
+        got = apply(next(_NUMBERS), block, out[-1])
+        if blocks > 1:
+            got = table(got)
+            block.unpersist()
+        out.append(got)
+    return out[1:]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_piece: int = 12, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_piece: int = 12, min_chars: int = 20, block_chars: int = 1_000_000) -> DataFrame:
     """The operator: doc_id, item_id, distance, n_places for each row of docs and each item it holds."""
     rows = docs.select("doc_id", "text")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, distance int, n_places int"
 
-    def one(held: list[tuple[int, str]]) -> DataFrame:
+    def one(number: int, block, _) -> DataFrame:
         def run(batches):
-            match = Matcher(held, rate, min_piece)
+            match = matcher(number, block)
             for b in batches:
                 got = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for x in match(normal(t.as_py()))]
                 if got:
@@ -130,22 +161,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_
 
         return rows.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, map(one, blocks_of(benchmark, block_chars, min_chars)))
+    return reduce(DataFrame.unionAll, over_blocks(docs, benchmark, rate, min_piece, min_chars, block_chars, one))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_piece: int = 12, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
-    """docs, all columns, without the rows that hold a benchmark item; no shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_piece: int = 12, min_chars: int = 20, block_chars: int = 1_000_000) -> DataFrame:
+    """docs, all columns, without the rows that hold a benchmark item; no shuffle. A block works on what those before it left."""
 
-    def one(docs: DataFrame, held: list[tuple[int, str]]) -> DataFrame:
+    def one(number: int, block, left: DataFrame | None) -> DataFrame:
         def run(batches):
-            match = Matcher(held, rate, min_piece)
+            match = matcher(number, block)
             for b in batches:
                 at = b.schema.get_field_index("text")
                 yield b.filter(pa.array([not match(normal(t.as_py())) for t in b.column(at)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return (docs if left is None else left).mapInArrow(run, docs.schema)
 
-    return reduce(one, blocks_of(benchmark, block_chars, min_chars), docs)
+    return over_blocks(docs, benchmark, rate, min_piece, min_chars, block_chars, one)[-1]
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

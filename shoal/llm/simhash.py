@@ -1,8 +1,8 @@
 """SimHash near-duplicates with vantage-point trees.
 
 Fingerprints are computed once for every whole text and reduced to distinct
-values.  A top tree, its vantage points drawn from a bounded sample of
-fingerprints (``sample`` at most), deals them to shards: a fingerprint goes to
+values.  Top trees deal them to shards, in as many rounds as shards of a bounded size take; each tree's vantage points
+are drawn from a bounded sample of its points: a fingerprint goes to
 the near side of each sphere or the far side, and those just beyond the sphere,
 within the radius, to the near side too.  By the triangle inequality
 any two fingerprints within the radius meet in some shard.  Each shard then
@@ -18,6 +18,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from itertools import repeat
 
 import numpy as np
@@ -83,14 +84,17 @@ def split(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int]
 
 
 def grow(points: np.ndarray, each: float, most: int, rng: np.random.Generator, depth: int = 0):
-    """The top tree over a sample in which a point stands for `each` fingerprints: nested (vantage point, sphere, near, far), leaves None."""
+    """A tree over a sample in which a point stands for `each` fingerprints: nested (vantage point, sphere, near, far), leaves None."""
     if len(points) * each <= most or depth == 12 or len(points) < 32:
         return None
     found = split(points, rng)
     if found is None:
         return None
     d = apart(points, found[0])
-    return (*found, grow(points[d <= found[1] + RADIUS], each, most, rng, depth + 1), grow(points[d > found[1]], each, most, rng, depth + 1))
+    near, far = points[d <= found[1] + RADIUS], points[d > found[1]]
+    if max(len(near), len(far)) > 0.95 * len(points):  # a dense ball: more levels would only copy it
+        return None
+    return (*found, grow(near, each, most, rng, depth + 1), grow(far, each, most, rng, depth + 1))
 
 
 def deal(points: np.ndarray, tree) -> list[tuple[int, np.ndarray]]:
@@ -158,25 +162,60 @@ def shard_links(points: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarr
     return at, lab[at]
 
 
-def links(prints: DataFrame, shard: int = 30_000, sample: int = 8192) -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints within the radius. prints: distinct fp."""
-    n = prints.count()
-    drawn = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
-    tree = grow(drawn, n / max(1, len(drawn)), shard, np.random.default_rng(0))
+def routed(points: DataFrame, trees: DataFrame) -> DataFrame:
+    """leaf, fp: points dealt on by the tree of their leaf; points of leaves without a tree stay."""
 
-    def route(batches):
+    def run(batches):
+        read_tree: dict[str, object] = {}
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
-            for leaf, at in deal(fp.view(np.uint64), tree):
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(fp[at])], ["leaf", "fp"])
+            leaf, fp, trees_of = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
+            names = np.array(leaf, object)
+            for name in set(leaf):
+                at = np.flatnonzero(names == name)
+                raw = trees_of[int(at[0])].as_py()
+                if raw is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(fp[at])], ["leaf", "fp"])
+                    continue
+                if name not in read_tree:
+                    read_tree[name] = pickle.loads(raw)
+                tree = read_tree[name]
+                for k, part in deal(fp[at].view(np.uint64), tree):
+                    if len(part):
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{name}!" if tree is None else f"{name}.{k}"] * len(part)), pa.array(fp[at[part]])], ["leaf", "fp"])
+
+    return points.join(trees, "leaf", "left").select("leaf", "fp", "tree").mapInArrow(run, "leaf string, fp long")
+
+
+def links(prints: DataFrame, shard: int = 30_000, sample: int = 8192, few: int = 1000) -> DataFrame:
+    """Spanning links (a, b) between distinct fingerprints within the radius. prints: distinct fp.
+
+    Rounds deal the points of every leaf over ``shard`` by a tree grown, in a task, from ``sample`` of the leaf's points; leaves
+    that no sphere divides are marked and stay.  Trees of at most ``few`` leaves are broadcast.
+    """
+    points, grown = prints.select(F.lit("0").alias("leaf"), "fp"), 0
+
+    def plant(t: pa.Table) -> pa.Table:
+        fp, n = np.sort(t.column("fp").to_numpy()), t.column("n")[0].as_py()
+        tree = grow(fp.view(np.uint64), n / len(fp), shard, np.random.default_rng(0))
+        return pa.table({"leaf": [t.column("leaf")[0].as_py()], "tree": [pickle.dumps(tree)]})
+
+    while True:
+        big = cut(points.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {shard} and not endswith(leaf, '!')"))
+        more = big.count()
+        if not more:
+            break
+        held = points.join(F.broadcast(big) if more <= few else big, "leaf")
+        drawn = held.where(F.pmod(F.xxhash64("fp", F.lit(grown)), F.lit(1 << 40)) < F.lit(float(sample << 40)) / F.col("n"))
+        trees = cut(drawn.groupBy("leaf").applyInArrow(plant, "leaf string, tree binary"))
+        points = table(routed(points, F.broadcast(trees) if more <= few else trees))
+        grown += 1
 
     def within(t: pa.Table) -> pa.Table:
         fp = np.unique(t.column("fp").to_numpy())
         a, b = shard_links(fp.view(np.uint64))
         return pa.table({"a": fp[a], "b": fp[b]})
 
-    return prints.mapInArrow(route, "leaf int, fp long").groupBy("leaf").applyInArrow(within, "a long, b long")
+    return points.groupBy("leaf").applyInArrow(within, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

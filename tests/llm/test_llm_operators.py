@@ -165,6 +165,53 @@ def test_simhash(spark, edge, nothing):
     assert rows(got) == sorted(expected, key=str)
 
 
+def test_simhash_rounds(spark):
+    """Several rounds of trees lose no link; a dense ball that no sphere divides ends."""
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 1 << 63, 300, np.uint64)
+    points = np.unique(np.concatenate([centres ^ (np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64)) for _ in range(3)] + [centres, np.uint64(5) ^ (np.uint64(1) << np.arange(63, dtype=np.uint64))]))
+    prints = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    got = simhash.links(prints, shard=60, sample=64, few=3).collect()
+    place = {int(x): i for i, x in enumerate(points.view(np.int64))}
+    a, b = np.nonzero(np.bitwise_count(points[:, None] ^ points) <= simhash.RADIUS)
+    want = simhash.roots(len(points), a, b)
+    assert (simhash.roots(len(points), np.array([place[r.a] for r in got]), np.array([place[r.b] for r in got])) == want).all()
+
+
+def test_decontaminate_blocks(spark):
+    """Several blocks give what one gives, and recall is that of full dynamic programming."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one = rows(decontaminate.contaminated(docs, items))
+    assert rows(decontaminate.contaminated(docs, items, block_chars=2000)) == one
+    left = {r.doc_id for r in decontaminate.clean(docs, items, block_chars=2000).collect()}
+    assert left == {r.doc_id for r in docs.collect()} - {r[0] for r in one}
+    rng = random.Random(4)
+    held = [(r.item_id, decontaminate.normal(r.text)) for r in items.collect()][:6]
+    texts = {}
+    for k, (_, item) in enumerate(held):  # passages with some errors, within and beyond the budget
+        for errors in (0, 2, decontaminate.budget(len(item), 0.05, 12), decontaminate.budget(len(item), 0.05, 12) + 6):
+            chars = list(item)
+            for _ in range(errors):
+                chars[rng.randrange(len(chars))] = rng.choice("abcxyz")
+            texts[100 * k + errors] = "before it " + "".join(chars) + " and after"
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(table, spark.createDataFrame(held, "item_id long, text string")).collect()}
+
+    def distance(item, text):  # of the closest substring
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(text, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return min(row)
+
+    for i, text in texts.items():
+        for k, item in held:
+            d = distance(item, decontaminate.normal(text))
+            assert got.get((i, k)) == (d if d <= decontaminate.budget(len(item), 0.05, 12) else None)
+
+
 def test_simhash_shards():
     """Small shards and blocks of near fingerprints: no link is lost."""
     rng = np.random.default_rng(1)
