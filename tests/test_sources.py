@@ -12,7 +12,7 @@ from tests.world import AS_OF, DAY, make
 
 @pytest.mark.parametrize("end", ["json", "json.gz"])
 def test_round_trip(spark, tmp_path, end):
-    t = make(spark, AS_OF - 480 * DAY)
+    t = make(spark, AS_OF - 75 * DAY)
     extra = {c: F.lit(None).cast("bigint") for c in ("likes", "reposts", "replies", "views")} | {"author_handle": F.lit(None).cast("string")}
     t["posts"] = t["posts"].withColumns(extra)
     t["replies"] = t["replies"].withColumns(extra | {c: F.lit(None).cast("string") for c in ("id", "kind", "lang", "target_id", "target_handle", "target_post_id", "client")} | {"time_is_action": F.lit(True)})
