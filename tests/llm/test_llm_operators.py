@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -100,18 +101,19 @@ def test_quality_hosts_among_the_tables(spark):
 
 def brute_removal(items):
     first = {}
+    place = lambda i: 2**63 - 1 if i is None else i
     for i, b in items:
         for k in range(len(b) - 49):
             s = b[k : k + 50]
-            first[s] = min(first.get(s, i), i)
+            first[s] = min(first.get(s, place(i)), place(i))
     out = []
     for i, b in items:
         gone = bytearray(len(b))
         for k in range(len(b) - 49):
-            if first[b[k : k + 50]] < i:
+            if first[b[k : k + 50]] < place(i):
                 gone[k : k + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone) if not g)
-        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((i is None, i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
@@ -122,24 +124,53 @@ def test_suffix_dedup(spark, edge, nothing):
     base = [b" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(25)]
     made = base + [b[: len(b) // 2] + b"#" + rng.choice(base)[5:] for b in base] + base[:4] + [b"ab" * 300, b"ab" * 200]
     docs = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(made)], "doc_id long, text string").unionByName(edge.select("doc_id", "text"))
-    items = [(2**63 - 1 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    got = suffixes.deduplicate(docs, shard=40, memory=300)
-    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_removal(items)
-
-
-@pytest.mark.parametrize("memory", [1 << 20, 3])
-def test_induced_order(memory):
+    items = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    got = suffixes.deduplicate(docs, shard=40, memory=300, base=200)
+    assert sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_removal(items)
+    # hot anchors are split by their strings, with the same result
+    assert rows(suffixes.deduplicate(docs, shard=4000, hot=0, salts=2)) == rows(got)
+    with pytest.raises(TypeError):
+        suffixes.deduplicate(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+
+
+@pytest.mark.parametrize(("memory", "base"), [(1 << 20, 1 << 22), (3, 5), (1, 1), (40, 30)])
+def test_induced_order(memory, base):
+    """In memory, and with queues on disk and several levels of recursion."""
     rng = random.Random(4)
     for _ in range(60):
         parts = [[rng.randint(1, rng.choice([1, 2, 9])) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 7))]
         t = np.array(sum(([*p, 0] for p in parts), []))
-        places, lcps = induced.suffix_order(t, memory)
+        got = list(induced.suffix_order(t, memory, base))
+        places, lcps = (np.concatenate(x) for x in zip(*got))
         text = [tuple(t[i : i + list(t[i:]).index(0)]) for i in places]
         assert text == sorted(text) and len(text) == sum(map(len, parts))
         for a, b, n in zip(text, text[1:], lcps[1:]):
             assert n == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_induced_memory(tmp_path):
+    """A string of thirty times the bound: recursion, queues on disk, and under half of the memory that the sort takes without a bound."""
+    rng = np.random.default_rng(3)
+    words = [rng.integers(1, 27, rng.integers(2, 8)) for _ in range(300)]
+    n = 60_000
+    t = np.memmap(tmp_path / "t", np.uint16, "w+", shape=(n,))
+    body = np.concatenate([words[i] for i in rng.integers(0, 300, n // 2)])[:n]
+    t[:] = body
+    t[99::100] = 0
+    t[-1] = 0
+    peaks = {}
+    for memory, base in ((1 << 20, 1 << 22), (2_000, 2_000)):
+        tracemalloc.start()
+        count, last = 0, 0
+        for places, lcps in induced.suffix_order(t, memory, base):
+            count += len(places)
+            last = max(last, int(lcps.max()))
+        peaks[memory] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == int((t > 0).sum()) and last > 5
+    assert peaks[2_000] < peaks[1 << 20] / 2 and peaks[2_000] < 60 * n
+
+
 # 4
 
 
