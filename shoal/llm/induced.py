@@ -92,11 +92,13 @@ class Tape:
             os.unlink(self.file.name)
 
     def forwards(self, i: int, j: int) -> Iterator[Block]:
+        i, j = int(i), int(j)
         for a in range(i, j, self.scratch.memory):
             yield tuple(self.read(a, min(j, a + self.scratch.memory)))
 
     def backwards(self, i: int, j: int) -> Iterator[Block]:
         """(place, lcp) rows from the last to the first, each with its lcp to the one after it; the first has 0."""
+        i, j = int(i), int(j)
         for b in range(j, i, -self.scratch.memory):
             a = max(i, b - self.scratch.memory)
             places, lcps = self.read(a, min(j, b + 1))
@@ -295,22 +297,22 @@ def named_by_induction(t: np.ndarray, lms: np.ndarray, s_type: np.ndarray, runs:
     for i, j in scratch.blocks(len(lms)):
         at = np.asarray(lms[i:j])
         start.push(t[at].astype(np.int64), at, np.zeros(j - i, np.int64))
-    large, where = _induce(t, symbols, counts, runs, start.drain, s_type, False, scratch, lcp=False)
-    small, there = _induce(t, symbols[:0:-1], counts[:0:-1], runs, lambda c: large.backwards(*where.get(c, (0, 0))), s_type, True, scratch, lcp=False)
+    large, where = _induce(t, symbols, counts, runs, lambda k: start.drain(int(symbols[k])), s_type, False, scratch, lcp=False)
+    small, there = _induce(t, symbols[:0:-1], counts[:0:-1], runs, lambda k: large.backwards(*where[len(symbols) - 1 - k]), s_type, True, scratch, lcp=False)
     out, last, name = scratch.array(len(lms), np.int64), None, 0
     size = lambda k: np.where(k + 1 < len(lms), lms[np.minimum(k + 1, len(lms) - 1)] - lms[k] + 1, 1)
-    for c in symbols[1:].tolist():
-        for places, _ in small.backwards(*there.get(c, (0, 0))):
-            k = np.searchsorted(lms, places)
-            k = k[lms[np.minimum(k, len(lms) - 1)] == places]
-            if not len(k):
+    for k in range(1, len(symbols)):
+        for places, _ in small.backwards(*there[len(symbols) - 1 - k]):
+            at = np.searchsorted(lms, places)
+            at = at[lms[np.minimum(at, len(lms) - 1)] == places]
+            if not len(at):
                 continue
-            pair = k if last is None else np.append(last, k)
+            pair = at if last is None else np.append(last, at)
             n, end = size(pair), t[lms[np.minimum(pair + 1, len(lms) - 1)]] == 0
             same = (n[1:] == n[:-1]) & (end[1:] == end[:-1]) & (common(t, lms[pair[:-1]], lms[pair[1:]], int(n.max())) >= n[1:] - end[1:])
             fresh = ~same if last is not None else np.append(True, ~same)
-            out[k] = name + np.cumsum(fresh)
-            name, last = int(out[k[-1]]), k[-1]
+            out[at] = name + np.cumsum(fresh)
+            name, last = int(out[at[-1]]), at[-1]
     return out
 
 
@@ -367,27 +369,26 @@ def suffix_order(t: np.ndarray, memory: int = 1 << 20, base: int = 1 << 22, scra
             last = places[-1]
     ends = np.cumsum(times)
 
-    def seeds(c: int) -> Iterator[Block]:
-        k = np.searchsorted(symbols, c)
+    def seeds(k: int) -> Iterator[Block]:
         return order.forwards(int(ends[k] - times[k]), int(ends[k]))
 
     large, where = _induce(t, symbols, counts, runs, seeds, s_type, False, scratch, lcp)
-    small, there = _induce(t, symbols[:0:-1], counts[:0:-1], runs, lambda c: large.backwards(*where.get(c, (0, 0))), s_type, True, scratch, lcp)
-    for c in symbols[1:].tolist():
+    small, there = _induce(t, symbols[:0:-1], counts[:0:-1], runs, lambda k: large.backwards(*where[len(symbols) - 1 - k]), s_type, True, scratch, lcp)
+    for k in range(1, len(symbols)):
         end = None
-        for places, lcps in large.forwards(*where.get(c, (0, 0))):
+        for places, lcps in large.forwards(*where[k]):
             yield places, lcps
             end = places[-1]
-        for places, lcps in small.backwards(*there.get(c, (0, 0))):
+        for places, lcps in small.backwards(*there[len(symbols) - 1 - k]):
             lcps = lcps.copy()
             if end is not None:
                 lcps[0], end = min(runs[end], runs[places[0]]), None
             yield places, lcps
 
 
-def _induce(t, symbols, counts, runs, seeds, s_type, small: bool, scratch: Scratch, lcp: bool) -> tuple[Tape, dict[int, tuple[int, int]]]:
-    """One scan over the buckets: what was pushed into each, with lcps along the scan, and where each bucket's rows are. In each bucket the pushed items come first, then its seeds."""
-    queue, out, where = Queue(scratch, symbols, counts), Tape(scratch, 2), {}
+def _induce(t, symbols, counts, runs, seeds, s_type, small: bool, scratch: Scratch, lcp: bool) -> tuple[Tape, np.ndarray]:
+    """One scan over the buckets: what was pushed into each, with lcps along the scan, and where each bucket's rows begin and end. In each bucket the pushed items come first, then its seeds (seeds: from the bucket's number in the scan)."""
+    queue, out, where = Queue(scratch, symbols, counts), Tape(scratch, 2), scratch.array(2 * len(symbols), np.int64).reshape(-1, 2)
     push = Pusher(queue, int(symbols.max()) + 1) if lcp else None
 
     def block(places: np.ndarray, lcps: np.ndarray) -> None:
@@ -401,16 +402,15 @@ def _induce(t, symbols, counts, runs, seeds, s_type, small: bool, scratch: Scrat
         elif len(at):
             queue.push(buckets, before[at], at)
 
-    for c in symbols.tolist():
-        begun, end = out.rows, None
+    for k in range(len(symbols)):
+        c, begun, end = int(symbols[k]), out.rows, None
         for places, lcps in queue.drain(c):
             out.append(places, lcps)
             end = places[-1]
             block(places, lcps)
-        if out.rows > begun:
-            where[c] = (begun, out.rows)
+        where[k] = begun, out.rows
         first = True
-        for places, lcps in seeds(c):
+        for places, lcps in seeds(k):
             if first and lcp:
                 lcps = np.array(lcps)
                 lcps[0] = min(runs[end], runs[places[0]]) if end is not None and c else 0
