@@ -7,12 +7,12 @@ location_accurate, username_changes, renamed_us; missing values are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import countries
 from shoal.functions.config import Config
-from shoal.functions.exprs import DAY_US, days_between, log_ramp, noisy_or, ramp, rounded
+from shoal.functions.exprs import DAY_US, clamp, days_between, log_ramp, noisy_or, ramp, rounded
 
 # Fixed values.
 ORG_TYPES = ("government", "organization", "business")
@@ -99,3 +99,9 @@ def combine(entities: DataFrame, key: str, signals: DataFrame, name: str = "scor
     """key and the noisy-OR of its signals; entities without any get 0."""
     summed = signals.groupBy(key).agg(noisy_or("score", "weight").alias(name))
     return entities.select(key).join(summed, key, "left").select(key, F.coalesce(name, F.lit(0.0)).alias(name))
+
+
+def active(signals: DataFrame, key: str = "id", least: float = 0.01) -> DataFrame:
+    """signals that contribute at least so much, with contribution and place, 1 for an entity's strongest (ties by name)."""
+    fired = signals.withColumn("contribution", clamp(F.col("score") * F.col("weight"), 0.0, 0.999)).where(F.round("contribution", 9) >= least)
+    return fired.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("contribution", 9)), "signal")))  # an entity has some thirty at most

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import countries, exprs
-from shoal.operators import behavior, community, engagement, neighborhood, network, profile, temporal
+from shoal.operators import behavior, clusters, community, engagement, neighborhood, network, profile, temporal
 from shoal.operators.components import connected_components
 from shoal.plans.analysis import group_summary as group
+from shoal.plans.analysis import ranked
 from shoal.plans.views import AS_OF, CONFIG, duck, view
 from shoal.sources.shared import cut
 
@@ -529,3 +530,125 @@ def communities(edges, members):
 def group_summary(accounts):
     s = group(accounts.select(F.col("id").alias("seed_id")), accounts, CONFIG)
     return r6(s.withColumnRenamed("seeds", "n"), "recent_share", "share")
+
+
+# clusters: the core's four groups, measured over the graph's follows and the events
+
+
+def _near(name: str, rows: str, share: float, least: int) -> str:
+    """SQL of the share of a group's pairs of texts (grp, pos, t) that are near duplicates."""
+    return f"{name}g AS (SELECT grp, pos, {GRAMS} AS g FROM ({rows}) WHERE length(t) >= {least}), {name} AS (SELECT n.grp, CASE WHEN n.n >= 3 THEN p.share END AS share FROM (SELECT grp, count(*) AS n FROM {name}g GROUP BY 1) n LEFT JOIN (SELECT a.grp, avg((len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= {share})::INT) AS share FROM {name}g a JOIN {name}g b ON a.grp = b.grp AND a.pos < b.pos GROUP BY 1) p ON p.grp = n.grp)"
+
+
+def _overlap(name: str, rows: str) -> str:
+    """SQL of the mean Jaccard of a group's sets (grp, owner, item)."""
+    return f"{name}s AS (SELECT grp, owner, list(DISTINCT item) AS i FROM ({rows}) GROUP BY ALL), {name} AS (SELECT n.grp, n.n, p.m FROM (SELECT grp, count(*) AS n FROM {name}s GROUP BY 1) n LEFT JOIN (SELECT a.grp, avg(len(list_intersect(a.i, b.i)) / len(list_distinct(list_concat(a.i, b.i)))) AS m FROM {name}s a JOIN {name}s b ON a.grp = b.grp AND a.owner < b.owner GROUP BY 1) p ON p.grp = n.grp)"
+
+
+_MEASURED = f"""{_SCORES.split("WITH ")[-1]}, {_INSIDE}, m AS (SELECT cluster_id, member_id, created_us, name, description, verified_type, coalesce(score, 0) AS score FROM members LEFT JOIN accounts ON accounts.key = member_id LEFT JOIN scores ON scores.id = accounts.id),
+b AS (SELECT cluster_id, avg(score) AS mean_member_score, avg({_ORG}::INT) AS org_share, coalesce(avg((created_us >= {CONFIG.recent_since})::INT), 0) AS recent_share FROM m GROUP BY 1),
+st AS (SELECT sz.cluster_id, size, coalesce(sum(k), 0) / (size * (size - 1)) AS density, CASE WHEN count(k) > 0 THEN count(*) FILTER (k = 2) / count(k) ELSE 0 END AS reciprocity FROM sz LEFT JOIN prs ON prs.cluster_id = sz.cluster_id GROUP BY sz.cluster_id, size),
+{_overlap("fo", "SELECT cluster_id AS grp, src AS owner, dst AS item FROM edges JOIN members ON member_id = src")}, {_overlap("ca", "SELECT cluster_id AS grp, owner_id AS owner, target_post_id AS item FROM posts JOIN members ON member_id = owner_id WHERE kind = 'repost' AND target_post_id IS NOT NULL")},
+{_near("nd", f"SELECT cluster_id AS grp, member_id AS pos, {NORMAL.format(x='name')} AS t FROM m", 0.8, 3)}, {_near("bd", f"SELECT cluster_id AS grp, member_id AS pos, {NORMAL.format(x='description')} AS t FROM m WHERE description <> ''", 0.6, 12)},
+ms AS (SELECT st.*, mean_member_score, org_share, recent_share, p3.share AS peak30, p9.share AS peak90, fo.m AS following_jaccard, CASE WHEN ca.n >= 3 THEN ca.m END AS co_amplification, nd.share AS name_dup_share, bd.share AS bio_dup_share FROM st JOIN b ON b.cluster_id = st.cluster_id
+ LEFT JOIN {_densest(30, "cluster_id", "m")} p3 ON p3.cluster_id = st.cluster_id LEFT JOIN {_densest(90, "cluster_id", "m")} p9 ON p9.cluster_id = st.cluster_id LEFT JOIN fo ON fo.grp = st.cluster_id LEFT JOIN ca ON ca.grp = st.cluster_id LEFT JOIN nd ON nd.grp = st.cluster_id LEFT JOIN bd ON bd.grp = st.cluster_id)"""
+_MEASURES = ("density", "reciprocity", "mean_member_score", "org_share", "recent_share", "peak30", "peak90", "following_jaccard", "co_amplification", "name_dup_share", "bio_dup_share")
+_CLUSTER = {"edges": "edges", "members": "members", "accounts": "accounts", "posts": "posts"}
+
+
+def _measure(edges: DataFrame, members: DataFrame, accounts: DataFrame, posts: DataFrame) -> DataFrame:
+    known = accounts.withColumn("id", F.col("key"))
+    lists = edges.select(F.col("src").alias("owner_id"), F.lit("following").alias("relation"), F.col("dst").alias("member_id"))
+    return clusters.measure(edges, members, known, lists, posts, cut(_scores(known)), CONFIG)
+
+
+@query(f"WITH {_MEASURED} SELECT cluster_id, size, " + ", ".join(f"round({c}, 6)::DOUBLE AS {c}" for c in _MEASURES) + " FROM ms", **_CLUSTER)
+def cluster_measures(edges, members, accounts, posts):
+    return r6(_measure(edges, members, accounts, posts).select("cluster_id", "size", *_MEASURES), *_MEASURES)
+
+
+_CLUSTER_RULES = {
+    "density": (0.35, ramp("density", 0.08, 0.4)),
+    "reciprocity": (0.2, ramp("reciprocity", 0.3, 0.8)),
+    "following_overlap": (0.3, ramp("following_jaccard", 0.05, 0.25)),
+    "templated_profiles": (0.3, f"greatest({ramp('name_dup_share', 0.15, 0.5)}, {ramp('bio_dup_share', 0.1, 0.4)})"),
+    "co_amplification": (0.35, ramp("co_amplification", 0.03, 0.2)),
+    "creation_cohort": (0.35, f"greatest({ramp('peak30', 0.25, 0.6)}, {ramp('peak90', 0.45, 0.85)})"),
+    "recent_cohort": (0.2, ramp("recent_share", 0.5, 0.9)),
+    "member_scores": (0.3, ramp("mean_member_score", 0.25, 0.55)),
+}
+_CLUSTER_SIGNALS = f"{_MEASURED}, cs AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT cluster_id, '{k}' AS signal, ({r})::DOUBLE AS score, {w}::DOUBLE AS weight FROM ms" for k, (w, r) in _CLUSTER_RULES.items()) + ") WHERE score > 0)"
+
+
+@query(f"WITH {_CLUSTER_SIGNALS} SELECT cluster_id, signal, round(score, 6) AS score, weight FROM cs", **_CLUSTER)
+def cluster_signals(edges, members, accounts, posts):
+    """As for a group of analysed handles, whose composition counts whatever its structure."""
+    return r6(clusters.signals(_measure(edges, members, accounts, posts), CONFIG), "score")
+
+
+@query(f"WITH {_CLUSTER_SIGNALS} SELECT cluster_id, size, round(score, 6) AS score, {_LEVEL} AS level, row_number() OVER (ORDER BY round(score, 9) DESC, size DESC, cluster_id) AS rank FROM (SELECT ms.cluster_id, size, (1 - product(1 - least(greatest(cs.score * weight, 0), 0.999))) * least(1, (any_value(size) - 1) / 5) AS score FROM ms JOIN cs ON cs.cluster_id = ms.cluster_id GROUP BY ms.cluster_id, size)", **_CLUSTER)
+def cluster_scores(edges, members, accounts, posts):
+    """Scores of such groups, numbered from the highest."""
+    measured = cut(_measure(edges, members, accounts, posts))
+    scored = clusters.scores(measured, clusters.signals(measured, CONFIG), neighbours=False)
+    return r6(clusters.numbered(scored.withColumn("score", F.round("score", 9))), "score")
+
+
+@query(f"WITH w AS (SELECT seed AS cluster_id, start_us FROM {_densest(30)}), c AS (SELECT created_us, count(*) AS n FROM accounts WHERE created_us IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS pool FROM c) SELECT w.cluster_id, w.start_us, round(coalesce(sum(n), 0) / any_value(pool), 6)::DOUBLE AS pool_share, any_value(pool)::BIGINT AS pool FROM w CROSS JOIN t LEFT JOIN c ON c.created_us BETWEEN w.start_us AND w.start_us + {30 * DAY} GROUP BY ALL", accounts="accounts")
+def pool_baseline(accounts):
+    """The share of all accounts that were created within the fullest window of each nation."""
+    windows = temporal.densest_window(accounts, ["seed"], CONFIG.creation_window_days, "created_us").select(F.col("seed").alias("cluster_id"), "start_us")
+    return r6(clusters.pool_baseline(windows, accounts.select("created_us"), CONFIG).select("cluster_id", "start_us", "pool_share", "pool"), "pool_share")
+
+
+# what fires, who leads
+
+
+@query(f"WITH {_SIGNALS} SELECT id, signal, floor(contribution * 1e6 + 0.500001) / 1e6 AS contribution, row_number() OVER (PARTITION BY id ORDER BY round(contribution, 9) DESC, signal) AS place FROM (SELECT id, signal, least(greatest(score * weight, 0), 0.999) AS contribution FROM signals) WHERE round(contribution, 9) >= 0.01", accounts="accounts")
+def active_signals(accounts):
+    """The signals of each account that contribute a hundredth or more, strongest first."""
+    fired = profile.active(profile.account_signals(accounts, CONFIG)).select("id", "signal", "contribution", "place")
+    return fired.withColumn("contribution", F.floor(F.col("contribution") * 1e6 + 0.500001) / 1e6)
+
+
+@query(f"WITH {_SCORES}, {_ROLES} SELECT a.key AS id, round(s.score, 6) AS score FROM accounts a JOIN scores s ON s.id = a.id WHERE EXISTS (SELECT 1 FROM ev JOIN mn ON mn.id = ev.id WHERE ev.id = a.key AND r IN ('follower', 'following', 'amplified', 'expanded', 'engager') AND (p < 5 OR p = 6)) AND a.key NOT IN (SELECT id FROM sd)", posts="posts", lists="lists", accounts="accounts", edges="edges")
+def ranked_accounts(posts, lists, accounts, edges):
+    """Accounts that a seed's lists, posts or the analysis lead to, by score; the seeds themselves are left out."""
+    scores = _scores(accounts.withColumn("id", F.col("key")))
+    return r6(ranked(roles(posts, lists, accounts, edges).join(scores, "id")).select("id", "score"), "score")
+
+
+@query(f"WITH {_SCORES}, {_ENG} SELECT tweet_id, id, round(score, 6) AS score, rank FROM (SELECT u.tweet_id, u.id, score, row_number() OVER (PARTITION BY u.tweet_id ORDER BY round(score, 9) DESC, u.id) AS rank FROM u JOIN accounts ON accounts.key = u.id JOIN scores ON scores.id = accounts.id) WHERE rank <= 20 AND round(score, 9) >= 0.5", posts="posts", accounts="accounts")
+def top_engagers(posts, accounts):
+    """The most suspicious of each post's engagers (a top-k report); equal scores by id."""
+    known = accounts.withColumn("id", F.col("key"))
+    scores = _scores(known).withColumn("score", F.round("score", 9))
+    e, reposters, replies = _engagement(posts)
+    by_id = reposters.withColumn("pos", F.col("account_id")), replies.withColumn("pos", F.col("author_id"))
+    return r6(engagement.top_suspicious(e, *by_id, scores).select("tweet_id", "id", "score", "rank"), "score")
+
+
+@query(accounts="accounts", lists="lists")
+def neighborhood_signals(accounts, lists):
+    """The signals that its followers' creation times and scores give each nation; tests hold the rules against plain values."""
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key"))) - 1
+    own = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), rank.alias("pos"), F.col("id").alias("member_id"))
+    s = cut(neighborhood.summary(own, accounts, cut(_scores(accounts)), CONFIG))
+    return r6(neighborhood.signals(s, network.mutual_share(lists).withColumn("owner_id", F.col("owner_id").cast("string"))), "score")
+
+
+@query(accounts="accounts", lists="lists")
+def candidate_ranking(accounts, lists):
+    """The thirty accounts to look at next (a top-k report): of the nations' lists, by priority, in turn from each queue."""
+    known = accounts.withColumn("id", F.col("key")).withColumn("protected", F.lit(False))
+    seeds = lists.select("owner_id").distinct().select(F.col("owner_id").alias("seed_id"), F.col("owner_id").cast("int").alias("pos"))
+    bursts = _bursts(accounts).withColumnRenamed("seed", "owner_id")
+    none = seeds.where("false").select(F.col("seed_id").alias("account_id"))
+    return r6(neighborhood.candidates(seeds, lists.distinct(), known, cut(_scores(known)), bursts, none, CONFIG), "priority")
+
+
+@query(posts="posts")
+def timeline_metrics(posts):
+    """One row for each user with kinds, languages, clients and hours; nested values as JSON."""
+    m = behavior.timeline_metrics(posts)
+    return m.select(*(F.to_json(c).alias(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in m.dtypes))
