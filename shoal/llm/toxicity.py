@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import chain, count, islice
 
 import numpy as np
@@ -57,15 +58,22 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def vector_rows(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Row of each key's vector; row 0, which stays zero, is that of all keys outside the sorted vocabulary."""
-    if not len(vocabulary):
-        return np.zeros(keys.shape, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == keys, at + 1, 0)
+    out = np.zeros(keys.shape, np.int32)
+    flat, rows = keys.reshape(-1), out.reshape(-1)
+    for i in range(0, flat.size if len(vocabulary) else 0, 1 << 19):
+        some = flat[i : i + (1 << 19)]
+        at = np.minimum(np.searchsorted(vocabulary, some), len(vocabulary) - 1)
+        rows[i : i + (1 << 19)] = np.where(vocabulary[at] == some, at + 1, 0)
+    return out
 
 
-def vocabulary(sets: list[np.ndarray], least: int) -> np.ndarray:
-    """Keys in at least `least` of the sets of distinct keys."""
-    keys, times = np.unique(np.concatenate(sets), return_counts=True)
+def vocabulary(sets: Iterable[np.ndarray], least: int) -> np.ndarray:
+    """Keys in at least `least` of the sets of distinct keys, which are counted a few hundred at a time."""
+    keys, times, sets = np.empty(0, np.uint64), np.empty(0, np.int64), iter(sets)
+    while some := list(islice(sets, 256)):
+        more, counts = np.unique(np.concatenate(some), return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([times, counts])).astype(np.int64)
     return keys[times >= least]
 
 
@@ -148,14 +156,19 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, least: int = 400, se
     """
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
-    docs = [np.array([words.setdefault(w, 1 + len(words)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+    docs = [np.array([words.setdefault(w, 1 + len(words)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
     kept = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in kept], y[kept]
-    own, grams, starts = word_features(list(words))
+    parts, known = [], iter(words)
+    while some := list(islice(known, 20_000)):
+        parts.append(word_features(some))
+    before = np.cumsum([0] + [g.shape[1] for _, g, _ in parts])
+    own, grams, starts = np.concatenate([o for o, _, _ in parts]), np.concatenate([g for _, g, _ in parts], axis=1), np.concatenate([s + b for (_, _, s), b in zip(parts, before)])
+    del parts, words
     size = np.diff(np.append(starts, grams.shape[1]))
     distinct = [np.unique(d) - 1 for d in docs]
-    word_keys = vocabulary([own[d] for d in distinct], LEAST)
-    gram_keys = vocabulary([np.unique(grams[:, spans(starts[d], size[d])]) for d in distinct], LEAST)
+    word_keys = vocabulary((own[d] for d in distinct), LEAST)
+    gram_keys = vocabulary((np.unique(grams[:, spans(starts[d], size[d])]) for d in distinct), LEAST)
     own, grams = vector_rows(word_keys, own), vector_rows(gram_keys, grams)
     shapes = (("words", 0.1, (len(word_keys) + 1, DIM)), ("chars", 0.1, (len(gram_keys) + 1, DIM)), ("in", 0.25, (2, 2 * DIM, 3 * HIDDEN)), ("rec", 0.25, (2, HIDDEN, 3 * HIDDEN)), ("b", 0.01, (2, 3 * HIDDEN)), ("att", 0.1, (2 * HIDDEN,)), ("out", 0.3, (2 * HIDDEN,)), ("bias", 0.01, (1,)))
     p = {k: rng.normal(0, s, shape).astype(np.float32) for k, s, shape in shapes}
