@@ -189,7 +189,7 @@ def routed(points: DataFrame, trees: DataFrame) -> DataFrame:
 def links(prints: DataFrame, shard: int = 30_000, sample: int = 8192, few: int = 1000) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints within the radius. prints: distinct fp.
 
-    Rounds deal the points of every leaf over ``shard`` by a tree grown, in a task, from ``sample`` of the leaf's points; leaves
+    Rounds deal the points of every leaf over ``shard`` (from the second round on, over four times that) by a tree grown, in a task, from ``sample`` of the leaf's points; leaves
     that no sphere divides are marked and stay.  Trees of at most ``few`` leaves are broadcast.
     """
     points, grown = prints.select(F.lit("0").alias("leaf"), "fp"), 0
@@ -200,7 +200,9 @@ def links(prints: DataFrame, shard: int = 30_000, sample: int = 8192, few: int =
         return pa.table({"leaf": [t.column("leaf")[0].as_py()], "tree": [pickle.dumps(tree)]})
 
     while True:
-        big = cut(points.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {shard} and not endswith(leaf, '!')"))
+        # each level copies points near its spheres, so leaves are dealt on only when well beyond what their tree aimed at
+        most = shard if grown == 0 else 4 * shard
+        big = cut(points.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {most} and not endswith(leaf, '!')"))
         more = big.count()
         if not more:
             break
