@@ -58,11 +58,19 @@ def duck(name: str) -> str:
     return _dialect(SQL.get(name) or {"members": MEMBERS, "lists": LISTS}[name], "epoch_us({})", "json_extract({}, '$.k')")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it comes in fewer files, as small tables in one file do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _dialect(SQL.get(name) or {"members": MEMBERS, "lists": LISTS}[name], "unix_micros(CAST({} AS TIMESTAMP))", "get_json_object({}, '$.k')")
     used = [t for t in _TABLES if re.search(rf"\b{t}\b", sql)]
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    for t in {"orders", "events"} & set(used):  # what accounts and posts are projected from
+        frames[t] = spread(frames[t])
     for t in used:
         sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames)
