@@ -87,7 +87,7 @@ def shared_anchors(docs: DataFrame, groups: int) -> DataFrame:
                 rank = np.cumsum(again) - np.repeat(np.cumsum(again)[heads], np.diff(np.append(np.flatnonzero(heads), len(key))))
                 group = (key.view(np.uint64) >> np.uint64(40)).astype(np.int64) % groups
                 group = np.where(rank >= 2, -1 - (of.view(np.uint64) >> np.uint64(32)).astype(np.int64) % groups, group)
-                order = np.argsort(group, kind="stable")
+                order = np.lexsort((key, of, group))  # a text's anchors side by side compress well
                 key, of, group = key[order], of[order], group[order]
                 at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(key) else []
                 if len(at):
