@@ -57,7 +57,7 @@ def test_reports(spark, tmp_path):
     rows = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "csv"))
     assert len(rows.columns) == 16 and rows.count() == 1 + WATCHERS + RING
     ring = rows.where("id = 'r0'").first()
-    assert ring.roles == "follower|following|expanded|engager" and "follow_limit" in ring.top_signals and ring.top_signals.count(";") <= 4 and ring.created_at.year == 2024
+    assert ring.roles == "follower|following|expanded|engager" and "dormant_audience" in ring.top_signals and ring.top_signals.count(";") <= 4 and ring.created_at.year == 2024
     reports.write_json({"clusters": results["clusters"]}, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json" / "clusters")).count() == results["clusters"].count()
     edges = reports.graph_edges(results)
