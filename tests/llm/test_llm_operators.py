@@ -324,6 +324,15 @@ def test_forest_held_out():
     assert right / len(other) > 0.97
 
 
+def test_secrets_among_the_tables(spark):
+    """Recall and precision on the given documents: the values assigned to a token, and nothing else."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = secrets.op6_secrets(spark, sf).join(docs.select("doc_id", "text"), "doc_id").collect()
+    want = {(r.doc_id, m[1]) for r in docs.where("text is not null").collect() for m in re.finditer(r'token = "([^"]+)"', r.text, re.I)}
+    assert {(r.doc_id, r.text[r.start : r.end]) for r in found} == want and len(want) > 10
+
+
 # 7
 
 
