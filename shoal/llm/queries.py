@@ -1,9 +1,12 @@
 """Registered queries of the training-data operators."""
 
 from shoal.llm import mixing, quality
+from shoal.llm.alignment import op12_alignment
 from shoal.llm.decontaminate import op7_decontaminate
 from shoal.llm.language import op9_language
 from shoal.llm.licenses import op5_licenses
+from shoal.llm.packing import op11_packing
+from shoal.llm.periodic import op13_periodic_runs
 from shoal.llm.pii import op10_pii
 from shoal.llm.secrets import op6_secrets
 from shoal.llm.simhash import op4_simhash
@@ -21,6 +24,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_pii": op10_pii,
+    "op11_packing": op11_packing,
+    "op12_alignment": op12_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
