@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from shoal.llm.common import SPACE, cut, read, table
 
 SIDES = ("source", "lang", "topic")
-#: Sweeps at least, and the rounds of scale() that the SQL writes out.
-SWEEPS, FITS = 5, 5
+#: Sweeps at least.
+SWEEPS = 5
 #: Largest relative error of a marginal at the end, and sweeps in which it must fall by a tenth.
 TOLERANCE, PATIENCE = 1e-6, 20
 
@@ -141,7 +141,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(documents: str = "documents", power: float = 0.5, keep: float = 0.5) -> str:
-    """The same steps as SQL, sweeps and fits written out."""
+    """The same steps as SQL: sweeps and rounds of the budget as recursions with the same stops."""
     steps = [
         rf"""d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens < 100 THEN 'note' WHEN bars THEN 'table' WHEN n_tokens >= 1000 THEN 'long' ELSE 'prose' END AS topic
  FROM (SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens, contains(text, ' | ') AS bars FROM {documents}))""",
@@ -149,23 +149,27 @@ def oracle(documents: str = "documents", power: float = 0.5, keep: float = 0.5)
     ]
     for side in SIDES:
         steps.append(f"t_{side} AS (SELECT {side}, m ** {power} / sum(m ** {power}) OVER () AS share FROM (SELECT {side}, sum(mass) AS m FROM c GROUP BY 1) WHERE m > 0)")
-    steps.append("w0_topic AS (SELECT *, mass AS w, sum(mass) OVER () AS total FROM c)")
-    last = "w0_topic"
-    for k in range(1, SWEEPS + 1):
-        for side in SIDES:
-            steps.append(f"w{k}_{side} AS (SELECT c.source, c.lang, c.topic, c.mass, c.total, CASE WHEN c.s > 0 THEN c.w * share * total / c.s ELSE c.w END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {side}) AS s FROM {last}) c LEFT JOIN t_{side} t ON c.{side} IS NOT DISTINCT FROM t.{side})")
-            last = f"w{k}_{side}"
-    steps.append(f"f AS MATERIALIZED (SELECT *, CASE WHEN mass > 0 THEN w / mass ELSE 1.0 END AS weight FROM {last})")
-    steps.append("s0 AS (SELECT 0.0::DOUBLE AS s)")
-    for k in range(1, FITS + 1):
-        steps.append(f"s{k} AS (SELECT greatest(any_value(s), ({keep} * any_value(total) - coalesce(sum(mass) FILTER (weight * s >= 1), 0)) / sum(mass * weight) FILTER (weight * s < 1)) AS s FROM f, s{k - 1})")
+    steps.append("w0 AS (SELECT *, sum(mass) OVER () AS total FROM c)")
+    sweep = "rk"
+    for side in SIDES:
+        sweep = f"(SELECT r.source, r.lang, r.topic, r.mass, r.total, r.k, r.errs, CASE WHEN r.s > 0 THEN r.w * coalesce(t.share * r.total / r.s, 1) ELSE r.w END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {side}) AS s FROM {sweep}) r LEFT JOIN t_{side} t ON r.{side} IS NOT DISTINCT FROM t.{side})"
+    offs = ", ".join(f"CASE WHEN {side}_t.share > 0 THEN abs(sum(w) OVER (PARTITION BY x.{side}) / ({side}_t.share * total) - 1) ELSE 0 END" for side in SIDES)
+    goals = " ".join(f"LEFT JOIN t_{side} {side}_t ON x.{side} IS NOT DISTINCT FROM {side}_t.{side}" for side in SIDES)
+    done = f"(len(errs) >= {SWEEPS} AND errs[-1] <= {TOLERANCE}) OR (len(errs) > {PATIENCE} AND errs[-1] > greatest({TOLERANCE}, 0.9 * errs[-{PATIENCE + 1}]))"
+    steps.append(
+        f"""rk AS (SELECT source, lang, topic, mass, total, 0 AS k, []::DOUBLE[] AS errs, mass AS w FROM w0 WHERE total > 0 UNION ALL
+ SELECT source, lang, topic, mass, total, k + 1, list_append(errs, max(off) OVER ()), w FROM (SELECT x.*, greatest({offs}) AS off FROM {sweep} x {goals}) WHERE NOT coalesce({done}, FALSE))"""
+    )
+    steps.append("f AS MATERIALIZED (SELECT *, CASE WHEN mass > 0 THEN w / mass ELSE 1.0 END AS weight FROM rk WHERE k = (SELECT max(k) FROM rk))")
+    rise = f"SELECT ({keep} * any_value(total) - coalesce(sum(mass) FILTER (weight * sc.s >= 1), 0)) / sum(mass * weight) FILTER (weight * sc.s < 1) FROM f"
+    steps.append(f"sc AS (SELECT 0.0::DOUBLE AS s, 0 AS k UNION ALL SELECT r, k + 1 FROM (SELECT ({rise}) AS r, s, k FROM sc) WHERE r > s * (1 + 1e-12))")
     return (
-        "WITH "
+        "WITH RECURSIVE "
         + ",\n".join(steps)
         + f"""
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(least(1.0, weight * s), 6) AS probability,
  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0, weight * s) AS sampled
-FROM (SELECT d.*, f.weight, s.s FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic IS NOT DISTINCT FROM f.topic, s{FITS} s)"""
+FROM (SELECT d.*, coalesce(f.weight, 1.0) AS weight, (SELECT s FROM sc ORDER BY k DESC LIMIT 1) AS s FROM d LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic IS NOT DISTINCT FROM f.topic)"""
     )
 
 
