@@ -8,6 +8,8 @@ ranges: the r-th document with remainder L finds its pieces by a search, so task
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -16,34 +18,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoal.llm.alignment import byte_level
 from shoal.llm.common import read, table
 
 SIZE = 2048
 END_ID = 1
 
 
+#: A word of letters whose lower case and composed form are plain, and the signs after it, which are tokens of their own.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+#: The rules of a tokenizers file under which that holds.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Encoder:
     """Token ids of whole texts by a tokenizers file that drops white space: words between ASCII white space don't touch each other, so each is encoded once and kept."""
 
-    def __init__(self, path: str, width: str, most: int = 1 << 25):
+    def __init__(self, path: str, width: str, most: int = 1_000_000, most_bytes: int = 1 << 26):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width = Tokenizer.from_file(path), width
+        rules = json.loads(self.tokenizer.to_str())
+        self.plain = all(rules[k] == v for k, v in RULES.items())
+        self.byte = {b: c for c, b in byte_level().items()}
         self.known: dict[bytes, bytes] = {}
-        self.held, self.most = 0, most
+        self.held, self.passed, self.most, self.most_bytes = 0, 0, most, most_bytes
+
+    def _keep(self, word: bytes, ids: bytes) -> bytes:
+        """Once as many words are held as may be, others pass, until so many have that the held ones are no longer the common ones."""
+        if len(self.known) >= self.most or self.held > self.most_bytes:
+            self.passed += 1
+            if self.passed < self.most:
+                return ids
+            self.known, self.held, self.passed = {}, 0, 0
+        self.known[word] = ids
+        self.held += len(word) + len(ids)
+        return ids
+
+    def _merged(self, part: str) -> bytes:
+        """The ids of one stretch that the rules leave as it is, but for its bytes."""
+        word = part.encode()
+        if (ids := self.known.get(word)) is None:
+            plain = part if len(word) == len(part) else "".join(map(self.byte.__getitem__, word))
+            ids = self._keep(word, np.asarray([t.id for t in self.tokenizer.model.tokenize(plain)], self.width).tobytes())
+        return ids
+
+    def _learn(self, word: bytes) -> bytes:
+        """A new word's ids. Letters in lower case and the signs after them go straight to the merges, each kept by itself as well."""
+        text = word.decode()
+        if self.plain and (m := PLAIN.fullmatch(text)):
+            ids = self._merged(m[1].lower())
+            if m[2]:
+                ids += self._merged(m[2])
+        else:
+            ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+        return self._keep(word, ids)
 
     def __call__(self, text: bytes) -> bytes:
         """The ids, little-endian, each of the width."""
         words = text.split()
-        if new := [w for w in set(words) if w not in self.known]:
-            if self.held > self.most:
-                self.known, self.held = {}, 0
-                new = [*set(words)]
-            for w in new:
-                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-                self.known[w] = np.asarray(ids, self.width).tobytes()
-                self.held += len(w) + 2 * len(ids) + 100
-        return b"".join(map(self.known.__getitem__, words))
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            ids = [self._learn(w) if x is None else x for w, x in zip(words, ids)]
+        return b"".join(ids)
 
 
 #: The encoder that this worker process used last.
