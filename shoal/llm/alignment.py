@@ -9,8 +9,10 @@ counted by Table.group_by, Spark merges the counts, and each block gets back tho
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 
 from shoal.llm.common import read, table
 
+#: Letters and the signs after them; a single space stands before.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+#: The rules of A's file under which these are two stretches.
+RULES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+
 #: Neither tokenizer joins a character to a single space after it, so that texts can be cut before such spaces.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -35,7 +42,7 @@ def byte_level() -> dict[str, int]:
 class Sides:
     """Both tokenizers, the bytes of their entries, and the ids of stretches of text met before."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 1 << 26):
+    def __init__(self, a_path: str, b_path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -43,6 +50,7 @@ class Sides:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         of = byte_level()
+        self.char = {b: c for c, b in of.items()}
         names = {i: s for s, i in self.a.get_vocab().items()}
         self.a_bytes = [bytes(of[c] for c in names[i]) if i in names and all(c in of for c in names[i]) else b"" for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -53,30 +61,79 @@ class Sides:
         a_names, b_names = (np.arange(len(side)).astype(str).astype(object) for side in (self.a_bytes, self.b_bytes))
         #: What a token writes: A's with a comma or a bar, B's with a comma, a semicolon or nothing after it.
         self.written = pa.array(np.concatenate([a_names + ",", a_names + "|", b_names + ",", b_names + ";", b_names]), pa.string())
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.held, self.most = 0, most
+        self.plain = all(json.loads(self.a.to_str())[k] == v for k, v in RULES.items())
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}  # a stretch's number
+        self.words: dict[str, list[int]] = {}  # A's ids of a word with its space
+        self.ids, self.at, self.same, self.passed = (array("i"), array("i")), (array("q", [0]), array("q", [0])), bytearray(), 0
+
+    def _first(self, stretches: list[str]) -> list[list[int]]:
+        """A's ids. Letters after a space, and the signs after them, are stretches of their own to A, so they go straight to the merges."""
+        out, rest = [], {}
+        for k, s in enumerate(stretches):
+            if self.plain and (m := PLAIN.fullmatch(s)):
+                if (ids := self.words.get(m[1])) is None:
+                    word = m[1] if m[1].isascii() else "".join(map(self.char.__getitem__, m[1].encode()))
+                    ids = self.words[m[1]] = [t.id for t in self.a.model.tokenize("Ġ" + word)]
+                out.append(ids + [t.id for t in self.a.model.tokenize(m[2])] if m[2] else ids)
+            else:
+                rest[k] = " " + s
+                out.append([])
+        for k, x in zip(rest, self.a.encode_batch([*rest.values()], add_special_tokens=False)):
+            out[k] = x.ids
+        return out
 
     def _learn(self, stretches: list[str]) -> None:
-        for s, x, b in zip(stretches, self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False), self.b.encode(stretches, num_threads=1)):
-            a, text = x.ids, (" " + s).encode()
-            same = b"".join(self.a_bytes[i] for i in a) == text == b"".join(self.b_bytes[i] for i in b)
-            self.known[s] = (np.asarray(a, np.int32).tobytes(), np.asarray(b, np.int32).tobytes()) if same else None
-            self.held += len(text) + 4 * (len(a) + len(b)) + 200
+        for lo in range(0, len(stretches), 1024):
+            part = stretches[lo : lo + 1024]
+            for s, a, b in zip(part, self._first(part), self.b.encode(part, num_threads=1)):
+                text = (" " + s).encode()
+                same = b"".join(map(self.b_bytes.__getitem__, b)) == text == b"".join(map(self.a_bytes.__getitem__, a))
+                self.known[s] = len(self.same)
+                self.same.append(same)
+                for flat, at, ids in zip(self.ids, self.at, (a, b) if same else ([], [])):
+                    flat.extend(ids)
+                    at.append(len(flat))
+
+    def _forget(self, new: list[str], before: int) -> None:
+        """Once as many stretches are held as may be, those of a block are dropped after it, until so many have passed that the held ones are no longer the common ones."""
+        self.passed += len(new)
+        if self.passed > self.most:
+            return self._clear()
+        for s in new:
+            del self.known[s]
+        del self.same[before:]
+        for flat, at in zip(self.ids, self.at):
+            del at[before + 1 :]
+            del flat[at[-1] :]
+        if len(self.words) > self.most:
+            self.words = {}
 
     def lists(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of each text on both sides, empty where a side's bytes differ from the text's."""
         cut = [CUT.split(t) if t else [] for t in texts]
-        if new := [s for s in {s for x in cut for s in x} if s not in self.known]:
-            if self.held > self.most:
-                self.known, self.held = {}, 0
-                new = [*{s for x in cut for s in x}]
-            self._learn(new)
-        sides: tuple[list[bytes], list[bytes]] = ([], [])
-        for x in cut:
-            found = [self.known[s] for s in x]
-            for k, side in enumerate(sides):
-                side.append(b"" if None in found else b"".join([f[k] for f in found]))
-        return tuple(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in side)]), pa.int32()), pa.array(np.frombuffer(b"".join(side), np.int32))) for side in sides)
+        before = len(self.same)
+        new = [*{s for x in cut for s in x if s not in self.known}]
+        self._learn(new)
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        number = np.fromiter((self.known[s] for x in cut for s in x), np.int64, int(size.sum()))
+        text = np.repeat(np.arange(len(cut)), size)
+        odd = np.bincount(text, np.frombuffer(self.same, np.uint8)[number] == 0, len(cut))[text] > 0 if len(number) else np.zeros(0, bool)
+        number, text = number[~odd], text[~odd]
+        out = []
+        for flat, at in zip(self.ids, self.at):
+            flat, at = np.array(flat, np.int32), np.frombuffer(at, np.int64)
+            first, n = at[number], at[number + 1] - at[number]
+            place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            stops = np.cumsum(np.bincount(text, n, len(cut)).astype(np.int64))
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(flat[place])))
+            del at
+        if before > self.most:
+            self._forget(new, before)
+        return tuple(out)
 
 
 def ends(ids: pa.ListArray, length: pa.Array, name: str) -> pa.Table:
@@ -164,7 +221,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, most: int, digest: bool) -
     return rows.mapInArrow(run, f"doc_id {kind}, block long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary, pairs array<struct<a: int, b: int, n: long>>")
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, most: int = 1 << 22, digest: bool = False) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, most: int = 1 << 21, digest: bool = False) -> DataFrame:
     """The operator: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups; one row for each of docs.
 
     a_path is a byte-level tokenizers file, b_path a sentencepiece model with byte fallback that puts a space in front. groups has a document's groups as

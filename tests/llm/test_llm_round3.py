@@ -119,6 +119,20 @@ def test_packing_solution():
     assert (x >= 0).all() and abs(made[[5, 6, 21]] - 40).max() < 5
 
 
+def test_packing_encoder():
+    """Whole texts and odd words, with and without room to keep words, as the library encodes them."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()][:300] + ODD
+    texts += ["Ça-va? Ünï_code*** ÀÉß§ ½ x² it's don't, Word's (a) [b]; <|ENDOFTEXT|> \u212b A\u030a s\u0323\u0307 ªº µm"]
+    for encode in (packing.Encoder(WORDS, "<u2"), packing.Encoder(WORDS, "<u2", most=5), packing.Encoder(WORDS, "<u4")):
+        assert encode.plain
+        for t in texts:
+            assert np.frombuffer(encode(t.encode()), encode.width).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 # 12
 
 
@@ -158,6 +172,23 @@ def plain_alignment(texts):
     return [(*x[:4], sum(counts[p] == top[p[1]] for p in own), sum(counts[p] for p in own), x[4]) for x, own in zip(out, links_of)]
 
 
+def test_alignment_sides():
+    """Token lists of whole texts as the libraries give them, with and without room to keep stretches."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()][:200] + ODD
+    texts += ["Ça-va? Ünï_code*** ÀÉß§ ½ x² it's don't, Word's (a) [b]; ªº µm", "we'll say 'tis O'Neill's"]
+    plain = [x[:2] for x in plain_alignment(texts)]
+    for most in (400_000, 50):
+        sides = alignment.Sides(*SIDES, most=most)
+        assert sides.plain
+        got = []
+        for k in range(0, len(texts), 40):
+            a, b = sides.lists(texts[k : k + 40])
+            got += [(len(x), len(y)) for x, y in zip(a.to_pylist(), b.to_pylist())]
+        assert got == plain and len(sides.known) <= max(most, 50) + 20_000
+
+
 @pytest.mark.parametrize("most", [1 << 22, 3000])
 def test_alignment(spark, docs, nothing, most):
     assert alignment.align(nothing, *SIDES).count() == 0
@@ -251,3 +282,25 @@ def test_periodic_query(spark):
     got = periodic.op13_periodic_runs(spark, d)
     assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     assert sum(x[1] > 0 for x in want) > 50 and rows(got) == sorted(want, key=str)
+
+
+# the SQL of this subpackage
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_quality"])
+def test_against_sql(spark, name, sf):
+    import duckdb
+
+    from shoal.llm import queries
+
+    d = f"/root/testdata/{sf}"
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+        want = con.execute(queries.ORACLES[name]).df()
+    got = queries.QUERIES[name](spark, d).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = sorted(got.columns)
+    value = lambda v: None if v is None or v != v else v if isinstance(v, str) else round(float(v), 6)
+    key = lambda df: sorted((tuple(map(value, r)) for r in df[cols].itertuples(index=False)), key=str)
+    assert key(got) == key(want)
