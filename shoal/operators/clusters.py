@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.config import Config
 from shoal.functions.exprs import DAY_US, level, noisy_or, ramp
-from shoal.operators import network, temporal
+from shoal.operators import network, ranks, temporal
 from shoal.operators.profile import ORG_TYPES
 
 # Weights of the cluster rules.
@@ -81,16 +81,8 @@ def signals(measured: DataFrame, cfg: Config, baseline: DataFrame | None = None)
 
 
 def numbered(scored: DataFrame) -> DataFrame:
-    """scored with rank, 1 for the highest score (larger clusters first among equals, then by cluster_id).
-
-    A count of the clusters above each distinct (score, size), so that no single task orders all clusters.
-    """
-    grades = scored.groupBy("score", "size").agg(F.count("*").alias("c"))
-    above = grades.select(F.col("score").alias("s"), F.col("size").alias("z"), F.col("c").alias("k"))
-    higher = (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & (F.col("z") > F.col("size")))
-    before = grades.join(above, higher, "left").groupBy("score", "size").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("score", "size").orderBy("cluster_id"))
-    return scored.join(before, ["score", "size"]).withColumn("rank", F.col("before") + within).drop("before")
+    """scored with rank, 1 for the highest score (larger clusters first among equals, then by cluster_id); dealt by ranges, so that no task orders all clusters."""
+    return ranks.numbered(scored, [], [F.desc("score"), F.desc("size"), "cluster_id"], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def scores(measured: DataFrame, found: DataFrame, neighbours: bool = True) -> DataFrame:

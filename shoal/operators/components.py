@@ -22,6 +22,12 @@ def _contract(edges: DataFrame) -> DataFrame:
     return small.select("u", F.col("m").alias("v")).unionAll(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: stars, which a further round leaves as they are."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above")))))
+    return ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where(F.col("below") + F.col("above") > 1).isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, component) for every node that has an edge to another; component is the smallest node reachable.
 
@@ -29,11 +35,6 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """
     a, b = F.col(src), F.col(dst)
     now = table(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = None
-    while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if tuple(new) == state or new[0] == 0:
-            break
-        state = tuple(new)
+    while not settled(now):
         now = table(_contract(now))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

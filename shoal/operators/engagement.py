@@ -23,11 +23,10 @@ def others(engagements: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def engagers(engagements: DataFrame, reposters: DataFrame, replies: DataFrame) -> DataFrame:
-    """tweet_id, id, place: reposters in order, then repliers, each once."""
+    """tweet_id, id, at (part and pos: reposters in order, then repliers), each once."""
     said = others(engagements, replies).where("author_id is not null").select("tweet_id", F.lit(1).alias("part"), "pos", F.col("author_id").alias("id"))
     rows = reposters.select("tweet_id", F.lit(0).alias("part"), "pos", F.col("account_id").alias("id")).unionByName(said)
-    first = rows.groupBy("tweet_id", "id").agg(F.min(F.struct("part", "pos")).alias("at"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("tweet_id").orderBy("at", "id")) - 1).drop("at")
+    return rows.groupBy("tweet_id", "id").agg(F.min(F.struct("part", "pos")).alias("at"))
 
 
 def reply_timing(engagements: DataFrame, replies: DataFrame) -> DataFrame:
@@ -85,5 +84,5 @@ def scored(summaries: DataFrame) -> DataFrame:
 def top_suspicious(engagements: DataFrame, reposters: DataFrame, replies: DataFrame, meta: DataFrame, threshold: float = 0.5, k: int = 20) -> DataFrame:
     """tweet_id, id, score, rank: the k highest scores of each set, of which those under the threshold go."""
     rows = engagers(engagements, reposters, replies).join(meta, "id")
-    rank = F.row_number().over(Window.partitionBy("tweet_id").orderBy(F.desc("score"), "place"))
+    rank = F.row_number().over(Window.partitionBy("tweet_id").orderBy(F.desc("score"), "at", "id"))  # of each task's first k
     return rows.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") >= threshold)).select("tweet_id", "id", "score", "rank")

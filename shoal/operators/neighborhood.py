@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.config import Config
 from shoal.functions.exprs import DAY_US, days_between, ramp, rounded
-from shoal.operators import temporal
+from shoal.operators import ranks, temporal
 from shoal.sources.shared import cut
 
 KEYS = ["owner_id", "relation"]
@@ -15,8 +15,8 @@ KEYS = ["owner_id", "relation"]
 
 def dated_lists(lists: DataFrame, accounts: DataFrame) -> DataFrame:
     """lists with created_us (null where the member has no account) and rank from the oldest."""
-    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("pos"))) - 1
-    return lists.withColumn("rank", rank).join(accounts.select(F.col("id").alias("member_id"), "created_us"), "member_id", "left")
+    ranked = ranks.numbered(lists, KEYS, [F.desc("pos")], "rank")
+    return ranked.join(accounts.select(F.col("id").alias("member_id"), "created_us"), "member_id", "left")
 
 
 def summary(lists: DataFrame, accounts: DataFrame, meta: DataFrame, cfg: Config) -> DataFrame:
@@ -82,6 +82,7 @@ def candidates(seeds: DataFrame, lists: DataFrame, accounts: DataFrame, meta: Da
     priority = F.coalesce("score", F.lit(0.0)) + F.when(F.col("mutual"), 0.35).otherwise(0.0) + F.coalesce("burst", F.lit(0.0)) + 0.2 * F.least(F.col("n_seeds") - 1, F.lit(3)) + F.when(recent, 0.1).otherwise(0.0) + F.when(F.col("followers") >= 1000, 0.1).otherwise(0.0)
     queue = seen.join(scored.select("member_id", priority.alias("priority")), "member_id")
     rank = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("priority"), "member_id"))
-    turn = queue.withColumn("rank", rank).groupBy("member_id").agg(F.max("priority").alias("priority"), F.min(F.struct("rank", "seed_pos")).alias("turn"))
+    # whoever comes after the k-th in every queue isn't among the k, so that each task keeps k of a queue
+    turn = queue.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("member_id").agg(F.max("priority").alias("priority"), F.min(F.struct("rank", "seed_pos")).alias("turn"))
     top = turn.orderBy("turn", "member_id").limit(k)
     return top.select(F.col("member_id").alias("account_id"), "priority", (F.row_number().over(Window.orderBy("turn", "member_id")) - 1).alias("pos"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.exprs import jaccard, normalize_text, ramp, trigrams
+from shoal.operators import ranks
 from shoal.sources.shared import table
 
 
@@ -51,28 +52,53 @@ def structure(edges: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumns({"density": F.when(n > 1, F.col("n_edges") / (n * (n - 1))).otherwise(0.0), "reciprocity": F.when(F.col("linked") > 0, F.col("mutual") / F.col("linked")).otherwise(0.0)})
 
 
+def shared_items(sets: DataFrame, own: tuple[str, ...] = (), heavy: int = 128, block: int = 256) -> DataFrame:
+    """grp, a, b, shared: every two owners (a < b) of a group that hold an item in common, and how many. sets: grp, owner, item (distinct); own: columns of an owner, which come back as a_ and b_.
+
+    Items of up to heavy holders meet in a join.  Others are packed, 64 to a word of bits, and an owner's word meets those of the same place
+    that the group's other owners have, in blocks of holders: a hot item gives pairs as the result has them, spread over the tasks.
+    """
+    cols = ["owner", *own]
+    many = sets.groupBy("grp", "item").agg(F.count("*").alias("holders"))
+    light = sets.join(many.where(F.col("holders").between(2, heavy)).drop("holders"), ["grp", "item"])
+    side = lambda end: [F.col(c).alias(end if c == "owner" else f"{end}_{c}") for c in cols]
+    ends = [*("a", "b"), *(f"{e}_{c}" for e in "ab" for c in own)]
+    met = light.select("grp", "item", *side("a")).join(light.select("grp", "item", *side("b")), ["grp", "item"]).where("a < b").groupBy("grp", *ends).agg(F.count("*").alias("shared"))
+
+    salt = F.pmod(F.xxhash64("item"), F.lit(64))  # so that a group's hot items are numbered in parts
+    place = F.row_number().over(Window.partitionBy("grp", "salt").orderBy("item")) - 1
+    hot = many.where(F.col("holders") > heavy).select("grp", "item", salt.alias("salt")).withColumn("place", place)
+    packed = sets.join(hot, ["grp", "item"]).groupBy("grp", "salt", F.floor(F.col("place") / 64).alias("word"), *cols).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    sizes = packed.groupBy("grp", "salt", "word").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = packed.join(sizes, ["grp", "salt", "word"]).withColumn("at", F.pmod(F.xxhash64("owner"), F.col("blocks")))
+    key = ["grp", "salt", "word", "x", "y"]  # x <= y: blocks of holders
+    first = dealt.withColumn("x", F.col("at")).withColumn("y", F.explode(F.sequence("at", F.col("blocks") - 1)))
+    second = dealt.withColumn("y", F.col("at")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), "at")))
+    both = first.select(*key, *side("a"), F.col("bits").alias("p")).join(second.select(*key, *side("b"), F.col("bits").alias("q")), key)
+    both = both.where((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))).withColumn("n", F.bit_count(F.col("p").bitwiseAND(F.col("q")))).where("n > 0")
+    turned = lambda c: (F.when(F.col("a") < F.col("b"), F.col(f"a{c}")).otherwise(F.col(f"b{c}")), F.when(F.col("a") < F.col("b"), F.col(f"b{c}")).otherwise(F.col(f"a{c}")))
+    ordered = both.select("grp", *(t.alias(f"{e}{c}") for c in ("", *(f"_{c}" for c in own)) for e, t in zip("ab", turned(c))), "n")
+    bits = ordered.groupBy("grp", *ends).agg(F.sum("n").alias("shared"))
+    return met.unionByName(bits).groupBy("grp", *ends).agg(F.sum("shared").alias("shared"))
+
+
 def mean_pairwise_jaccard(sets: DataFrame, first_pairs: int | None = None) -> DataFrame:
     """group, n_sets, mean_jaccard over pairs of a group's sets. sets: grp, owner, item (distinct).
 
-    Intersections are counted by a join on shared items, so pairs without
+    Intersections come from shared items, so pairs without
     one are never made; the mean then follows from all pairs' number.  first_pairs keeps the first so many
     pairs in order of owners (a parity setting; None takes all).  Groups under two sets give null.
     """
-    order = F.row_number().over(Window.partitionBy("grp").orderBy("owner")) - 1
-    sized = sets.groupBy("grp", "owner").agg(F.count("*").alias("size")).withColumn("i", order)
+    sized = sets.groupBy("grp", "owner").agg(F.count("*").alias("size"))
     total = sized.groupBy("grp").agg(F.count("*").alias("n_sets"))
-    held = sets.join(sized, ["grp", "owner"]).join(total, "grp")
-    if first_pairs is not None:  # owners whose first pair comes too late are left out before the join
-        held = held.withColumn("leads", F.col("i") * F.col("n_sets") - (F.col("i") * (F.col("i") + 1)) / 2 < first_pairs)
-    else:
-        held = held.withColumn("leads", F.lit(True))
-    a = held.where("leads").select("grp", "item", "n_sets", F.col("i").alias("ia"), F.col("size").alias("sa"))
-    b = held.select("grp", "item", F.col("i").alias("ib"), F.col("size").alias("sb"))
-    shared = a.join(b, ["grp", "item"]).where("ia < ib").groupBy("grp", "ia", "ib", "sa", "sb", "n_sets").agg(F.count("*").alias("both"))
-    place = F.col("ia") * F.col("n_sets") - (F.col("ia") * (F.col("ia") + 1)) / 2 + F.col("ib") - F.col("ia") - 1
+    own = ("size",)
+    if first_pairs is not None:
+        sized, own = ranks.numbered(sized, ["grp"], ["owner"], "i").join(total, "grp"), ("size", "i", "n_sets")
+    shared = shared_items(sets.join(sized, ["grp", "owner"]), own)
     if first_pairs is not None:
-        shared = shared.where(place < first_pairs)
-    summed = shared.groupBy("grp").agg(F.sum(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both"))).alias("s"))
+        i, n = F.col("a_i"), F.col("a_n_sets")
+        shared = shared.where(i * n - (i * (i + 1)) / 2 + F.col("b_i") - i - 1 < first_pairs)
+    summed = shared.groupBy("grp").agg(F.sum(F.col("shared") / (F.col("a_size") + F.col("b_size") - F.col("shared"))).alias("s"))
     pairs = F.col("n_sets") * (F.col("n_sets") - 1) / 2
     pairs = pairs if first_pairs is None else F.least(pairs, F.lit(first_pairs))
     return total.join(summed, "grp", "left").select("grp", "n_sets", F.when(F.col("n_sets") >= 2, F.coalesce("s", F.lit(0.0)) / pairs).alias("mean_jaccard"))
@@ -144,17 +170,21 @@ def list_overlap(lists: DataFrame, relation: str) -> DataFrame:
     """a, b, shared, jaccard of every two owners whose lists share a member."""
     rows = lists.where(F.col("relation") == relation).select("owner_id", "member_id").distinct()
     sizes = rows.groupBy("owner_id").agg(F.count("*").alias("n"))
-    x, y = rows.withColumnRenamed("owner_id", "a"), rows.withColumnRenamed("owner_id", "b")
-    shared = x.join(y, "member_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = shared.join(sizes.select(F.col("owner_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("owner_id").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    sets = rows.join(sizes, "owner_id").select(F.lit(0).alias("grp"), F.col("owner_id").alias("owner"), F.col("member_id").alias("item"), "n")
+    return shared_items(sets, ("n",)).select("a", "b", "shared", (F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))).alias("jaccard"))
 
 
-def pair_overlap(seeds: DataFrame, accounts: DataFrame, lists: DataFrame, posts: DataFrame) -> DataFrame:
-    """Every two seeds (a before b by pos; seeds are the analysed handles, a stated set): list overlaps, follows in three values, amplification ties."""
+def pair_overlap(seeds: DataFrame, accounts: DataFrame, lists: DataFrame, posts: DataFrame, most_seeds: int = 5000) -> DataFrame:
+    """Every two seeds (a before b by pos): list overlaps, follows in three values, amplification ties.
+
+    Seeds are the analysed handles, a stated set, and all their pairs the result; over most_seeds of them raise.
+    """
+    if (n := seeds.count()) > most_seeds:
+        raise ValueError(f"{n} seeds have {n * (n - 1) // 2} pairs; most_seeds is {most_seeds}")
     s = seeds.join(accounts.select(F.col("id").alias("seed_id"), "created_us"), "seed_id", "left").select("seed_id", "pos", "created_us")
     x, y = (s.select(*(F.col(c).alias(f"{p}_{c}") for c in s.columns)) for p in "ab")
-    pairs = x.join(y, F.col("a_pos") < F.col("b_pos")).select(F.col("a_seed_id").alias("a"), F.col("b_seed_id").alias("b"), (F.abs(F.col("a_created_us") - F.col("b_created_us")) / 86_400e6).alias("created_days_apart"))
+    # most_seeds rows at most on the broadcast side
+    pairs = x.join(F.broadcast(y), F.col("a_pos") < F.col("b_pos")).select(F.col("a_seed_id").alias("a"), F.col("b_seed_id").alias("b"), (F.abs(F.col("a_created_us") - F.col("b_created_us")) / 86_400e6).alias("created_days_apart"))
     mine = lists.join(s.select(F.col("seed_id").alias("owner_id")), "owner_id", "left_semi")
     for relation in ("followers", "following"):
         one = list_overlap(mine, relation)
@@ -172,8 +202,8 @@ def pair_overlap(seeds: DataFrame, accounts: DataFrame, lists: DataFrame, posts:
         pairs = pairs.join(amp.select(F.col("src").alias(u), F.col("dst").alias(v), F.col("weight").alias(f"{u}_amplifies_{v}")), ["a", "b"], "left").na.fill(0, [f"{u}_amplifies_{v}"])
     own = posts.join(s.select(F.col("seed_id").alias("owner_id")), "owner_id", "left_semi")
     for name, rows in (("shared_amplified_accounts", own.where(F.col("kind").isin("repost", "quote") & _named("target_id")).select("owner_id", F.col("target_id").alias("item"))), ("shared_reposted_posts", own.where((F.col("kind") == "repost") & _named("target_post_id")).select("owner_id", F.col("target_post_id").alias("item")))):
-        rows = rows.distinct()
-        both = rows.withColumnRenamed("owner_id", "a").join(rows.withColumnRenamed("owner_id", "b"), "item").where("a <> b").groupBy("a", "b").agg(F.count("*").alias(name))
+        one = shared_items(rows.distinct().select(F.lit(0).alias("grp"), F.col("owner_id").alias("owner"), "item")).select("a", "b", F.col("shared").alias(name))
+        both = one.unionAll(one.select("b", "a", name))
         pairs = pairs.join(both, ["a", "b"], "left").na.fill(0, [name])
     return pairs.select("a", "b", "followers_jaccard", "following_jaccard", "shared_followers", "shared_following", "a_follows_b", "b_follows_a", "created_days_apart", "shared_amplified_accounts", "shared_reposted_posts", "a_amplifies_b", "b_amplifies_a")
 

@@ -1,15 +1,21 @@
 """Windows over creation times, for all groups at once.
 
-Every operator takes rows (group columns, ts in microseconds[, rank]) and partitions by the group; ties of ts share a frame.
+Every operator takes rows (group columns, ts in microseconds[, rank]). No step gathers a group: frames are dealt by blocks of time, ranks and counts by ranges (ranks.py); ties of ts share a frame.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.exprs import DAY_US, binom_sf, poisson_sf
-from shoal.sources.shared import cut
+from shoal.operators import ranks
+from shoal.sources.shared import cut, table
+
+#: Ranks of a block by which bands meet their rows.
+RANKS = 1024
 
 
 def _by(keys):
@@ -41,12 +47,12 @@ def monthly_histogram(rows: DataFrame, keys: list[str], ts: str = "ts") -> DataF
 def burst_candidates(rows: DataFrame, keys: list[str], as_of: int, window: int = 7, background: int = 180, alpha: float = 1e-3, least: int = 5, ts: str = "ts") -> DataFrame:
     """Windows whose count beats a Poisson background: keys, i (first row's index), last (its last row's), count, expected, p_value, start_us, end_us, n.
 
-    Only the first row of each distinct time starts a window; groups under 30 rows give none.
+    Each distinct time starts a window; groups under 30 rows give none.
     """
     w, half = window * DAY_US, background * DAY_US // 2
-    df = _frames(rows, keys, w, half, ts)
+    df = _frames(rows, keys, w, half, ts).withColumn("count", F.col("upto") - F.col("i")).withColumn("around", F.col("above") - F.col("below"))
     need = F.greatest(F.lit(least), F.ceil(0.01 * F.col("n")))
-    df = df.where((F.col("n") >= 30) & (F.col("prev").isNull() | (F.col("prev") < F.col("start_us"))) & (F.col("count") >= need))
+    df = df.where((F.col("n") >= 30) & (F.col("count") >= need))
     lo = F.greatest(F.col("start_us") - half, F.col("first"))
     hi = F.least(F.col("start_us") + w + half, F.lit(as_of))
     span = F.greatest(hi - lo - w, F.lit(w))
@@ -57,30 +63,53 @@ def burst_candidates(rows: DataFrame, keys: list[str], as_of: int, window: int =
 
 
 def _frames(rows: DataFrame, keys: list[str], w: int, half: int, ts: str) -> DataFrame:
-    order = _by(keys).orderBy(ts)
-    return rows.where(F.col(ts).isNotNull()).select(
-        *keys,
-        F.col(ts).alias("start_us"),
-        (F.row_number().over(order) - 1).alias("i"),
-        F.count("*").over(_by(keys)).alias("n"),
-        F.min(ts).over(_by(keys)).alias("first"),
-        F.max(ts).over(_by(keys)).alias("final"),
-        F.lag(ts).over(order).alias("prev"),
-        F.count("*").over(order.rangeBetween(0, w)).alias("count"),
-        F.max(ts).over(order.rangeBetween(0, w)).alias("end_us"),
-        F.count("*").over(order.rangeBetween(-half, w + half)).alias("around"),
-    )
-
-
-def creation_bursts(rows: DataFrame, keys: list[str], as_of: int, fresh_days: int = 60, ts: str = "ts", **options) -> DataFrame:
+    """For each distinct time: rows before it (i), up to its window's end (upto) and before and up to the background's ends (below, above), the window's last time, and the group's n, first and final.
+
+    The time and the three ends are points of one running total, dealt by ranges, so that no group meets in one task.
+    """
+    times = rows.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("start_us")).agg(F.count("*").alias("c"))
+    point = lambda shift, kind: F.struct((F.col("start_us") + shift).alias("at"), F.lit(kind).alias("kind"))
+    points = times.select(*keys, "start_us", "c", F.inline(F.array(point(-half, 0), point(0, 1), point(w, 2), point(w + half, 3))))
+    is_row, order = F.col("kind") == 1, ["at", "kind"]  # at one place rows come after lower ends and before upper ones
+    row, at = F.when(is_row, F.col("c")).otherwise(0), F.when(is_row, F.col("at"))
+    cum = ranks.running(ranks.deal(points, keys, order), keys, order, {"cum": ("sum", row), "seen": ("max", at)}, {"n": ("sum", row), "first": ("min", at), "final": ("max", at)})
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
+    return cum.groupBy(*keys, "start_us").agg(of(0, F.col("cum")).alias("below"), of(1, F.col("cum") - F.col("c")).alias("i"), of(2, F.col("cum")).alias("upto"), of(2, F.col("seen")).alias("end_us"), of(3, F.col("cum")).alias("above"), *(F.max(c).alias(c) for c in ("n", "first", "final")))
+
+
+def _near(rows: DataFrame, keys: list[str], w: int, value, name: str) -> DataFrame:
+    """rows with the aggregate of those of their group that start within w of them; by blocks of length w and their neighbours."""
+    block = F.floor(F.col("start_us") / F.lit(w))
+    dealt = rows.withColumn("_block", F.explode(F.array(block - 1, block, block + 1)))
+    frame = _by([*keys, "_block"]).orderBy("start_us").rangeBetween(-w, w)
+    return dealt.withColumn(name, value.over(frame)).where(F.col("_block") == block).drop("_block")
+
+
+def disjoint(found: DataFrame, keys: list[str], w: int, unrolled: int = 2) -> DataFrame:
+    """Of windows of length w (start_us, p_value, i), those a greedy choice by (p_value, i) takes; no two overlap.
+
+    In rounds: each window that comes before all it overlaps is taken, and those it overlaps go.  Two of one length overlap just where
+    their starts lie within it, so a round is two frames over time.  The best window left is taken each time, so rounds end.
+    """
+    taken, place = [], F.struct("p_value", "i")
+    open_rows = found.withColumn("_state", F.lit("open"))
+    while True:
+        for _ in range(unrolled):
+            is_open = F.col("_state") == "open"
+            led = _near(open_rows, keys, w, F.min(F.when(is_open, place)), "_lead").withColumn("_leads", is_open & (place == F.col("_lead")))
+            beaten = _near(led.drop("_lead"), keys, w, F.max("_leads"), "_beaten")
+            state = F.when(F.col("_leads"), "taken").when(is_open & F.col("_beaten"), "gone").otherwise(F.col("_state"))
+            open_rows = beaten.withColumn("_state", state).drop("_leads", "_beaten")
+        done = table(open_rows)
+        taken.append(done.where("_state = 'taken'").drop("_state"))
+        open_rows = done.where("_state = 'open'")
+        if open_rows.isEmpty():
+            return reduce(DataFrame.unionAll, taken)
+
+
+def creation_bursts(rows: DataFrame, keys: list[str], as_of: int, fresh_days: int = 60, ts: str = "ts", window: int = 7, **options) -> DataFrame:
     """Non-overlapping bursts, the most significant first accepted: keys, count, expected, p_value, excess_share, start_us, end_us, fresh."""
-    found = burst_candidates(rows, keys, as_of, ts=ts, **options)
-    item = F.struct("p_value", "i", "last", "count", "expected", "start_us", "end_us", "n")
-    # candidates that pass the test are few in a group; the greedy choice folds over them in order
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    free = lambda acc, x: ~F.exists(acc, lambda y: (x["i"] <= y["last"]) & (y["i"] <= x["last"]))
-    taken = F.aggregate("c", F.slice("c", 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    out = listed.select(*keys, F.inline(taken))
+    out = disjoint(burst_candidates(rows, keys, as_of, window, ts=ts, **options), keys, window * DAY_US)
     fresh = F.floor((F.lit(as_of) - F.col("end_us")) / F.lit(float(DAY_US))) <= fresh_days
     return out.select(*keys, "count", "expected", "p_value", ((F.col("count") - F.col("expected")) / F.col("n")).alias("excess_share"), "start_us", "end_us", fresh.alias("fresh"))
 
@@ -97,8 +126,9 @@ def follower_map_bands(rows: DataFrame, keys: list[str], as_of: int, window_days
     rank counts from the oldest follower and includes undated ones; runs are taken over dated rows. Groups under 40 dated rows give none.
     """
     w = window_days * DAY_US
-    g = _by(keys)
-    dated = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(rank).alias("rank"), (F.row_number().over(g.orderBy(rank)) - 1).alias("idx"), F.count("*").over(g).alias("n")).where("n >= 40")
+    placed = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(rank).alias("rank"))
+    one = F.lit(1)
+    dated = ranks.running(ranks.deal(placed, keys, ["rank"]), keys, ["rank"], {"idx": ("sum", one)}, {"n": ("sum", one)}, before=True).drop(ranks.PART).where("n >= 40")
     length = F.greatest(F.lit(20), F.least(F.lit(100), F.floor(F.col("n") / 20))).cast("int")
     dated = dated.withColumn("len", length).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("len") / 4)).cast("int"))
     # each row joins the few runs that cover it: starts are multiples of step in (idx - len, idx], up to n - len
@@ -112,12 +142,14 @@ def follower_map_bands(rows: DataFrame, keys: list[str], as_of: int, window_days
     base = _share_in(best, dated.select(*keys, "ts"), keys, w)
     lift = (F.col("count") / F.col("len")) / F.col("base")
     hit = base.where(lift >= least_lift).withColumn("p_value", binom_sf("count", "len", "base")).where(F.col("p_value") < F.col("limit"))
-    order = g.orderBy("s")
-    ends = F.col("s") + F.col("len") - 1
-    hit = hit.select(*keys, "s", ends.alias("e"), F.max(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
-    bands = hit.withColumn("band", F.sum(F.when(F.col("s") > F.coalesce(F.col("reach"), F.lit(-2)) + 1, 1).otherwise(0)).over(order))
+    hit = ranks.deal(hit.select(*keys, "s", (F.col("s") + F.col("len") - 1).alias("e")), keys, ["s"])
+    hit = ranks.running(hit, keys, ["s"], {"reach": ("max", F.col("e"))}, before=True)
+    opens = F.when(F.col("s") > F.coalesce("reach", F.lit(-2)) + 1, 1).otherwise(0)
+    bands = ranks.running(hit, keys, ["s"], {"band": ("sum", opens)})
     bands = cut(bands.groupBy(*keys, "band").agg(F.min("s").alias("s"), F.max("e").alias("e")))
-    inside = dated.join(bands, keys).where("idx between s and e")
+    block = lambda c: F.floor(F.col(c) / F.lit(RANKS))
+    spread = bands.withColumn("_block", F.explode(F.sequence(block("s"), block("e"))))
+    inside = dated.withColumn("_block", block("idx")).join(spread, [*keys, "_block"]).where("idx between s and e")
     spans = inside.groupBy(*keys, "band").agg(F.min("rank").alias("rank_start"), F.max("rank").alias("rank_end"), F.count("*").alias("run"), F.max("n").alias("n"))
     dense = densest_window(inside.select(*keys, "band", "ts"), [*keys, "band"], window_days).join(spans, [*keys, "band"])
     out = _share_in(dense, dated.select(*keys, "ts"), keys, w)
@@ -127,10 +159,7 @@ def follower_map_bands(rows: DataFrame, keys: list[str], as_of: int, window_days
 
 
 def _share_in(windows: DataFrame, dated: DataFrame, keys: list[str], w: int) -> DataFrame:
-    """windows (with n and start_us) and base: the group's share of rows in [start_us, start_us + w], at least 1/n.
-
-    Counted by a range frame over each group's rows and window starts together, so that no pairs are made.
-    """
-    events = dated.select(*keys, F.col("ts").alias("at"), F.lit(1).alias("one")).unionByName(windows.select(*keys, F.col("start_us").alias("at")).distinct().withColumn("one", F.lit(0)))
-    counted = events.withColumn("c", F.sum("one").over(_by(keys).orderBy("at").rangeBetween(0, w))).where("one = 0").select(*keys, F.col("at").alias("start_us"), "c")
+    """windows (with n and start_us) and base: the group's share of rows in [start_us, start_us + w], at least 1/n."""
+    times = dated.groupBy(*keys, "ts").agg(F.count("*").alias("n"))
+    counted = ranks.counts_at(times, windows, keys, 0, w)
     return windows.join(counted, [*keys, "start_us"]).withColumn("base", F.greatest(F.col("c") / F.col("n"), 1 / F.col("n"))).drop("c")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import countries, exprs
-from shoal.operators import behavior, clusters, community, engagement, neighborhood, network, profile, temporal
+from shoal.operators import behavior, clusters, community, engagement, neighborhood, network, profile, ranks, temporal
 from shoal.operators.components import connected_components
 from shoal.plans.analysis import group_summary as group
 from shoal.plans.analysis import ranked
@@ -291,8 +291,8 @@ def burst_excess(accounts):
 
 @query(accounts="accounts")
 def follower_map_bands(accounts):
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("key")) - 1
-    b = temporal.follower_map_bands(accounts.withColumn("rank", rank), ["seed"], AS_OF, ts="created_us")
+    placed = ranks.numbered(accounts.select("seed", "key", "created_us"), ["seed"], ["key"], "rank")
+    b = temporal.follower_map_bands(placed, ["seed"], AS_OF, ts="created_us")
     return r6(b.drop("p_value"), "share", "density", "lift")
 
 
@@ -514,8 +514,7 @@ def roles(posts, lists, accounts, edges):
 @query(accounts="accounts")
 def neighborhood_summary(accounts):
     """Every nation's follower list: sizes, shares, peaks, bursts and bands."""
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key"))) - 1
-    lists = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), rank.alias("pos"), F.col("id").alias("member_id"))
+    lists = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), (-F.col("key")).alias("pos"), F.col("id").alias("member_id"))
     s = neighborhood.summary(lists, accounts, cut(_scores(accounts)), CONFIG)
     return r6(s, "recent_share", "botlike_share", "peak", "aged_peak", "peak90", "burst_excess", "band_share")
 
@@ -631,8 +630,7 @@ def top_engagers(posts, accounts):
 @query(accounts="accounts", lists="lists")
 def neighborhood_signals(accounts, lists):
     """The signals that its followers' creation times and scores give each nation; tests hold the rules against plain values."""
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key"))) - 1
-    own = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), rank.alias("pos"), F.col("id").alias("member_id"))
+    own = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), (-F.col("key")).alias("pos"), F.col("id").alias("member_id"))
     s = cut(neighborhood.summary(own, accounts, cut(_scores(accounts)), CONFIG))
     return r6(neighborhood.signals(s, network.mutual_share(lists).withColumn("owner_id", F.col("owner_id").cast("string"))), "score")
 
