@@ -59,16 +59,19 @@ def shared_items(sets: DataFrame, own: tuple[str, ...] = (), heavy: int = 128, b
     that the group's other owners have, in blocks of holders: a hot item gives pairs as the result has them, spread over the tasks.
     """
     cols = ["owner", *own]
-    many = sets.groupBy("grp", "item").agg(F.count("*").alias("holders"))
-    light = sets.join(many.where(F.col("holders").between(2, heavy)).drop("holders"), ["grp", "item"])
+    many = sets.groupBy("grp", "item").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = table(sets.join(many, ["grp", "item"]))
+    light, dense = held.where(F.col("holders") <= heavy), held.where(F.col("holders") > heavy)
     side = lambda end: [F.col(c).alias(end if c == "owner" else f"{end}_{c}") for c in cols]
     ends = [*("a", "b"), *(f"{e}_{c}" for e in "ab" for c in own)]
     met = light.select("grp", "item", *side("a")).join(light.select("grp", "item", *side("b")), ["grp", "item"]).where("a < b").groupBy("grp", *ends).agg(F.count("*").alias("shared"))
+    if dense.isEmpty():
+        return met
 
     salt = F.pmod(F.xxhash64("item"), F.lit(64))  # so that a group's hot items are numbered in parts
     place = F.row_number().over(Window.partitionBy("grp", "salt").orderBy("item")) - 1
-    hot = many.where(F.col("holders") > heavy).select("grp", "item", salt.alias("salt")).withColumn("place", place)
-    packed = sets.join(hot, ["grp", "item"]).groupBy("grp", "salt", F.floor(F.col("place") / 64).alias("word"), *cols).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    hot = dense.select("grp", "item").distinct().withColumn("salt", salt).withColumn("place", place)
+    packed = dense.join(hot, ["grp", "item"]).groupBy("grp", "salt", F.floor(F.col("place") / 64).alias("word"), *cols).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
     sizes = packed.groupBy("grp", "salt", "word").agg(F.ceil(F.count("*") / block).alias("blocks"))
     dealt = packed.join(sizes, ["grp", "salt", "word"]).withColumn("at", F.pmod(F.xxhash64("owner"), F.col("blocks")))
     key = ["grp", "salt", "word", "x", "y"]  # x <= y: blocks of holders
