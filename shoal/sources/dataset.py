@@ -148,22 +148,22 @@ SESSION_USER = "struct<id:string,username:string,displayname:string,created:stri
 TOOL_USER = "struct<id:string,username:string,name:string,createdAt:string,followersCount:bigint,followingCount:bigint,description:string,isBlueVerified:boolean>"
 
 
-def rest_accounts(raw: DataFrame, column: str = "value") -> DataFrame:
+def rest_accounts(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     u = F.from_json(column, REST_USER)
-    d = raw.select(u.alias("u")).select("u.*")
-    return d.select("id", F.col("screen_name").alias("handle"), "name", iso_us("joined").alias("created_us"), "followers", "following", F.col("statuses").alias("tweets"), "likes", F.col("media_count").alias("media"), "description", "location", F.col("website.url").alias("url"), "avatar_url", "banner_url", F.col("verification.verified").alias("verified"), F.col("verification.type").alias("verified_type"), "protected", F.lit("rest").alias("source"))
+    d = raw.select(*keep, u.alias("u")).select(*keep, "u.*")
+    return d.select(*keep, "id", F.col("screen_name").alias("handle"), "name", iso_us("joined").alias("created_us"), "followers", "following", F.col("statuses").alias("tweets"), "likes", F.col("media_count").alias("media"), "description", "location", F.col("website.url").alias("url"), "avatar_url", "banner_url", F.col("verification.verified").alias("verified"), F.col("verification.type").alias("verified_type"), "protected", F.lit("rest").alias("source"))
 
 
-def session_accounts(raw: DataFrame, column: str = "value") -> DataFrame:
-    d = raw.select(F.from_json(column, SESSION_USER).alias("u")).select("u.*")
+def session_accounts(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    d = raw.select(*keep, F.from_json(column, SESSION_USER).alias("u")).select(*keep, "u.*")
     verified = F.coalesce("verified", F.lit(False)) | F.coalesce("blue", F.lit(False))
     kind = F.coalesce("blueType", F.when(F.col("verified"), "legacy"))
-    return d.select("id", F.col("username").alias("handle"), F.col("displayname").alias("name"), iso_us("created").alias("created_us"), F.col("followersCount").alias("followers"), F.col("friendsCount").alias("following"), F.col("statusesCount").alias("tweets"), F.col("favouritesCount").alias("likes"), F.col("mediaCount").alias("media"), F.col("listedCount").alias("listed"), F.col("rawDescription").alias("description"), "location", F.col("profileImageUrl").alias("avatar_url"), F.col("profileBannerUrl").alias("banner_url"), verified.alias("verified"), kind.alias("verified_type"), "protected", F.lit("session").alias("source"))
+    return d.select(*keep, "id", F.col("username").alias("handle"), F.col("displayname").alias("name"), iso_us("created").alias("created_us"), F.col("followersCount").alias("followers"), F.col("friendsCount").alias("following"), F.col("statusesCount").alias("tweets"), F.col("favouritesCount").alias("likes"), F.col("mediaCount").alias("media"), F.col("listedCount").alias("listed"), F.col("rawDescription").alias("description"), "location", F.col("profileImageUrl").alias("avatar_url"), F.col("profileBannerUrl").alias("banner_url"), verified.alias("verified"), kind.alias("verified_type"), "protected", F.lit("session").alias("source"))
 
 
-def tool_accounts(raw: DataFrame, column: str = "value") -> DataFrame:
-    d = raw.select(F.from_json(column, TOOL_USER).alias("u")).select("u.*")
-    return d.select("id", F.col("username").alias("handle"), "name", iso_us("createdAt").alias("created_us"), F.col("followersCount").alias("followers"), F.col("followingCount").alias("following"), "description", F.col("isBlueVerified").alias("verified"), F.lit("tool").alias("source"))
+def tool_accounts(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    d = raw.select(*keep, F.from_json(column, TOOL_USER).alias("u")).select(*keep, "u.*")
+    return d.select(*keep, "id", F.col("username").alias("handle"), "name", iso_us("createdAt").alias("created_us"), F.col("followersCount").alias("followers"), F.col("followingCount").alias("following"), "description", F.col("isBlueVerified").alias("verified"), F.lit("tool").alias("source"))
 
 
 def post_kind(reposted: Column, replied: Column, quoted: Column) -> Column:

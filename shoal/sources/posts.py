@@ -1,6 +1,6 @@
 """Posts of three backends' raw payloads as rows of the posts table, and views of landed lists.
 
-raw: owner_id, owner_handle (whose timeline a payload came from; null for a single post) and the payload as JSON text.
+raw: owner_id, owner_handle (whose timeline a payload came from; null for a single post), the payload as JSON text, and columns to keep.
 """
 
 from __future__ import annotations
@@ -34,13 +34,13 @@ def _pick(kind: Column, **of: Column) -> Column:
     return out
 
 
-def _rows(raw: DataFrame, schema: str, column: str) -> DataFrame:
-    return raw.select("owner_id", "owner_handle", F.from_json(column, schema).alias("p")).select("owner_id", "owner_handle", "p.*")
+def _rows(raw: DataFrame, schema: str, column: str, keep: tuple[str, ...]) -> DataFrame:
+    return raw.select("owner_id", "owner_handle", *keep, F.from_json(column, schema).alias("p")).select("owner_id", "owner_handle", *keep, "p.*")
 
 
-def rest_posts(raw: DataFrame, column: str = "value") -> DataFrame:
+def rest_posts(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """A status by another author in an owner's timeline is that owner's repost, of which only the original's time is known."""
-    d = _rows(raw, REST, column)
+    d = _rows(raw, REST, column, keep)
     own, author = F.col("owner_id").isNotNull(), F.col("author.id")
     repost = own & (_named(F.col("reposted_by")) | (_named(author) & (author != F.col("owner_id"))))
     kind = F.when(repost, "repost").when(F.col("replying_to").isNotNull(), "reply").when(F.col("quote").isNotNull(), "quote").otherwise("post")
@@ -58,15 +58,16 @@ def rest_posts(raw: DataFrame, column: str = "value") -> DataFrame:
             "target_post_id": _pick(k, repost=F.col("id"), reply=F.col("replying_to.status"), quote=F.nullif(F.col("quote.id"), F.lit(""))),
             "client": F.lit(None).cast("string"),
         }
-    ).select(*COLUMNS)
+    ).select(*keep, *COLUMNS)
 
 
-def session_posts(raw: DataFrame, column: str = "value") -> DataFrame:
-    d = _rows(raw, SESSION, column)
+def session_posts(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    d = _rows(raw, SESSION, column, keep)
     kind = F.when(F.col("retweetedTweet").isNotNull(), "repost").when(_named(F.col("inReplyToTweetId")), "reply").when(F.col("quotedTweet").isNotNull(), "quote").otherwise("post")
     d = d.withColumn("kind", kind)
     k = F.col("kind")
     return d.select(
+        *keep,
         "owner_id",
         "id",
         F.col("user.id").alias("author_id"),
@@ -87,15 +88,16 @@ def session_posts(raw: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def tool_posts(raw: DataFrame, column: str = "value") -> DataFrame:
+def tool_posts(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """A text that begins with RT @handle: is the owner's repost at its own time; one by another author is a repost at the original's."""
-    d = _rows(raw, TOOL, column).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("rt", tool_reposted(F.col("text")))
+    d = _rows(raw, TOOL, column, keep).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("rt", tool_reposted(F.col("text")))
     d = d.withColumn("author_id", F.when(_named(F.col("authorId")), F.col("authorId")).otherwise(F.col("owner_id"))).withColumn("author_handle", F.when(_named(F.col("author.username")), F.col("author.username")).otherwise(F.col("owner_handle")))
     repost = (F.col("rt") != "") | (F.col("author_id") != F.col("owner_id"))
     kind = F.when(repost, "repost").when(_named(F.col("inReplyToStatusId")), "reply").when(F.col("quotedTweet").isNotNull(), "quote").otherwise("post")
     d = d.withColumn("kind", kind)
     k, marked = F.col("kind"), F.col("rt") != ""
     return d.select(
+        *keep,
         "owner_id",
         "id",
         F.when(k == "repost", F.col("owner_id")).otherwise(F.col("author_id")).alias("author_id"),
