@@ -479,6 +479,50 @@ def test_pii(spark, edge, nothing):
     rng = random.Random(9)
     made = ["".join(rng.choices("0123456789.-+@ a()", k=rng.randint(0, 80))) for _ in range(300)] + ["a@b.co%c@d.com", "1.2.3.4.5.6.7.8", "x1.2.3.4", "4111 1111 1111 1111-", "1" * 5000, "a" * 20_000, "é a@b.cd 4111111111111111", "+1+2 345-678-901 23"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").unionByName(edge.select("doc_id", "text"))
-    got = sorted((r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.detect(docs).collect())
-    assert got == sorted(brute_pii(r.text or "") for r in docs.collect())
+    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.detect(docs).collect()), key=str)
+    assert got == sorted(((r.doc_id, *brute_pii(r.text or "")) for r in docs.collect()), key=str)
     assert pii.detect(nothing).count() == 0 and pii.detect(edge.where("doc_id < 5")).count() == edge.where("doc_id < 5").count()
+
+
+def test_pii_added_spans(spark):
+    """Loose spans planted among the given documents by this test's own forms: recall and precision of each kind, by id; none touches a base span or another."""
+    rng = random.Random(12)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("length(text) between 200 and 3000").orderBy("doc_id").limit(400).collect()
+    num = lambda k: "".join(rng.choices("0123456789", k=k))
+    word = lambda k: "".join(rng.choices("abcdefghklmnoprstuvw", k=k))
+
+    def luhnless():
+        while True:
+            x = num(16)
+            if sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(x)) % 10:
+                return x
+
+    good = {
+        "local_phone": lambda: (rng.choice(["ring me on ", "", "Telephone ", "mobile: "]), f"({num(3)}) {num(3)}-{num(4)}"),
+        "spelled_email": lambda: (rng.choice(["", "e-mail ", "or "]), f"{word(5)}.{word(4)} [at] {word(7)}.net"),
+        "account": lambda: (rng.choice(["IBAN: ", "", "to account "]), f"{rng.choice(['DE', 'FR', 'IT'])}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)}"),
+        "card_like": lambda: (rng.choice(["", "my card ", "Visa "]), (lambda x: rng.choice([x, " ".join(x[i : i + 4] for i in range(0, 16, 4))]))(luhnless())),
+    }
+    bad = [lambda: ("tracking ", luhnless()), lambda: ("see section ", f"({num(3)}) {num(3)}-{num(4)}"), lambda: ("we looked ", f"{word(4)} [at] {word(5)}"), lambda: ("serial ", f"{word(2).upper()}{num(2)} {word(4).upper()} {word(4).upper()} {word(4).upper()}")]
+    made, want = [], {k: set() for k in good}
+    for k, r in enumerate(given):
+        kind = [*good][k % 4] if k % 8 < 4 else None
+        cue, value = good[kind]() if kind else bad[k % 4]()
+        at = r.text.rfind(" ", 0, len(r.text) // 2) + 1
+        made.append((r.doc_id, r.text[:at] + cue + value + " " + r.text[at:]))
+        if kind:
+            want[kind].add((r.doc_id, at + len(cue), at + len(cue) + len(value)))
+    got = {k: set() for k in good}
+    for r in pii.detect(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (x.rsplit(":", 2) for x in r.spans.split(",") if x)]
+        for kind, a, b in spans:
+            if kind in got:
+                got[kind].add((r.doc_id, a, b))
+                assert all(b <= c or d <= a for other, c, d in spans if (other, c, d) != (kind, a, b))
+    text = dict(made)
+    for kind in good:
+        planted_here = {x for x in got[kind] if any(x == y for y in want[kind])}
+        false = {x for x in got[kind] - want[kind] if re.search(r"(tracking|section|looked|serial) $", text[x[0]][max(0, x[1] - 10) : x[1]])}
+        print(kind, len(planted_here), len(want[kind]), len(false), len(got[kind]))
+        assert len(planted_here) >= 0.9 * len(want[kind]), kind
+        assert len(false) <= 0.1 * len(planted_here), kind
