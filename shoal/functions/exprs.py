@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,25 +133,61 @@ def ln_factorial(n) -> Column:
     return F.when(n < 16, F.get(small, n.cast("int"))).otherwise(series)
 
 
-def _series(steps: Column, ratio) -> Column:
-    """1 + r1 + r1 r2 + ... over the steps."""
+def _series(first: int, steps: int, ratio) -> Column:
+    """1 + r1 + r1 r2 + ... over a fixed number of steps from first on; terms stop where ratio gives 0."""
     one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-    return F.aggregate(steps, one, lambda a, i: F.struct((a["t"] * ratio(i)).alias("t"), (a["s"] + a["t"] * ratio(i)).alias("s")), lambda a: a["s"])
+    every = F.array(*(F.lit(float(i)) for i in range(first, first + steps)))
+    return F.aggregate(every, one, lambda a, i: F.struct((a["t"] * ratio(i)).alias("t"), (a["s"] + a["t"] * ratio(i)).alias("s")), lambda a: a["s"])
+
+
+#: Counts up to here are summed term by term, in as many steps; beyond, a tail is an integral of a smooth hump.
+FEW, STEPS, NODES = 128, 192, 64
+
+
+def _integral(log_f, low, width) -> Column:
+    """Of exp(log_f) over [low, low + width], by Gauss and Legendre's rule with a fixed number of nodes."""
+    x, w = np.polynomial.legendre.leggauss(NODES)
+    nodes = F.array(*(F.struct(F.lit(float((a + 1) / 2)).alias("x"), F.lit(float(b / 2)).alias("w")) for a, b in zip(x, w)))
+    return width * F.aggregate(nodes, F.lit(0.0), lambda s, n: s + n["w"] * F.exp(log_f(low + width * n["x"])))
+
+
+def _reach(slope, curve) -> Column:
+    """How far from an end a log-concave hump of this slope and curvature has fallen to e^-60, half as much again."""
+    return 180 / (slope + F.sqrt(slope * slope + 120 * curve))
 
 
 def poisson_sf(k, lam) -> Column:
-    """P(X >= k), X Poisson with mean lam; the complement where k < lam."""
-    k, lam = col(k).cast("int"), col(lam).cast("double")
+    """P(X >= k), X Poisson with mean lam; the complement where k < lam. The work is the same for any k and lam.
+
+    Up to FEW terms are summed.  Beyond, P(X >= k) is the integral of t^(k-1) e^-t / (k-1)! up to lam, or 1 less that from lam on.
+    """
+    k, lam = col(k).cast("bigint"), col(lam).cast("double")
     log_term = lambda i: F.ln(lam) * i - lam - ln_factorial(i)
-    reach = F.lit(200) + 12 * F.ceil(F.sqrt(lam)).cast("int")
-    above = F.exp(log_term(k) + F.ln(_series(F.sequence(F.lit(1), reach), lambda i: lam / (k + i))))
-    below = F.exp(log_term(k - 1) + F.ln(F.when(k > 1, _series(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: (k - i) / lam)).otherwise(1.0)))
-    return F.when(k <= 0, 1.0).when(lam <= 0, 0.0).when(k < lam, F.greatest(1 - below, F.lit(0.0))).otherwise(F.least(above, F.lit(1.0)))
+    few_above = F.exp(log_term(k) + F.ln(_series(1, STEPS, lambda i: lam / (k + i))))
+    few_below = F.exp(log_term(k - 1) + F.ln(_series(1, FEW, lambda i: F.greatest((k - i) / lam, F.lit(0.0)))))
+    log_f = lambda t: (k - 1) * F.ln(t) - t - ln_factorial(k - 1)
+    slope, curve = F.abs((k - 1) / lam - 1), (k - 1) / (lam * lam)
+    down = F.least(_reach(slope, curve), lam)
+    below, above = _integral(log_f, lam - down, down), _integral(log_f, lam, 2 * _reach(slope, curve))
+    upper = F.when(k <= FEW, few_above).otherwise(below)
+    lower = F.when(k <= FEW, few_below).otherwise(above)
+    return F.when(k <= 0, 1.0).when(lam <= 0, 0.0).when(k < lam, F.greatest(1 - lower, F.lit(0.0))).otherwise(F.least(upper, F.lit(1.0)))
 
 
 def binom_sf(k, n, p) -> Column:
-    """P(X >= k), X binomial of n draws at p."""
-    k, n, p = col(k).cast("int"), col(n).cast("int"), col(p).cast("double")
-    first = ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k) + k * F.ln(p) + (n - k) * F.log1p(-p)
-    rest = F.when(k < n, _series(F.sequence(k, F.greatest(n - 1, k)), lambda i: (n - i) / (i + 1) * p / (1 - p))).otherwise(1.0)
-    return F.when(k <= 0, 1.0).when((k > n) | (p <= 0), 0.0).when(p >= 1, 1.0).otherwise(F.least(F.exp(first + F.ln(rest)), F.lit(1.0)))
+    """P(X >= k), X binomial of n draws at p. The work is the same for any k and n.
+
+    Up to FEW terms on either side of k are summed.  Beyond, P(X >= k) is the integral of t^(k-1) (1-t)^(n-k) / B(k, n-k+1) up to p, or 1 less that from p on.
+    """
+    k, n, p = col(k).cast("bigint"), col(n).cast("bigint"), col(p).cast("double")
+    log_term = lambda i: ln_factorial(n) - ln_factorial(i) - ln_factorial(n - i) + i * F.ln(p) + (n - i) * F.log1p(-p)
+    odds = p / (1 - p)
+    up = F.exp(log_term(k) + F.ln(_series(0, STEPS, lambda i: F.greatest((n - k - i) / (k + i + 1), F.lit(0.0)) * odds)))
+    down = 1 - F.exp(log_term(k - 1) + F.ln(_series(0, FEW, lambda i: F.greatest((k - 1 - i) / (n - k + 2 + i), F.lit(0.0)) / odds)))
+    log_f = lambda t: (k - 1) * F.ln(t) + (n - k) * F.log1p(-t) - ln_factorial(k - 1) - ln_factorial(n - k) + ln_factorial(n)
+    slope, curve = F.abs((k - 1) / p - (n - k) / (1 - p)), (k - 1) / (p * p) + (n - k) / ((1 - p) * (1 - p))
+    reach = _reach(slope, curve)
+    left, right = F.least(reach, p), F.least(2 * reach, 1 - p)
+    hump = F.when(k >= n * p, _integral(log_f, p - left, left)).otherwise(1 - _integral(log_f, p, right))
+    found = F.when(n - k < STEPS, up).when((k <= FEW) & (k < n * p), down).when((k <= FEW) & (k >= n * p), up).otherwise(hump)
+    return F.when(k <= 0, 1.0).when((k > n) | (p <= 0), 0.0).when(p >= 1, 1.0).otherwise(F.greatest(F.least(found, F.lit(1.0)), F.lit(0.0)))

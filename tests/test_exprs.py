@@ -1,6 +1,8 @@
 """Column expressions against hand-computed values."""
 
 import math
+import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,47 @@ def test_countries(spark):
         assert one(spark, countries.free(F.lit(text).cast("string"))) == want, text
     for text, want in (("Russian Federation Android App", ["RU"]), ("Germany App Store", ["DE"]), ("Web", []), ("in Germany", [])):
         assert one(spark, countries.strict(F.lit(text))) == want
+
+
+def series_tail(first, ratio):
+    """1 + r1 + r1 r2 + ... in long decimals, for as many terms as count."""
+    t, s, i = Decimal(1), Decimal(0), 0
+    while t > Decimal(10) ** -25:
+        s, t, i = s + t, t * ratio(i), i + 1
+    return float(s) * math.exp(first)
+
+
+def exact_poisson(k, lam):
+    log_term = lambda i: i * math.log(lam) - lam - math.lgamma(i + 1)
+    if k >= lam:
+        return series_tail(log_term(k), lambda i: Decimal(lam) / (k + i + 1))
+    return 1 - series_tail(log_term(k - 1), lambda i: Decimal(max(k - 1 - i, 0)) / Decimal(lam))
+
+
+def exact_binom(k, n, p):
+    odds = Decimal(p) / (1 - Decimal(p))
+    log_term = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    if k >= n * p:
+        return series_tail(log_term(k), lambda i: Decimal(max(n - k - i, 0)) / (k + i + 1) * odds)
+    return 1 - series_tail(log_term(k - 1), lambda i: Decimal(max(k - 1 - i, 0)) / (n - k + 2 + i) / odds)
+
+
+def test_tails_of_any_size(spark):
+    """Counts from one to a million, far into both tails, at the places where the form changes among them."""
+    rng = random.Random(7)
+    few = E.FEW
+    poisson = [(max(1, int(m + z * math.sqrt(m))), m) for m, z in ((10 ** rng.uniform(-1, 6), rng.uniform(-6, 9)) for _ in range(80))]
+    poisson += [(few + d, few + e) for d in (-1, 0, 1, 2) for e in (-40.0, -0.5, 0.5, 30.0)] + [(200, 20.0), (10**6, 1e6), (1, 1e-6)]
+    for r in spark.createDataFrame([(k, float(m)) for k, m in poisson], "k long, m double").withColumn("p", E.poisson_sf("k", "m")).collect():
+        assert r.p == pytest.approx(exact_poisson(r.k, r.m), rel=1e-6, abs=1e-280)
+    binom = []
+    for _ in range(80):
+        n, p = int(10 ** rng.uniform(0.5, 6)), rng.choice([rng.uniform(0.001, 0.999), 10 ** rng.uniform(-5, -1)])
+        binom.append((min(n, max(1, int(n * p + rng.uniform(-6, 9) * math.sqrt(n * p * (1 - p))))), n, p))
+    binom += [(few + d, n, p) for d in (0, 1, 2) for n, p in ((few + 5, 0.9), (1000, 0.1), (1000, 0.15), (400, 0.5))] + [(n - E.STEPS + d, n, 0.6) for d in (-1, 0, 1) for n in (400, 2000)]
+    for r in spark.createDataFrame([(k, n, float(p)) for k, n, p in binom], "k long, n long, p double").withColumn("q", E.binom_sf("k", "n", "p")).collect():
+        assert r.q == pytest.approx(exact_binom(r.k, r.n, r.p), rel=1e-6, abs=1e-280)
+    plain = spark.createDataFrame([(0, 3.0), (5, 0.0), (-2, 1.0)], "k long, m double").withColumn("p", E.poisson_sf("k", "m")).collect()
+    assert [r.p for r in plain] == [1.0, 0.0, 1.0]
+    edge = spark.createDataFrame([(0, 4, 0.5), (5, 4, 0.5), (2, 4, 0.0), (2, 4, 1.0), (4, 4, 0.5)], "k long, n long, p double").withColumn("q", E.binom_sf("k", "n", "p")).collect()
+    assert [round(r.q, 12) for r in edge] == [1.0, 0.0, 0.0, 1.0, 0.0625]
