@@ -86,12 +86,12 @@ def _near(rows: DataFrame, keys: list[str], w: int, value, name: str) -> DataFra
 
 
 def disjoint(found: DataFrame, keys: list[str], w: int, unrolled: int = 2) -> DataFrame:
-    """Of windows of length w (start_us, p_value, i), those a greedy choice by (p_value, i) takes; no two overlap.
+    """Of windows of length w (start_us, p_value, i), those a greedy choice by (p_value, i) takes; no two overlap. Of p_value six digits of the logarithm count.
 
     In rounds: each window that comes before all it overlaps is taken, and those it overlaps go.  Two of one length overlap just where
     their starts lie within it, so a round is two frames over time.  The best window left is taken each time, so rounds end.
     """
-    taken, place = [], F.struct("p_value", "i")
+    taken, place = [], F.struct(F.round(F.ln(F.greatest("p_value", F.lit(1e-300))), 6), "i")
     open_rows = found.withColumn("_state", F.lit("open"))
     while True:
         for _ in range(unrolled):

@@ -259,13 +259,27 @@ def binom_tail(accounts):
 
 
 _W, _HALF = 7 * DAY, 90 * DAY
-_CAND = f"""fr AS (SELECT seed, created_us AS start_us, row_number() OVER o - 1 AS i, count(*) OVER p AS n, min(created_us) OVER p AS first, max(created_us) OVER p AS final, lag(created_us) OVER o AS prev,
- count(*) OVER (PARTITION BY seed ORDER BY created_us RANGE BETWEEN CURRENT ROW AND {_W} FOLLOWING) AS count, max(created_us) OVER (PARTITION BY seed ORDER BY created_us RANGE BETWEEN CURRENT ROW AND {_W} FOLLOWING) AS end_us,
- count(*) OVER (PARTITION BY seed ORDER BY created_us RANGE BETWEEN {_HALF} PRECEDING AND {_W + _HALF} FOLLOWING) AS around
- FROM accounts WHERE created_us IS NOT NULL WINDOW o AS (PARTITION BY seed ORDER BY created_us), p AS (PARTITION BY seed)),
+
+
+def _candidates(part: str, rows: str) -> str:
+    """SQL of the windows of rows (part, created_us) that beat their background, numbered by significance in num."""
+    near = f"OVER (PARTITION BY {part} ORDER BY created_us RANGE BETWEEN"
+    return f"""fr AS (SELECT {part}, created_us AS start_us, row_number() OVER o - 1 AS i, count(*) OVER p AS n, min(created_us) OVER p AS first, max(created_us) OVER p AS final, lag(created_us) OVER o AS prev,
+ count(*) {near} CURRENT ROW AND {_W} FOLLOWING) AS count, max(created_us) {near} CURRENT ROW AND {_W} FOLLOWING) AS end_us, count(*) {near} {_HALF} PRECEDING AND {_W + _HALF} FOLLOWING) AS around
+ FROM {rows} WHERE created_us IS NOT NULL WINDOW o AS (PARTITION BY {part} ORDER BY created_us), p AS (PARTITION BY {part})),
 lam AS (SELECT *, greatest((around - count) / greatest(least(start_us + {_W + _HALF}, {AS_OF}) - greatest(start_us - {_HALF}, first) - {_W}, {_W})::DOUBLE * {_W}, 0.5) AS expected FROM fr WHERE n >= 30 AND (prev IS NULL OR prev < start_us) AND count >= greatest(5, ceil(0.01 * n))),
 cand AS (SELECT * FROM (SELECT *, {_poisson('count', 'expected')} AS p_value FROM lam) WHERE p_value < 0.001 / greatest((final - first) / {_W}.0, 1.0)),
-num AS (SELECT *, i + count - 1 AS last, row_number() OVER (PARTITION BY seed ORDER BY round(ln(greatest(p_value, 1e-300)), 6), i) AS k FROM cand)"""
+num AS (SELECT *, i + count - 1 AS last, row_number() OVER (PARTITION BY {part} ORDER BY round(ln(greatest(p_value, 1e-300)), 6), i) AS k FROM cand)"""
+
+
+def _greedy(part: str, rows: str) -> str:
+    """SQL (of a recursion) that takes windows in order of significance where they overlap none taken: bursts with excess_share and fresh."""
+    return f"""{_candidates(part, rows)}, took({part}, k, ends, yes) AS (SELECT DISTINCT {part}, 0::BIGINT, []::STRUCT(i BIGINT, last BIGINT)[], FALSE FROM num UNION ALL
+ SELECT {part}, k, CASE WHEN free THEN list_append(ends, {{'i': i, 'last': last}}) ELSE ends END, free FROM (SELECT num.{part}, num.k, num.i, num.last, ends, len(list_filter(ends, lambda e: e.i <= num.last AND num.i <= e.last)) = 0 AS free FROM took JOIN num ON num.{part} = took.{part} AND num.k = took.k + 1)),
+bursts AS (SELECT num.*, (count - expected) / n AS excess_share, floor(({AS_OF} - end_us) / {DAY}.0) <= 60 AS fresh FROM num JOIN took ON took.{part} = num.{part} AND took.k = num.k WHERE yes)"""
+
+
+_CAND = _candidates("seed", "accounts")
 
 
 @query(f"WITH {_CAND} SELECT seed, i, last, count, round(expected, 6) AS expected, start_us, end_us FROM num", accounts="accounts")
@@ -278,13 +292,12 @@ def _bursts(accounts: DataFrame) -> DataFrame:
     return temporal.creation_bursts(accounts, ["seed"], AS_OF, ts="created_us")
 
 
-@query(accounts="accounts")
+@query(f"WITH RECURSIVE {_greedy('seed', 'accounts')} SELECT seed, count, round(expected, 6) AS expected, round(excess_share, 6) AS excess_share, start_us, end_us, fresh FROM bursts", accounts="accounts")
 def creation_bursts(accounts):
-    """Greedy choice over p-values; held against brute force in tests, as ties of p below 1e-300 differ between engines."""
     return r6(_bursts(accounts).drop("p_value"), "expected", "excess_share")
 
 
-@query(accounts="accounts")
+@query(f"WITH RECURSIVE {_greedy('seed', 'accounts')} SELECT seed, round(coalesce(sum(excess_share) FILTER (NOT fresh), 0), 6) AS burst_excess, max(count) FILTER (NOT fresh) AS largest, count(*) FILTER (NOT fresh) AS n_bursts FROM bursts GROUP BY seed", accounts="accounts")
 def burst_excess(accounts):
     return r6(temporal.burst_excess(_bursts(accounts), ["seed"]), "burst_excess")
 
@@ -343,9 +356,33 @@ def top_amplified(posts):
     return behavior.top_amplified(posts)
 
 
-@query(posts="posts", accounts="accounts")
+def _even(x: str, digits: int) -> str:
+    """SQL of half-even rounding of a double by its shortest decimal form, as the metrics round."""
+    return f"round_even(({x})::DOUBLE, {digits})"
+
+
+def _signals_of(rules: dict[str, tuple[float, str]], key: str, rows: str) -> str:
+    return "SELECT id, signal, round(score, 6) AS score, weight FROM (" + " UNION ALL ".join(f"SELECT {key} AS id, '{k}' AS signal, ({r})::DOUBLE AS score, {w}::DOUBLE AS weight FROM {rows}" for k, (w, r) in rules.items()) + ") WHERE score > 0"
+
+
+_TIMELINE = f"""t AS ({_TIMED}), hd AS (SELECT DISTINCT owner_id, h FROM t), hh AS (SELECT owner_id, h FROM hd UNION ALL SELECT owner_id, h + 24 FROM hd), qg AS (SELECT owner_id, max(coalesce(gap, 0)) AS quiet FROM (SELECT owner_id, h - lag(h) OVER (PARTITION BY owner_id ORDER BY h) - 1 AS gap FROM hh) GROUP BY 1),
+tg AS (SELECT owner_id, created_us, (created_us - lag(created_us) OVER (PARTITION BY owner_id ORDER BY created_us)) / 1e6 AS gap FROM t), cd AS (SELECT owner_id, count(*) AS timed, {_even('(max(created_us) - min(created_us)) / 86400e6', 2)} AS span, CASE WHEN count(*) FILTER (gap > 0) >= 2 THEN {_even('stddev_pop(gap) FILTER (gap > 0) / avg(gap) FILTER (gap > 0)', 3)} END AS cv FROM tg GROUP BY 1),
+kd AS (SELECT owner_id, count(*) AS items, {_even("count(*) FILTER (kind = 'repost') / count(*)", 3)} AS reposts FROM posts GROUP BY 1), cl AS (SELECT owner_id, {_even(f"avg((lower(client) NOT IN ({_OFFICIAL}))::INT)", 3)} AS third FROM posts WHERE kind <> 'repost' AND client <> '' GROUP BY 1),
+tx AS (SELECT owner_id, t, count(*) AS c FROM (SELECT owner_id, {NORMAL.format(x='text')} AS t FROM posts WHERE kind <> 'repost') WHERE length(t) >= 20 GROUP BY ALL), du AS (SELECT owner_id, sum(c) AS texts, {_even('sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c)', 3)} AS copies FROM tx GROUP BY 1),
+tm AS (SELECT kd.*, coalesce(timed, 0) AS timed, span, cv, quiet, third, coalesce(texts, 0) AS texts, copies, CASE WHEN timed >= 10 AND span >= 1 THEN {_even('timed / span', 2)} END AS recent, ({AS_OF} - a.created_us) / 86400e6 AS age, a.tweets FROM kd LEFT JOIN cd ON cd.owner_id = kd.owner_id LEFT JOIN qg ON qg.owner_id = kd.owner_id LEFT JOIN cl ON cl.owner_id = kd.owner_id LEFT JOIN du ON du.owner_id = kd.owner_id LEFT JOIN accounts a ON a.key = kd.owner_id)"""
+_BEHAVIOR = {
+    "reactivated": (0.3, f"CASE WHEN age >= 1095 AND recent >= 5 AND tweets IS NOT NULL THEN {ramp('recent / greatest(tweets / age, 0.01)', 10, 50)} END"),
+    "amplifier": (0.3, f"CASE WHEN items >= 15 THEN {ramp('reposts', 0.6, 0.95)} END"),
+    "round_the_clock": (0.25, f"CASE WHEN timed >= 30 AND span >= 1 THEN {ramp('quiet', 5, 1)} END"),
+    "metronomic": (0.2, f"CASE WHEN timed >= 20 AND cv IS NOT NULL THEN {ramp('cv', 0.6, 0.2)} END"),
+    "duplicate_posts": (0.2, f"CASE WHEN texts >= 10 THEN {ramp('copies', 0.15, 0.5)} END"),
+    "automation_client": (0.2, ramp("third", 0.3, 0.8)),
+}
+
+
+@query(f"WITH {_TIMELINE} {_signals_of(_BEHAVIOR, 'owner_id', 'tm')}", posts="posts", accounts="accounts")
 def behavior_signals(posts, accounts):
-    """Signals over half-even-rounded metrics; tests hold them against plain Python."""
+    """Signals over half-even-rounded metrics."""
     owners = accounts.select(F.col("key").alias("id"), "created_us", "tweets")
     return r6(behavior.behavior_signals(behavior.timeline_metrics(posts), owners, CONFIG), "score")
 
@@ -466,7 +503,21 @@ def _engagement_summary(posts: DataFrame, accounts: DataFrame) -> DataFrame:
     return engagement.summary(*_engagement(posts), known, cut(_scores(known)), CONFIG)
 
 
-@query(posts="posts", accounts="accounts")
+_ENG_RULES = {
+    "engager_creation_spike": (0.4, f"CASE WHEN dated >= 20 THEN {ramp('peak', 0.2, 0.45)} END"),
+    "engagers_new": (0.25, f"CASE WHEN dated >= 20 THEN {ramp('recent', 0.5, 0.85)} END"),
+    "engagers_botlike": (0.3, f"CASE WHEN dated >= 20 THEN {ramp('botlike', 0.15, 0.45)} END"),
+    "engager_creation_burst": (0.35, f"CASE WHEN excess IS NOT NULL THEN greatest({ramp('excess', 0.02, 0.15)}, CASE WHEN burst >= 15 THEN 0.35 ELSE 0 END) END"),
+    "reply_velocity": (0.2, ramp("fast", 0.3, 0.7)),
+    "duplicate_replies": (0.25, ramp("copied", 0.1, 0.4)),
+}
+_ENGAGED = f"""{_SCORES.split("WITH ")[-1]}, {_ENG}, w AS (SELECT u.tweet_id, a.created_us, s.score FROM u LEFT JOIN accounts a ON a.key = u.id LEFT JOIN scores s ON s.id = a.id), {_greedy('tweet_id', 'w')},
+wz AS (SELECT tweet_id, count(created_us) AS dated, coalesce(avg((score >= {CONFIG.botlike_threshold})::INT), 0) AS botlike, coalesce(avg((created_us >= {CONFIG.recent_since})::INT), 0) AS recent FROM w GROUP BY 1), hb AS (SELECT tweet_id, sum(excess_share) AS excess, max_by(count, excess_share) AS burst FROM bursts WHERE NOT fresh GROUP BY 1),
+rv AS (SELECT tweet_id, CASE WHEN count(*) >= 10 THEN avg((d / 60e6 <= 5)::INT) END AS fast FROM o WHERE d >= 0 GROUP BY 1), rt AS (SELECT tweet_id, t, count(*) AS c FROM (SELECT e.tweet_id, {NORMAL.format(x='text')} AS t FROM posts p JOIN e ON e.tweet_id = p.target_post_id WHERE p.kind = 'reply' AND p.owner_id <> author) WHERE length(t) >= 8 GROUP BY ALL), rd AS (SELECT tweet_id, CASE WHEN sum(c) >= 5 THEN sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c) END AS copied FROM rt GROUP BY 1),
+es AS (SELECT e.tweet_id, coalesce(dated, 0) AS dated, coalesce(botlike, 0) AS botlike, coalesce(recent, 0) AS recent, dw.share AS peak, excess, burst, fast, copied FROM e LEFT JOIN wz ON wz.tweet_id = e.tweet_id LEFT JOIN {_densest(30, 'tweet_id', 'w')} dw ON dw.tweet_id = e.tweet_id LEFT JOIN hb ON hb.tweet_id = e.tweet_id LEFT JOIN rv ON rv.tweet_id = e.tweet_id LEFT JOIN rd ON rd.tweet_id = e.tweet_id)"""
+
+
+@query(f"WITH RECURSIVE {_ENGAGED} SELECT id AS tweet_id, signal, score, weight FROM ({_signals_of(_ENG_RULES, 'tweet_id', 'es')})", posts="posts", accounts="accounts")
 def engagement_signals(posts, accounts):
     return r6(engagement.signals(_engagement_summary(posts, accounts)), "score")
 
