@@ -302,7 +302,30 @@ def burst_excess(accounts):
     return r6(temporal.burst_excess(_bursts(accounts), ["seed"]), "burst_excess")
 
 
-@query(accounts="accounts")
+def _binom(k: str, n: str, p: str) -> str:
+    return f"CASE WHEN {p} >= 1 THEN 1.0 ELSE least(1.0, (SELECT sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))) FROM generate_series({k}, {n}) AS g(i))) END"
+
+
+def _in_band(name: str, rows: str, by: str) -> str:
+    """SQL of the densest 30 days of each group of rows (seed, by, ts), and the seed's share of dated rows in them."""
+    w = 30 * DAY
+    return f"""{name}w AS (SELECT seed, {by}, count(*) OVER f AS c, min(ts) OVER f AS start_us, ts AS end_us FROM {rows} WINDOW f AS (PARTITION BY seed, {by} ORDER BY ts RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)),
+{name}d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, {by} ORDER BY c DESC, end_us) AS k FROM {name}w) WHERE k = 1),
+{name} AS (SELECT {name}d.*, greatest((SELECT count(*) FROM dt WHERE dt.seed = {name}d.seed AND dt.ts BETWEEN {name}d.start_us AND {name}d.start_us + {w}) / sn.n, 1 / sn.n) AS base, sn.n, sn.len FROM {name}d JOIN sn ON sn.seed = {name}d.seed)"""
+
+
+def _bands(rows: str) -> str:
+    """SQL of the bands of rows (seed, rank, created_us)."""
+    return f"""dt AS (SELECT seed, rank, created_us AS ts, row_number() OVER (PARTITION BY seed ORDER BY rank) - 1 AS idx FROM {rows} WHERE created_us IS NOT NULL),
+sn AS (SELECT *, greatest(1, floor(len / 4))::BIGINT AS step FROM (SELECT seed, count(*) AS n, greatest(20, least(100, floor(count(*) / 20)))::BIGINT AS len FROM dt GROUP BY 1 HAVING count(*) >= 40)),
+rn AS (SELECT seed, step * unnest(generate_series(0, ((n - len) // step)::BIGINT)) AS s FROM sn), rr AS (SELECT rn.seed, rn.s, dt.ts FROM rn JOIN sn ON sn.seed = rn.seed JOIN dt ON dt.seed = rn.seed AND dt.idx BETWEEN rn.s AND rn.s + sn.len - 1),
+{_in_band('rb', 'rr', 's')}, hits AS (SELECT rb.seed, s, s + rb.len - 1 AS e FROM rb JOIN sn ON sn.seed = rb.seed WHERE c / rb.len >= 0.6 AND c / rb.len / base >= 2 AND {_binom('c', 'rb.len', 'base')} < 0.001 / ((rb.n - rb.len) // step + 1)),
+isl AS (SELECT *, sum((s > coalesce(reach, -2) + 1)::INT) OVER (PARTITION BY seed ORDER BY s) AS band FROM (SELECT *, max(e) OVER (PARTITION BY seed ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits)),
+bd AS (SELECT seed, band, min(s) AS s, max(e) AS e FROM isl GROUP BY ALL), br AS (SELECT dt.*, bd.band FROM bd JOIN dt ON dt.seed = bd.seed AND dt.idx BETWEEN bd.s AND bd.e), {_in_band('bb', 'br', 'band')},
+bands AS (SELECT bb.seed, rank_start, rank_end, c AS size, c / bb.n AS share, c / m AS density, c / m / base AS lift, start_us, end_us, floor(({AS_OF} - end_us) / {DAY}.0) <= 60 AS fresh FROM bb JOIN (SELECT seed, band, min(rank) AS rank_start, max(rank) AS rank_end, count(*) AS m FROM br GROUP BY ALL) z ON z.seed = bb.seed AND z.band = bb.band)"""
+
+
+@query(f"WITH rk AS (SELECT seed, created_us, row_number() OVER (PARTITION BY seed ORDER BY key) - 1 AS rank FROM accounts), {_bands('rk')} SELECT seed, rank_start, rank_end, size, round(share, 6) AS share, round(density, 6) AS density, round(lift, 6) AS lift, start_us, end_us, fresh FROM bands", accounts="accounts")
 def follower_map_bands(accounts):
     placed = ranks.numbered(accounts.select("seed", "key", "created_us"), ["seed"], ["key"], "rank")
     b = temporal.follower_map_bands(placed, ["seed"], AS_OF, ts="created_us")
@@ -562,12 +585,20 @@ def roles(posts, lists, accounts, edges):
     return network.roles(lists.select(F.col("owner_id").alias("seed_id")), _all_lists(lists, edges), posts, edges.select(F.col("src").alias("account_id")).distinct(), engagers, accounts.select(F.col("key").alias("id")))
 
 
-@query(accounts="accounts")
+_HOODS = f"""{_SCORES.split("WITH ")[-1]}, rk AS (SELECT a.seed, a.id, a.created_us, s.score, row_number() OVER (PARTITION BY a.seed ORDER BY a.key) - 1 AS rank FROM accounts a LEFT JOIN scores s ON s.id = a.id), {_bands('rk')}, {_greedy('seed', 'rk')},
+hz AS (SELECT seed, count(*) AS sampled, count(created_us) AS dated, coalesce(avg((created_us >= {CONFIG.recent_since})::INT), 0) AS recent_share, coalesce(avg((score >= {CONFIG.botlike_threshold})::INT), 0) AS botlike_share, {_even(f'median(({AS_OF} - created_us) / 86400e6)', 1)} AS median_age_days FROM rk GROUP BY 1),
+hx AS (SELECT seed, coalesce(sum(excess_share) FILTER (NOT fresh), 0) AS burst_excess, max(count) FILTER (NOT fresh) AS largest_burst, count(*) FILTER (NOT fresh) AS n_bursts FROM bursts GROUP BY 1), hb AS (SELECT seed, sum(size) AS banded, count(*) AS n_bands FROM bands WHERE NOT fresh GROUP BY 1),
+hood AS (SELECT hz.seed::VARCHAR AS owner_id, 'followers' AS relation, sampled, hz.dated, recent_share, botlike_share, median_age_days, t.followers AS total, p.share AS peak, p.count AS peak_count, g.share AS aged_peak, g.count AS aged_peak_count, q.share AS peak90, q.count AS peak90_count, coalesce(burst_excess, 0) AS burst_excess, largest_burst, coalesce(n_bursts, 0) AS n_bursts, coalesce(n_bands, 0) AS n_bands, coalesce(banded, 0) / greatest(hz.dated, 1) AS band_share
+ FROM hz LEFT JOIN accounts t ON t.id = hz.seed::VARCHAR LEFT JOIN {_densest(30, 'seed', 'rk')} p ON p.seed = hz.seed LEFT JOIN {_densest(30, 'seed', f'(SELECT * FROM rk WHERE created_us < {AS_OF - 60 * DAY})')} g ON g.seed = hz.seed LEFT JOIN {_densest(90, 'seed', 'rk')} q ON q.seed = hz.seed LEFT JOIN hx ON hx.seed = hz.seed LEFT JOIN hb ON hb.seed = hz.seed)"""
+_SHARES = ("recent_share", "botlike_share", "peak", "aged_peak", "peak90", "burst_excess", "band_share")
+
+
+@query(f"WITH RECURSIVE {_HOODS} SELECT * REPLACE ({', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in _SHARES)}) FROM hood", accounts="accounts")
 def neighborhood_summary(accounts):
     """Every nation's follower list: sizes, shares, peaks, bursts and bands."""
     lists = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), (-F.col("key")).alias("pos"), F.col("id").alias("member_id"))
     s = neighborhood.summary(lists, accounts, cut(_scores(accounts)), CONFIG)
-    return r6(s, "recent_share", "botlike_share", "peak", "aged_peak", "peak90", "burst_excess", "band_share")
+    return r6(s, *_SHARES)
 
 
 @query(edges="edges", members="members")
@@ -678,9 +709,19 @@ def top_engagers(posts, accounts):
     return r6(engagement.top_suspicious(e, *by_id, scores).select("tweet_id", "id", "score", "rank"), "score")
 
 
-@query(accounts="accounts", lists="lists")
+_BURST = f"CASE WHEN n_bursts > 0 THEN greatest({ramp('burst_excess', 0.01, 0.1)}, CASE WHEN largest_burst >= 20 THEN 0.35 ELSE 0 END) ELSE 0 END"
+_COVERED = "CASE WHEN total > 0 THEN sampled / total ELSE 0 END"
+_HOOD_RULES = {
+    "follower_creation_burst": (0.4, f"CASE WHEN sampled >= 50 THEN {_BURST} END"),
+    "followers_mostly_new": (0.2, f"CASE WHEN sampled >= 50 THEN {ramp('recent_share', 0.5, 0.85)} * {ramp(_COVERED, 0.2, 0.6)} END"),
+    "follower_map_bands": (0.35, f"CASE WHEN sampled >= 50 AND n_bands > 0 THEN {ramp('band_share', 0.05, 0.3)} END"),
+    "botlike_followers": (0.3, f"CASE WHEN sampled >= 50 THEN {ramp('botlike_share', 0.15, 0.45)} END"),
+}
+
+
+@query(f"WITH RECURSIVE {_HOODS} {_signals_of(_HOOD_RULES, 'owner_id', 'hood')}", accounts="accounts", lists="lists")
 def neighborhood_signals(accounts, lists):
-    """The signals that its followers' creation times and scores give each nation; tests hold the rules against plain values."""
+    """The signals that its followers' creation times and scores give each nation; those of followed lists have no rows here."""
     own = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), (-F.col("key")).alias("pos"), F.col("id").alias("member_id"))
     s = cut(neighborhood.summary(own, accounts, cut(_scores(accounts)), CONFIG))
     return r6(neighborhood.signals(s, network.mutual_share(lists).withColumn("owner_id", F.col("owner_id").cast("string"))), "score")
