@@ -81,7 +81,7 @@ def candidates(seeds: DataFrame, lists: DataFrame, accounts: DataFrame, meta: Da
     scored = pool.join(inside, "member_id", "left").join(meta.select(F.col("id").alias("member_id"), "score"), "member_id", "left")
     priority = F.coalesce("score", F.lit(0.0)) + F.when(F.col("mutual"), 0.35).otherwise(0.0) + F.coalesce("burst", F.lit(0.0)) + 0.2 * F.least(F.col("n_seeds") - 1, F.lit(3)) + F.when(recent, 0.1).otherwise(0.0) + F.when(F.col("followers") >= 1000, 0.1).otherwise(0.0)
     queue = seen.join(scored.select("member_id", priority.alias("priority")), "member_id")
-    rank = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("priority"), "member_id"))
+    rank = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc(F.round("priority", 9)), "member_id"))
     # whoever comes after the k-th in every queue isn't among the k, so that each task keeps k of a queue
     turn = queue.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("member_id").agg(F.max("priority").alias("priority"), F.min(F.struct("rank", "seed_pos")).alias("turn"))
     top = turn.orderBy("turn", "member_id").limit(k)

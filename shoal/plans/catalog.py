@@ -727,7 +727,17 @@ def neighborhood_signals(accounts, lists):
     return r6(neighborhood.signals(s, network.mutual_share(lists).withColumn("owner_id", F.col("owner_id").cast("string"))), "score")
 
 
-@query(accounts="accounts", lists="lists")
+_PRIORITY = "coalesce(score, 0) + CASE WHEN r = 2 THEN 0.35 ELSE 0 END + CASE WHEN hit THEN 0.35 ELSE 0 END + 0.2 * least(n_seeds - 1, 3) + CASE WHEN recent THEN 0.1 ELSE 0 END + CASE WHEN followers >= 1000 THEN 0.1 ELSE 0 END"
+
+
+@query(
+    f"""WITH RECURSIVE {_SCORES.split("WITH ")[-1]}, {_greedy('seed', 'accounts')}, sn AS (SELECT owner_id, member_id, count(DISTINCT relation) AS r FROM lists GROUP BY ALL), pr AS (SELECT member_id, count(*) AS n_seeds, max(r) AS r FROM sn GROUP BY 1),
+    po AS (SELECT pr.*, a.followers, s.score, coalesce(a.created_us >= {CONFIG.recent_since}, FALSE) AS recent, EXISTS (SELECT 1 FROM bursts b WHERE NOT b.fresh AND a.created_us BETWEEN b.start_us AND b.end_us) AS hit FROM pr JOIN accounts a ON a.key = pr.member_id LEFT JOIN scores s ON s.id = a.id WHERE pr.member_id NOT IN (SELECT owner_id FROM lists) AND coalesce(a.following, 1) <> 0 AND coalesce(a.followers, 0) >= 200),
+    qu AS (SELECT sn.owner_id, sn.member_id, priority, row_number() OVER (PARTITION BY sn.owner_id ORDER BY round(priority, 9) DESC, sn.member_id) AS rank FROM sn JOIN (SELECT member_id, {_PRIORITY} AS priority FROM po) p ON p.member_id = sn.member_id), tu AS (SELECT member_id, max(priority) AS priority, min({{'rank': rank, 'seed': owner_id}}) AS turn FROM qu GROUP BY 1)
+    SELECT member_id AS account_id, round(priority, 6) AS priority, row_number() OVER (ORDER BY turn, member_id) - 1 AS pos FROM tu ORDER BY turn, member_id LIMIT 30""",
+    accounts="accounts",
+    lists="lists",
+)
 def candidate_ranking(accounts, lists):
     """The thirty accounts to look at next (a top-k report): of the nations' lists, by priority, in turn from each queue."""
     known = accounts.withColumn("id", F.col("key")).withColumn("protected", F.lit(False))
