@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.config import Config
 from shoal.functions.exprs import days_between, normalize_text, quiet_gap, ramp, rounded
+from shoal.operators import ranks
 
 # First-party clients, lower case.
 OFFICIAL_CLIENTS = ("twitter web app", "twitter for iphone", "twitter for android", "twitter for ipad", "twitter for mac", "x web app", "x for iphone", "x for android", "tweetdeck", "tweetdeck web app", "twitter media studio")
@@ -47,17 +48,21 @@ def hour_histogram(posts: DataFrame) -> DataFrame:
 
 def cadence(posts: DataFrame) -> DataFrame:
     """owner_id, timed_items, active_hours, max_quiet_gap_hours, span_days, recent_posts_per_day, interval_cv, median_interval_min."""
-    gap = F.col("created_us") - F.lag("created_us").over(Window.partitionBy("owner_id").orderBy("created_us"))
-    rows = timed(posts).select("owner_id", "created_us", F.hour(F.timestamp_micros("created_us")).alias("hour"), (gap / 1e6).alias("gap"))
-    rows = rows.withColumn("gap", F.when(F.col("gap") > 0, F.col("gap")))
+    order = ["created_us"]
+    dealt = ranks.deal(timed(posts).select("owner_id", "created_us"), ["owner_id"], order)
+    before = ranks.running(dealt, ["owner_id"], order, {"prev": ("max", F.col("created_us"))}, before=True)
+    gap = (F.col("created_us") - F.col("prev")) / 1e6
+    rows = before.select("owner_id", "created_us", F.hour(F.timestamp_micros("created_us")).alias("hour"), F.when(gap > 0, gap).alias("gap"))
     some = F.count("gap") >= 2
     out = rows.groupBy("owner_id").agg(
         F.count("*").alias("timed_items"),
         F.collect_set("hour").alias("hours"),  # 24 values at most
         rounded(days_between(F.min("created_us"), F.max("created_us")), 2).alias("span_days"),
         F.when(some, rounded(F.stddev_pop("gap") / F.avg("gap"), 3)).alias("interval_cv"),
-        F.when(some, rounded(F.median("gap") / 60, 1)).alias("median_interval_min"),
+        some.alias("some"),
     )
+    middle = ranks.median(rows, ["owner_id"], F.col("gap"), "m")
+    out = out.join(middle, "owner_id", "left").withColumn("median_interval_min", F.when(F.col("some"), rounded(F.col("m") / 60, 1))).drop("some", "m")
     out = out.withColumns({"active_hours": F.size("hours"), "max_quiet_gap_hours": quiet_gap("hours")})
     return out.withColumn("recent_posts_per_day", F.when((F.col("timed_items") >= 10) & (F.col("span_days") >= 1), rounded(F.col("timed_items") / F.col("span_days"), 2))).drop("hours")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.config import Config
 from shoal.functions.exprs import days_between, level, ramp, rounded
-from shoal.operators import temporal
+from shoal.operators import ranks, temporal
 from shoal.operators.behavior import duplicate_share
 from shoal.operators.profile import combine
 
@@ -34,7 +34,8 @@ def reply_timing(engagements: DataFrame, replies: DataFrame) -> DataFrame:
     delay = (F.col("created_us") - F.col("_posted")) / 60e6
     rows = others(engagements, replies).select("tweet_id", delay.alias("d")).where("d >= 0")
     share = F.when(F.count("*") >= 10, F.avg((F.col("d") <= 5).cast("double")))
-    return rows.groupBy("tweet_id").agg(F.count("*").alias("n_delays"), rounded(F.median("d"), 1).alias("median_reply_delay_min"), share.alias("within_5min"))
+    middle = ranks.median(rows, ["tweet_id"], F.col("d"), "m").select("tweet_id", rounded("m", 1).alias("median_reply_delay_min"))
+    return rows.groupBy("tweet_id").agg(F.count("*").alias("n_delays"), share.alias("within_5min")).join(middle, "tweet_id").select("tweet_id", "n_delays", "median_reply_delay_min", "within_5min")
 
 
 def summary(engagements: DataFrame, reposters: DataFrame, replies: DataFrame, accounts: DataFrame, meta: DataFrame, cfg: Config) -> DataFrame:
@@ -46,8 +47,8 @@ def summary(engagements: DataFrame, reposters: DataFrame, replies: DataFrame, ac
         F.count("created_us").alias("dated"),
         F.coalesce(F.avg((F.col("_meta") >= cfg.botlike_threshold).cast("double")), F.lit(0.0)).alias("botlike_share"),
         F.coalesce(F.avg((F.col("created_us") >= cfg.recent_since).cast("double")), F.lit(0.0)).alias("recent_share"),
-        rounded(F.median(days_between("created_us", F.lit(cfg.as_of))), 1).alias("median_age_days"),
     )
+    ages = ranks.median(known, ["tweet_id"], days_between("created_us", F.lit(cfg.as_of)), "m").select("tweet_id", rounded("m", 1).alias("median_age_days"))
     dated = known.where("created_us is not null")
     peak = temporal.densest_window(dated, ["tweet_id"], cfg.creation_window_days, "created_us").select("tweet_id", F.col("share").alias("peak_share"), F.col("start_us").alias("peak_start_us"))
     bursts = temporal.creation_bursts(dated, ["tweet_id"], cfg.as_of, cfg.fresh_signup_days, "created_us", window=cfg.burst_window_days, background=cfg.burst_background_days, alpha=cfg.burst_alpha)
@@ -57,7 +58,7 @@ def summary(engagements: DataFrame, reposters: DataFrame, replies: DataFrame, ac
     n = reposters.groupBy("tweet_id").agg(F.count("*").alias("reposters"))
     said = others(engagements, replies).where("author_id is not null").groupBy("tweet_id").agg(F.count_distinct("author_id").alias("repliers"))
     out = engagements.select("tweet_id", "author_id")
-    for part in (sizes, peak, hard, reply_timing(engagements, replies), copies, n, said):
+    for part in (sizes, ages, peak, hard, reply_timing(engagements, replies), copies, n, said):
         out = out.join(part, "tweet_id", "left")
     return out.na.fill(0, ["engagers", "dated", "reposters", "repliers", "botlike_share", "recent_share"])
 

@@ -28,8 +28,9 @@ def summary(lists: DataFrame, accounts: DataFrame, meta: DataFrame, cfg: Config)
         F.count("created_us").alias("dated"),
         F.coalesce(F.avg((F.col("created_us") >= cfg.recent_since).cast("double")), F.lit(0.0)).alias("recent_share"),
         F.coalesce(F.avg((F.col("_meta") >= cfg.botlike_threshold).cast("double")), F.lit(0.0)).alias("botlike_share"),
-        rounded(F.median(days_between("created_us", F.lit(cfg.as_of))), 1).alias("median_age_days"),
     )
+    ages = ranks.median(rows, KEYS, days_between("created_us", F.lit(cfg.as_of)), "m").select(*KEYS, rounded("m", 1).alias("median_age_days"))
+    sizes = sizes.join(ages, KEYS, "left")
     counters = accounts.select(F.col("id").alias("owner_id"), F.col("followers").alias("_fol"), F.col("following").alias("_fing"))
     out = sizes.join(counters, "owner_id", "left").withColumn("total", F.when(F.col("relation") == "followers", F.col("_fol")).otherwise(F.col("_fing"))).drop("_fol", "_fing")
     dated = rows.where("created_us is not null")

@@ -57,3 +57,16 @@ def counts_at(times: DataFrame, starts: DataFrame, keys: list[str], lo: int, hi:
     order = ["at", "kind"]
     cum = running(deal(rows.unionByName(asked), keys, order), keys, order, {"cum": ("sum", F.col("n"))}).where("kind <> 1")
     return cum.groupBy(*keys, "start_us").agg((F.max(F.when(F.col("kind") == 2, F.col("cum"))) - F.max(F.when(F.col("kind") == 0, F.col("cum")))).alias("c"))
+
+
+def median(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """keys and the exact median of the value (of an even number of rows the middle of the two); nulls don't count, groups without a value have no row.
+
+    Equal values are one row with a count, ranked by ranges; the one or two at the middle remain.
+    """
+    counted = rows.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    cum = running(deal(counted, keys, ["_v"]), keys, ["_v"], {"_upto": ("sum", F.col("_n"))}, {"_all": ("sum", F.col("_n"))})
+    holds = lambda place: (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = cum.where(holds(low) | holds(high)).groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    return middle.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(name))

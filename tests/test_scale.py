@@ -1,7 +1,8 @@
 """Hot groups and items: results against plain Python, and work that spreads over tasks."""
 
 import random
-from collections import Counter, defaultdict
+import statistics
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +192,15 @@ def test_components_settle(spark):
     alone = {x for x in low if all(a == b for a, b in edges if x in (a, b))}
     assert got == {k: v for k, v in low.items() if k not in alone}
     assert not components.settled(spark.createDataFrame([(3, 2), (2, 1)], "u int, v int")) and components.settled(spark.createDataFrame([(3, 1), (2, 1)], "u int, v int"))
+
+
+def test_median_of_a_hot_group(spark):
+    """Exact medians, even and odd, with ties, nulls, one value, and a group of nine tenths of the rows."""
+    rng = random.Random(9)
+    rows = [("hot", rng.choice([0.5, 1.5, rng.random() * 100])) for _ in range(3001)] + [(g, None if rng.random() < 0.1 else float(rng.randint(0, 5))) for g in "abcd" for _ in range(rng.randint(1, 60))] + [("one", 7.25), ("none", None)]
+    got = {r.g: r.m for r in ranks.median(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], F.col("v"), "m").collect()}
+    of = defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            of[g].append(v)
+    assert got == {g: pytest.approx(statistics.median(v)) for g, v in of.items()}

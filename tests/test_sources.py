@@ -68,3 +68,22 @@ def test_streams(spark, tmp_path):
     q = timelines.hour_histogram(stream).writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("hours").agg(F.sum("n")).first()[0] == t["posts"].where("time_is_action").count()
+
+
+def test_months_and_reply_delays(spark, tmp_path):
+    """Months of accounts, old ones late among them; replies joined to posts within a day, the author's own left out."""
+    t = make(spark, AS_OF - 75 * DAY)
+    t["accounts"].select(F.lit("club").alias("seed"), "created_us").repartition(2).write.parquet(str(tmp_path / "a"))
+    months = timelines.monthly_histogram(spark.readStream.schema("seed string, created_us bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a")))
+    q = months.writeStream.outputMode("complete").format("memory").queryName("months").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    want = t["accounts"].where("created_us is not null").groupBy(F.date_format(F.timestamp_micros("created_us"), "yyyy-MM").alias("m")).count()
+    assert {(r.month, r.n) for r in spark.table("months").collect()} == {(r.m, r["count"]) for r in want.collect()}
+    at = lambda minutes: AS_OF + minutes * 60_000_000
+    schema = "tweet_id string, author_id string, created_us bigint"
+    spark.createDataFrame([("t", "a", at(0)), ("u", "b", at(30))], schema).write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([("t", "x", at(3)), ("t", "a", at(4)), ("u", "y", at(31)), ("u", "z", at(20)), ("t", "w", at(2000))], schema).write.parquet(str(tmp_path / "r"))
+    stream = lambda d: spark.readStream.schema(schema).parquet(str(tmp_path / d))
+    q = timelines.reply_velocity(stream("r"), stream("p")).writeStream.format("memory").queryName("delays").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert sorted((r.tweet_id, r.delay_min) for r in spark.table("delays").collect()) == [("t", 3.0), ("u", 1.0)]
