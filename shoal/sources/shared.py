@@ -10,8 +10,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the jobs that run in this process, the innermost last.
+_JOBS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset on a local master (tests)."""
+    """The running job's part of the folder the cluster names in spark.checkpoint.dir, or all of that; a temporary one only where it is unset on a local master (tests)."""
+    if _JOBS:
+        return _JOBS[-1]
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -55,3 +61,34 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 def dropping_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
     """Within it, each finished job's shuffle files go at once; for steps that end in a written table."""
     return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _at(spark, path)
+    return fs.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _at(spark, path)
+    fs.delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """Within it, written tables and checkpoints go to a folder of this name in the shared one, which goes with them at the end; what a killed job of that name left goes first."""
+    base = shared_dir(spark)
+    folder = f"{base.rstrip('/')}/{name}"
+    remove(spark, folder)
+    _JOBS.append(folder)
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        _JOBS.pop()
+        spark.sparkContext.setCheckpointDir(base)
+        remove(spark, folder)
