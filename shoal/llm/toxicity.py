@@ -320,15 +320,36 @@ def pooled_parts(worst: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(worst)), worst, np.log(mean / (1 - mean))], axis=1)
 
 
-def pooling(parts: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Logistic regression of the label on the parts, both weights kept non-negative; Newton steps with a small ridge."""
+def pooling(parts: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Logistic regression of the label on the parts, both weights kept non-negative.
+
+    Newton steps over what the bounds leave free, with a small ridge, each halved until the loss falls: whole steps may swing between
+    the bounds where the classes lie far apart.
+    """
     w, ridge = WORST.copy(), np.array([0.0, 1.0, 1.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = parts @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * (w - WORST) ** 2).sum())
+
+    now = loss(w)
     for _ in range(rounds):
         q = sigmoid(parts @ w)
         grad = parts.T @ (q - y) + ridge * (w - WORST)
         hess = (parts * (q * (1 - q))[:, None]).T @ parts + np.diag(ridge + 1e-6)
-        w = w - np.clip(np.linalg.solve(hess, grad), -2, 2)
-        w[1:] = np.maximum(w[1:], 0)
+        free = np.array([True, *((w[1:] > 0) | (grad[1:] < 0))])
+        step = np.zeros(3)
+        step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+        for halved in range(40):
+            to = w - step / 2**halved
+            to[1:] = np.maximum(to[1:], 0)
+            if (then := loss(to)) < now:
+                break
+        else:
+            return w
+        done, w, now = now - then < 1e-9 * max(1.0, now), to, then
+        if done:
+            return w
     return w
 
 

@@ -304,3 +304,27 @@ def test_against_sql(spark, name, sf):
     value = lambda v: None if v is None or v != v else v if isinstance(v, str) else round(float(v), 6)
     key = lambda df: sorted((tuple(map(value, r)) for r in df[cols].itertuples(index=False)), key=str)
     assert key(got) == key(want)
+
+
+# toxicity's pooling
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pooling_of_classes_far_apart(seed):
+    """Worst and mean window of classes that hardly meet: weights stay positive and the cut leaves clean texts alone (whole Newton steps ended at zero weights, where every text is flagged)."""
+    from shoal.llm import toxicity
+
+    rng = np.random.default_rng(seed)
+    y = np.repeat([0, 1], [2286, 1537])
+    worst = np.where(y == 1, rng.normal(8.5, 1.5, len(y)), rng.normal(-3.5, 0.4, len(y)))
+    worst[:2] = 2.0
+    mean = toxicity.sigmoid(worst - np.abs(rng.normal(0, 2, len(y))) * (y == 1))
+    parts = toxicity.pooled_parts(worst, mean)
+    w = toxicity.pooling(parts, y)
+    assert w[1:].min() >= 0 and w[1:].sum() > 0.5
+    flagged = toxicity.sigmoid(parts @ toxicity.calibrated(parts, y)) >= 0.3
+    assert flagged[y == 1].mean() > 0.99 and flagged[y == 0].sum() <= 2
+    for far in (1.0, 30.0):  # hardly apart, and entirely
+        other = parts * [1, far, far]
+        w = toxicity.pooling(other, y)
+        assert np.isfinite(w).all() and (toxicity.sigmoid(other @ toxicity.calibrated(other, y)) >= 0.3)[y == 0].mean() < 0.01
