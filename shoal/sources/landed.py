@@ -164,7 +164,7 @@ def resolved(answers: DataFrame, names: str | list[str]) -> DataFrame:
 
 _ACCOUNTS = {"rest": dataset.rest_accounts, "session": dataset.session_accounts, "tool": dataset.tool_accounts}
 _POSTS = {"rest": posts.rest_posts, "session": posts.session_posts, "tool": posts.tool_posts}
-_ABOUT = {"rest": posts.rest_about, "session": posts.rest_about, "tool": posts.rest_about}
+_ABOUT = {"rest": posts.rest_about, "session": posts.session_about, "tool": posts.tool_about}
 
 
 def _each(rows: DataFrame, of: dict, keep: tuple[str, ...]) -> DataFrame:

@@ -20,6 +20,9 @@ SESSION = f"struct<id:string,user:{SESSION_USER},date:string,rawContent:string,l
 TOOL = "struct<id:string,authorId:string,author:struct<username:string>,createdAt:string,text:string,likeCount:bigint,retweetCount:bigint,replyCount:bigint,inReplyToStatusId:string,quotedTweet:struct<id:string,authorId:string,author:struct<username:string>>>"
 REST_ABOUT = "struct<based_in:string,source:string,location_accurate:boolean,created_country_accurate:boolean,username_changes:struct<count:bigint,last_changed_at:string>>"
 
+TOOL_ABOUT = "struct<accountBasedIn:string,source:string,locationAccurate:boolean,createdCountryAccurate:boolean>"
+SESSION_ABOUT = "struct<account_based_in:string,source:string,location_accurate:boolean,username_changes:bigint,username_last_changed_at:bigint>"
+
 
 def _named(value: Column) -> Column:
     """Neither null nor empty."""
@@ -124,6 +127,20 @@ def rest_about(raw: DataFrame, column: str = "value") -> DataFrame:
     return d.select("id", F.col("a").isNotNull().alias("has_about"), "a.based_in", F.col("a.source").alias("signup_source"), "a.location_accurate", "a.created_country_accurate", F.col("a.username_changes.count").alias("username_changes"), iso_us("a.username_changes.last_changed_at").alias("renamed_us"))
 
 
+def session_about(raw: DataFrame, column: str = "value") -> DataFrame:
+    """As rest_about, of the session backend's card, whose last change of name is in milliseconds (0 or null: none)."""
+    d = raw.select("id", F.from_json(column, SESSION_ABOUT).alias("a"))
+    changed = F.nullif(F.col("a.username_last_changed_at"), F.lit(0).cast("bigint")) * 1000
+    return d.select("id", F.col("a").isNotNull().alias("has_about"), F.col("a.account_based_in").alias("based_in"), F.col("a.source").alias("signup_source"), "a.location_accurate", F.lit(None).cast("boolean").alias("created_country_accurate"), "a.username_changes", changed.alias("renamed_us"))
+
+
+def tool_about(raw: DataFrame, column: str = "value") -> DataFrame:
+    """As rest_about, of the tool's card, which doesn't say how often the name changed."""
+    d = raw.select("id", F.from_json(column, TOOL_ABOUT).alias("a"))
+    none = F.lit(None).cast("bigint")
+    return d.select("id", F.col("a").isNotNull().alias("has_about"), F.col("a.accountBasedIn").alias("based_in"), F.col("a.source").alias("signup_source"), F.col("a.locationAccurate").alias("location_accurate"), F.col("a.createdCountryAccurate").alias("created_country_accurate"), none.alias("username_changes"), none.alias("renamed_us"))
+
+
 def listed(lists: DataFrame, accounts: DataFrame, limit: int) -> DataFrame:
     """What a replayed source serves: each list's first `limit` places, of which the members without an account are left out."""
     return lists.where(F.col("pos") < limit).join(accounts.select(F.col("id").alias("member_id")), "member_id", "left_semi")

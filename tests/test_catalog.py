@@ -15,7 +15,7 @@ def value(v):
     return v if isinstance(v, (str, bool)) else round(float(v), 5) + 0.0
 
 
-@pytest.mark.parametrize("name", ["account_scores", "burst_candidates", "hour_histogram", "reciprocity", "connected_components_core", "roles", "engagement_summary", "country_resolve_free"])
+@pytest.mark.parametrize("name", ["account_scores", "burst_candidates", "hour_histogram", "reciprocity", "connected_components_core", "roles", "engagement_summary", "country_resolve_free", "creation_bursts", "follower_map_bands", "behavior_signals", "engagement_signals", "neighborhood_signals", "candidate_ranking", "list_overlap"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

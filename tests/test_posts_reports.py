@@ -64,3 +64,16 @@ def test_reports(spark, tmp_path):
     assert edges.count() == edges.select("src", "dst").distinct().count() and edges.where("kind = 'amplifies'").count() > 0
     nodes = {r.id: r for r in reports.graph_nodes(results, t["accounts"], t["seeds"]).collect()}
     assert nodes[CLUB].seed and nodes[CLUB].label == "marsh_club" and not nodes["r0"].seed
+
+
+def test_about_cards(spark):
+    """The other two backends' cards: a change of name in milliseconds, none at 0, and one that says nothing of it."""
+    import json
+
+    cards = [("1", {"account_based_in": "Spain", "source": "Spain App Store", "location_accurate": True, "username_changes": 2, "username_last_changed_at": 1_700_000_000_000}), ("2", {"account_based_in": None, "username_last_changed_at": 0})]
+    got = {r.id: r for r in posts.session_about(spark.createDataFrame([(i, json.dumps(c)) for i, c in cards] + [("3", None)], "id string, value string")).collect()}
+    assert (got["1"].based_in, got["1"].signup_source, got["1"].username_changes, got["1"].renamed_us) == ("Spain", "Spain App Store", 2, 1_700_000_000_000_000)
+    assert got["2"].has_about and got["2"].renamed_us is None and not got["3"].has_about
+    tool = posts.tool_about(spark.createDataFrame([("1", '{"accountBasedIn": "Chile", "locationAccurate": false}')], "id string, value string")).first()
+    assert (tool.based_in, tool.location_accurate, tool.username_changes, tool.has_about) == ("Chile", False, None, True)
+    assert tool.asDict().keys() == got["1"].asDict().keys()
