@@ -3,6 +3,8 @@
     spark-submit shoal/plans/jobs.py report --landed FOLDER --sources tool,rest --seeds 12,34 --as-of 2026-11-28 --run RUN
     spark-submit shoal/plans/jobs.py engagement --dataset FILE --tweets 56 --as-of 2026-11-28 --run RUN
 
+The package must be on the path of the driver and, as landed answers are read in tasks, of the executors (PYTHONPATH or --py-files).
+
 A stage is done once its folder holds the mark that Spark's writer commits with; a job that is run again with the same folder
 reads the stages that are done and computes the others.  Tables that operators write between their steps go when the job ends,
 or when it is run again after it was killed.
