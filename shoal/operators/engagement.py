@@ -82,8 +82,8 @@ def scored(summaries: DataFrame) -> DataFrame:
     return summaries.join(combine(summaries, "tweet_id", signals(summaries)), "tweet_id").withColumn("level", level("score"))
 
 
-def top_suspicious(engagements: DataFrame, reposters: DataFrame, replies: DataFrame, meta: DataFrame, threshold: float = 0.5, k: int = 20) -> DataFrame:
-    """tweet_id, id, score, rank: the k highest scores of each set, of which those under the threshold go."""
+def top_suspicious(engagements: DataFrame, reposters: DataFrame, replies: DataFrame, meta: DataFrame, threshold: float = 0.5, k: int = 20, ties: tuple[str, ...] = ("at", "id")) -> DataFrame:
+    """tweet_id, id, score, rank: the k highest scores of each set, of which those under the threshold go; equal scores in order of ties."""
     rows = engagers(engagements, reposters, replies).join(meta, "id")
-    rank = F.row_number().over(Window.partitionBy("tweet_id").orderBy(F.desc("score"), "at", "id"))  # of each task's first k
+    rank = F.row_number().over(Window.partitionBy("tweet_id").orderBy(F.desc("score"), *ties))  # of each task's first k
     return rows.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") >= threshold)).select("tweet_id", "id", "score", "rank")

@@ -705,8 +705,7 @@ def top_engagers(posts, accounts):
     known = accounts.withColumn("id", F.col("key"))
     scores = _scores(known).withColumn("score", F.round("score", 9))
     e, reposters, replies = _engagement(posts)
-    by_id = reposters.withColumn("pos", F.col("account_id")), replies.withColumn("pos", F.col("author_id"))
-    return r6(engagement.top_suspicious(e, *by_id, scores).select("tweet_id", "id", "score", "rank"), "score")
+    return r6(engagement.top_suspicious(e, reposters, replies, scores, ties=("id",)).select("tweet_id", "id", "score", "rank"), "score")
 
 
 _BURST = f"CASE WHEN n_bursts > 0 THEN greatest({ramp('burst_excess', 0.01, 0.1)}, CASE WHEN largest_burst >= 20 THEN 0.35 ELSE 0 END) ELSE 0 END"

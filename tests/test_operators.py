@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from shoal.operators import behavior, community, network, profile, temporal
+from shoal.operators import behavior, community, engagement, network, profile, temporal
 from shoal.operators.components import connected_components
 from tests.world import ACCOUNTS, AS_OF, CFG, DAY, POSTS, account
 
@@ -175,3 +175,12 @@ def test_bigint_ids(spark):
     posts = spark.createDataFrame([(1, "repost", 2), (1, "quote", 2), (1, "repost", 1), (1, "repost", None), (1, "post", 3)], "owner_id long, kind string, target_id long")
     assert [tuple(r) for r in network.amplification_edges(posts).collect()] == [(1, 2, 2)]
     assert network.amplification_edges(posts.where(F.lit(False))).count() == 0
+
+
+def test_equal_scores_by_id(spark):
+    """A replier of a smaller id comes before a reposter of the same score where ties go by id, after it where they go by place."""
+    d = spark.createDataFrame
+    parts = d([("t", 9, 0)], "tweet_id string, author_id int, created_us long"), d([("t", 0, 5)], "tweet_id string, pos int, account_id int"), d([("t", 1, 3, 10, "")], "tweet_id string, pos int, author_id int, created_us long, text string")
+    meta = d([(3, 0.8), (5, 0.8)], "id int, score double")
+    ids = lambda **o: [r.id for r in sorted(engagement.top_suspicious(*parts, meta, **o).collect(), key=lambda r: r["rank"])]
+    assert ids(ties=("id",)) == [3, 5] and ids() == [5, 3]
