@@ -106,6 +106,11 @@ def normalize_text(text) -> Column:
     return F.lower(F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]{2,}|[^\p{L}\p{N} ]", " ")))
 
 
+def normal(rows, text: str = "text") -> Column:
+    """The normalised text of rows, from their column normal where they carry it (null as an empty text)."""
+    return F.coalesce("normal", F.lit("")) if "normal" in rows.columns else normalize_text(text)
+
+
 def trigrams(text) -> Column:
     """Distinct three-character grams of the text padded with two spaces before and one after."""
     s = F.concat(F.lit("  "), col(text), F.lit(" "))

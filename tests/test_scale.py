@@ -4,10 +4,11 @@ import random
 import statistics
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoal.operators import clusters, components, network, ranks, temporal
+from shoal.operators import clusters, components, network, pairs, ranks, temporal
 from shoal.sources.shared import setting
 from tests.test_operators import brute_bursts
 from tests.world import AS_OF, DAY
@@ -204,3 +205,39 @@ def test_median_of_a_hot_group(spark):
         if v is not None:
             of[g].append(v)
     assert got == {g: pytest.approx(statistics.median(v)) for g, v in of.items()}
+
+
+def test_pairs_of_many_texts(spark):
+    """More texts than a block, alike and not: the share of near pairs of plain Python, by one block and by several that meet two and two."""
+    rng = random.Random(12)
+    words = ["heron", "plover", "siskin", "dunlin", "curlew"]
+    texts = [(g, k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))) for g in range(3) for k in range((90, 40, 2)[g])]
+    grams = lambda t: {f"  {t} "[i : i + 3] for i in range(len(t) + 1)}
+    near = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.7
+    for most in (1024, 16):
+        df = spark.createDataFrame(texts, "grp int, key int, text string").withColumn("c", F.lit(1).cast("long"))
+        got = {r.grp: r.s for r in pairs.summed(df, lambda j: (j >= 0.7).astype(float), F.length("text"), "text", most).collect()}
+        for g in range(3):
+            own = [t for h, _, t in texts if h == g]
+            assert got[g] == sum(near(a, b) for i, a in enumerate(own) for b in own[i + 1 :])
+
+
+def test_common_items(spark):
+    """Hot items by products and rare ones by their pairs give the counts of set intersections."""
+    rng = random.Random(3)
+    sets = [np.array(sorted({*(i for i in range(20) if rng.random() < 0.6), *(rng.randint(100, 4000) for _ in range(30))})) for _ in range(120)]
+    left, right = sets[:70], [*sets[70:], np.array([], np.int64)]
+    assert (pairs.common(left, right) == [[len(set(a) & set(b)) for b in right] for a in left]).all()
+
+
+def test_jaccard_of_copies(spark):
+    """Equal sets stand as one with a count, in groups with a hot item and without; the plan of either joins no owners by a hot item."""
+    rng = random.Random(8)
+    sets = {(g, f"o{o}"): {*rng.sample(range(30), 6), *([99] if g else [])} for g in range(2) for o in range(60)}
+    sets |= {(g, f"p{o}"): sets[g, f"o{o % 7}"] for g in range(2) for o in range(40)}
+    rows = [(*k, f"i{i}") for k, v in sets.items() for i in v]
+    got = {r.grp: (r.n_sets, r.mean_jaccard) for r in network.mean_pairwise_jaccard(spark.createDataFrame(rows, "grp int, owner string, item string"), heavy=50).collect()}
+    for g in range(2):
+        own = [v for (h, _), v in sets.items() if h == g]
+        every = [len(a & b) / len(a | b) for i, a in enumerate(own) for b in own[i + 1 :]]
+        assert got[g] == (100, pytest.approx(statistics.fmean(every)))
