@@ -212,7 +212,7 @@ def tweet_id_parse(accounts):
 
 @query(f"SELECT pos, md5({NORMAL.format(x='text')}) AS digest FROM posts", posts="posts")
 def text_normalize(posts):
-    return posts.select("pos", F.md5(exprs.normalize_text("text").cast("binary")).alias("digest"))
+    return posts.select("pos", F.md5(exprs.normal(posts).cast("binary")).alias("digest"))
 
 
 # creation windows

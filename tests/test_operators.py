@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from shoal.functions.exprs import normalize_text
 from shoal.operators import behavior, community, engagement, network, profile, temporal
 from shoal.operators.components import connected_components
 from tests.world import ACCOUNTS, AS_OF, CFG, DAY, POSTS, account
@@ -184,3 +185,14 @@ def test_equal_scores_by_id(spark):
     meta = d([(3, 0.8), (5, 0.8)], "id int, score double")
     ids = lambda **o: [r.id for r in sorted(engagement.top_suspicious(*parts, meta, **o).collect(), key=lambda r: r["rank"])]
     assert ids(ties=("id",)) == [3, 5] and ids() == [5, 3]
+
+
+def test_copies_by_carried_digests(spark):
+    """Posts of the stand-in view carry their text's normal form, digest and length; copies counted by them are those counted by the text."""
+    from shoal.plans.views import view
+
+    posts = view(spark, "/root/testdata/sf0.001", "posts")
+    bare = posts.drop("normal", "digest", "chars")
+    counted = lambda rows: sorted((r.owner_id, r.texts, r.copies) for r in behavior.duplicate_share(rows, ["owner_id"], "text", 20).collect())
+    assert counted(posts) == counted(bare) and counted(bare)
+    assert posts.where(~F.coalesce("normal", F.lit("")).eqNullSafe(normalize_text("text"))).isEmpty()
