@@ -68,9 +68,12 @@ def cadence(posts: DataFrame) -> DataFrame:
 
 
 def duplicate_share(rows: DataFrame, keys: list[str], text: str, least_chars: int) -> DataFrame:
-    """keys, texts (of at least least_chars once normalised), copies among them, and their share."""
+    """keys, texts (of at least least_chars once normalised), copies among them, and their share; by the columns digest and chars of the normalised text where rows carry them."""
     # the length is aggregated beside the digest: a filter on it would repeat the text's patterns below
-    hashed = rows.select(*keys, normalize_text(text).alias("t")).select(*keys, F.sha2("t", 256).alias("h"), F.length("t").alias("n"))
+    if "digest" in rows.columns:  # null without a text, which is an empty one
+        hashed = rows.select(*keys, F.col("digest").alias("h"), F.coalesce("chars", F.lit(0)).alias("n"))
+    else:
+        hashed = rows.select(*keys, normalize_text(text).alias("t")).select(*keys, F.sha2("t", 256).alias("h"), F.length("t").alias("n"))
     counted = hashed.groupBy(*keys, "h").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("n") >= least_chars)
     return counted.groupBy(*keys).agg(F.sum("c").alias("texts"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("copies")).withColumn("share", F.col("copies") / F.col("texts"))
 

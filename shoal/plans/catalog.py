@@ -408,11 +408,16 @@ _BEHAVIOR = {
 }
 
 
+def _told(posts: DataFrame) -> DataFrame:
+    """The posts written once for the metrics that read them, with their texts' digests in place of the texts."""
+    return table(posts.drop("text", "normal"))
+
+
 @query(f"WITH {_TIMELINE} {_signals_of(_BEHAVIOR, 'owner_id', 'tm')}", posts="posts", accounts="accounts")
 def behavior_signals(posts, accounts):
     """Signals over half-even-rounded metrics."""
-    owners = accounts.select(F.col("key").alias("id"), "created_us", "tweets")
-    return r6(behavior.behavior_signals(behavior.timeline_metrics(posts), owners, CONFIG), "score")
+    owners = _among(accounts, posts.select("owner_id")).select("id", "created_us", "tweets")
+    return r6(behavior.behavior_signals(behavior.timeline_metrics(_told(posts)), owners, CONFIG), "score")
 
 
 # graph
@@ -756,5 +761,5 @@ def candidate_ranking(accounts, lists):
 @query(posts="posts")
 def timeline_metrics(posts):
     """One row for each user with kinds, languages, clients and hours; nested values as JSON."""
-    m = behavior.timeline_metrics(posts)
+    m = behavior.timeline_metrics(_told(posts))
     return m.select(*(F.to_json(c).alias(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in m.dtypes))
