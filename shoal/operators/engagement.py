@@ -14,6 +14,7 @@ from shoal.functions.exprs import days_between, level, ramp, rounded
 from shoal.operators import ranks, temporal
 from shoal.operators.behavior import duplicate_share
 from shoal.operators.profile import combine
+from shoal.sources.shared import table
 
 
 def others(engagements: DataFrame, replies: DataFrame) -> DataFrame:
@@ -42,6 +43,7 @@ def summary(engagements: DataFrame, reposters: DataFrame, replies: DataFrame, ac
     """One row for each engagement set: sizes, creation peak and bursts, shares, delays and copies."""
     every = engagers(engagements, reposters, replies)
     known = every.join(accounts.select("id", "created_us"), "id", "left").join(meta.select("id", F.col("score").alias("_meta")), "id", "left")
+    known = table(known)  # read by each measure
     sizes = known.groupBy("tweet_id").agg(
         F.count("*").alias("engagers"),
         F.count("created_us").alias("dated"),

@@ -516,7 +516,7 @@ def _engagement(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Engagement tables of the events: a key is a post by its target, first seen with its first event."""
     e = posts.groupBy(F.col("target_post_id").alias("tweet_id")).agg(F.min("target_id").alias("author_id"), F.min("created_us").alias("created_us"))
     reposters = posts.where("kind = 'repost'").select(F.col("target_post_id").alias("tweet_id"), "pos", F.col("owner_id").alias("account_id"))
-    replies = posts.where("kind = 'reply'").select(F.col("target_post_id").alias("tweet_id"), "pos", F.col("owner_id").alias("author_id"), "created_us", "text")
+    replies = posts.where("kind = 'reply'").select(F.col("target_post_id").alias("tweet_id"), "pos", F.col("owner_id").alias("author_id"), "created_us", "digest", "chars")
     return e, reposters, replies
 
 
@@ -532,8 +532,8 @@ def engagement_summary(posts, accounts):
 
 
 def _engagement_summary(posts: DataFrame, accounts: DataFrame) -> DataFrame:
-    known = accounts.withColumn("id", F.col("key"))
-    return engagement.summary(*_engagement(posts), known, cut(_scores(known)), CONFIG)
+    known = _among(accounts, posts.where("kind in ('repost', 'reply')").select("owner_id"))
+    return engagement.summary(*map(table, _engagement(posts)), known, cut(_scores(known)), CONFIG)
 
 
 _ENG_RULES = {
@@ -714,7 +714,7 @@ def ranked_accounts(posts, lists, accounts, edges):
 @query(f"WITH {_SCORES}, {_ENG} SELECT tweet_id, id, round(score, 6) AS score, rank FROM (SELECT u.tweet_id, u.id, score, row_number() OVER (PARTITION BY u.tweet_id ORDER BY round(score, 9) DESC, u.id) AS rank FROM u JOIN accounts ON accounts.key = u.id JOIN scores ON scores.id = accounts.id) WHERE rank <= 20 AND round(score, 9) >= 0.5", posts="posts", accounts="accounts")
 def top_engagers(posts, accounts):
     """The most suspicious of each post's engagers (a top-k report); equal scores by id."""
-    known = accounts.withColumn("id", F.col("key"))
+    known = _among(accounts, posts.where("kind in ('repost', 'reply')").select("owner_id"))
     scores = _scores(known).withColumn("score", F.round("score", 9))
     e, reposters, replies = _engagement(posts)
     return r6(engagement.top_suspicious(e, reposters, replies, scores, ties=("id",)).select("tweet_id", "id", "score", "rank"), "score")
