@@ -2,7 +2,7 @@
 
 import random
 import statistics
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -241,3 +241,35 @@ def test_jaccard_of_copies(spark):
         own = [v for (h, _), v in sets.items() if h == g]
         every = [len(a & b) / len(a | b) for i, a in enumerate(own) for b in own[i + 1 :]]
         assert got[g] == (100, pytest.approx(statistics.fmean(every)))
+
+
+def test_a_round_of_community_moves_meets_in_blocks(spark):
+    from shoal.operators import community
+
+    rng = random.Random(5)
+    pairs = {(0, i) for i in range(1, 40)} | {tuple(sorted(rng.sample(range(40), 2))) for _ in range(150)}  # 0 is a hub
+    w = {p: float(1 + p[1] % 2) for p in pairs}
+    near, k = defaultdict(dict), Counter()
+    for (a, b), x in w.items():
+        near[a][b] = near[b][a] = x
+        k[a] += x
+        k[b] += x
+    comm = {n: n if n % 3 else n % 6 for n in range(40)}
+    m2, tot, size = sum(k.values()), Counter(), Counter(comm.values())
+    for n, c in comm.items():
+        tot[c] += k[n]
+    want = {}
+    for n, c in comm.items():
+        have = Counter({c: 0.0})
+        for other, x in near[n].items():
+            have[comm[other]] += x
+        gain = {to: round(x - k[n] * (tot[to] - (k[n] if to == c else 0)) / m2, 9) for to, x in have.items() if to == c or size[to] > 1 or to < c}
+        want[n] = (min(gain, key=lambda to: (-gain[to], to != c, to)) != c, have[c] - k[n] * tot[c] / m2)
+    blocks = 3
+    links = spark.createDataFrame([(v % blocks, u % blocks, u, v, x) for u, of in near.items() for v, x in of.items()], "x long, y long, u long, v long, w double")
+    links = links.groupBy("x", "y").agg(F.collect_list(F.struct("u", "v", "w")).alias("links"))
+    of = spark.createDataFrame([(n, f"n{n}", c, k[n]) for n, c in comm.items()], "node long, name string, comm long, k double")
+    got = {r["node"]: r for r in community._round(links, of, m2, 1.0, 0, 42, blocks).collect()}
+    assert {n: r["willing"] for n, r in got.items()} == {n: x[0] for n, x in want.items()}
+    assert all(abs(r["held"] - want[n][1]) < 1e-9 for n, r in got.items())
+    assert any(r["moved"] for r in got.values()) and all(r["willing"] for r in got.values() if r["moved"])
