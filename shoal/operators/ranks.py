@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shoal.sources.shared import table
 
-PART = "_part"
+PART, AT = "_part", "_at"
 KINDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -43,10 +43,19 @@ def running(dealt: DataFrame, keys: list[str], order: list, values: dict[str, tu
     return marked.join(totals, on).select(*dealt.columns, *(c.alias(n) for n, c in found.items()), *whole)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
-    """df with each row's place in its group, from 0."""
-    one = {name: ("sum", F.lit(1))}
-    return running(deal(df, keys, order), keys, order, one, before=True).drop(PART)
+def numbered(df: DataFrame, keys: list[str], order: list, name: str, whole: str | None = None) -> DataFrame:
+    """df with each row's place in its group, from 0, and the group's number of rows as whole.
+
+    Ranges are written in order and places told as rows are written; one row a group and range remains to be joined, not shuffled where these are few.
+    """
+    by = _columns([*keys, *order])
+    placed = table(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({PART: F.spark_partition_id(), AT: F.monotonically_increasing_id()}))
+    totals = placed.groupBy(*keys, PART).agg(F.count("*").alias("_c"), F.min(AT).alias("_first"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row for each range
+    ahead = F.coalesce(F.sum("_c").over(group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = table(totals.select(*(F.col(c).alias(f"_k_{c}") for c in [*keys, PART]), (ahead - F.col("_first")).alias("_add"), *([F.sum("_c").over(group).alias(whole)] if whole else [])))
+    on = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, PART]))
+    return placed.join(totals, on).select(*df.columns, (F.col(AT) + F.col("_add")).alias(name), *([whole] if whole else []))
 
 
 def counts_at(times: DataFrame, starts: DataFrame, keys: list[str], lo: int, hi: int) -> DataFrame:

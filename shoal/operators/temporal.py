@@ -5,16 +5,19 @@ Every operator takes rows (group columns, ts in microseconds[, rank]). No step g
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.exprs import DAY_US, binom_sf, poisson_sf
 from shoal.operators import ranks
-from shoal.sources.shared import cut, table
+from shoal.sources.shared import cut, setting, table
 
-#: Ranks of a block by which bands meet their rows.
+#: Ranks of a block by which runs are made and bands meet their rows.
 RANKS = 1024
 
 
@@ -126,22 +129,19 @@ def follower_map_bands(rows: DataFrame, keys: list[str], as_of: int, window_days
     rank counts from the oldest follower and includes undated ones; runs are taken over dated rows. Groups under 40 dated rows give none.
     """
     w = window_days * DAY_US
-    placed = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(rank).alias("rank"))
-    one = F.lit(1)
-    dated = ranks.running(ranks.deal(placed, keys, ["rank"]), keys, ["rank"], {"idx": ("sum", one)}, {"n": ("sum", one)}, before=True).drop(ranks.PART).where("n >= 40")
+    placed = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).cast("long").alias("ts"), F.col(rank).alias("rank"))
+    dated = table(ranks.numbered(placed, keys, ["rank"], "idx", "n").where("n >= 40"))
     length = F.greatest(F.lit(20), F.least(F.lit(100), F.floor(F.col("n") / 20))).cast("int")
-    dated = dated.withColumn("len", length).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("len") / 4)).cast("int"))
-    # each row joins the few runs that cover it: starts are multiples of step in (idx - len, idx], up to n - len
-    low = F.ceil(F.greatest(F.lit(0), F.col("idx") - F.col("len") + 1) / F.col("step"))
-    high = F.floor(F.least(F.col("idx"), F.col("n") - F.col("len")) / F.col("step"))
-    runs = dated.where(low <= high).select("*", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("k")).withColumn("s", F.col("k") * F.col("step"))
+    times = table(dated.groupBy(*keys, "ts").agg(F.count("*").alias("n")))
+    with setting(rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "64"):
+        best = table(_dense_runs(dated.withColumn("len", length).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("len") / 4)).cast("int")), keys, w, least_fraction))
     tries = F.floor((F.col("n") - F.col("len")) / F.col("step")) + 1
-    sized = runs.select(*keys, "s", "ts", "len", "n", (F.lit(alpha) / tries).alias("limit"))
-    best = densest_window(sized, [*keys, "s", "len", "n", "limit"], window_days)
-    best = cut(best.where(F.col("count") / F.col("len") >= least_fraction))
-    base = _share_in(best, dated.select(*keys, "ts"), keys, w)
+    best = best.withColumn("limit", F.lit(alpha) / tries)
+    base = _share_in(best, times, keys, w)
     lift = (F.col("count") / F.col("len")) / F.col("base")
-    hit = base.where(lift >= least_lift).withColumn("p_value", binom_sf("count", "len", "base")).where(F.col("p_value") < F.col("limit"))
+    # few bytes but long tails to sum: dealt over all cores, and summed once
+    tried = base.where(lift >= least_lift).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    hit = table(tried.withColumn("p_value", binom_sf("count", "len", "base"))).where(F.col("p_value") < F.col("limit"))
     hit = ranks.deal(hit.select(*keys, "s", (F.col("s") + F.col("len") - 1).alias("e")), keys, ["s"])
     hit = ranks.running(hit, keys, ["s"], {"reach": ("max", F.col("e"))}, before=True)
     opens = F.when(F.col("s") > F.coalesce("reach", F.lit(-2)) + 1, 1).otherwise(0)
@@ -149,17 +149,58 @@ def follower_map_bands(rows: DataFrame, keys: list[str], as_of: int, window_days
     bands = cut(bands.groupBy(*keys, "band").agg(F.min("s").alias("s"), F.max("e").alias("e")))
     block = lambda c: F.floor(F.col(c) / F.lit(RANKS))
     spread = bands.withColumn("_block", F.explode(F.sequence(block("s"), block("e"))))
-    inside = dated.withColumn("_block", block("idx")).join(spread, [*keys, "_block"]).where("idx between s and e")
+    inside = table(dated.withColumn("_block", block("idx")).join(spread, [*keys, "_block"]).where("idx between s and e").select(*keys, "band", "ts", "rank", "n"))
     spans = inside.groupBy(*keys, "band").agg(F.min("rank").alias("rank_start"), F.max("rank").alias("rank_end"), F.count("*").alias("run"), F.max("n").alias("n"))
     dense = densest_window(inside.select(*keys, "band", "ts"), [*keys, "band"], window_days).join(spans, [*keys, "band"])
-    out = _share_in(dense, dated.select(*keys, "ts"), keys, w)
+    out = _share_in(table(dense), times, keys, w)
     fresh = F.floor((F.lit(as_of) - F.col("end_us")) / F.lit(float(DAY_US))) <= fresh_days
     density = F.col("count") / F.col("run")
     return out.select(*keys, "rank_start", "rank_end", F.col("count").alias("size"), (F.col("count") / F.col("n")).alias("share"), density.alias("density"), (density / F.col("base")).alias("lift"), binom_sf("count", "run", "base").alias("p_value"), "start_us", "end_us", fresh.alias("fresh"))
 
 
-def _share_in(windows: DataFrame, dated: DataFrame, keys: list[str], w: int) -> DataFrame:
-    """windows (with n and start_us) and base: the group's share of rows in [start_us, start_us + w], at least 1/n."""
-    times = dated.groupBy(*keys, "ts").agg(F.count("*").alias("n"))
+def _dense_runs(dated: DataFrame, keys: list[str], w: int, least: float) -> DataFrame:
+    """keys, n, len, step, s, count, start_us, end_us: the fullest window of each run of len rows from a multiple of step, if it has that share of them.
+
+    dated: keys, idx, ts, n, len, step.  A block is RANKS rows and the len - 1 that follow, so a row stands in a block or two and a task has a few at a time.
+    """
+    block = F.floor(F.col("idx") / F.lit(RANKS))
+    ahead = F.greatest(F.floor((F.col("idx") - F.col("len") + 1) / F.lit(RANKS)), F.lit(0))
+    spread = dated.select(*keys, "n", "len", "step", "idx", "ts", F.explode(F.sequence(ahead, block)).alias("_block"))
+    blocks = spread.groupBy(*keys, "n", "len", "step", "_block").agg(F.collect_list(F.struct("idx", "ts")).alias("_rows"))
+    out = blocks.select(*keys, "n", "len", "step").schema
+    of = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
+    return blocks.mapInArrow(_windows([f.name for f in out], w, least, RANKS), f"{of}, s long, count long, start_us long, end_us long")
+
+
+def _windows(kept: list[str], w: int, least: float, ranks_of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n, length, step, block = (batch.column(c)[row].as_py() for c in ("n", "len", "step", "_block"))
+                rows = batch.column("_rows")[row].values
+                idx, ts = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "ts"))
+                ts = ts[np.argsort(idx)]
+                first = block * ranks_of
+                s = np.arange(-(-first // step) * step, min(first + ranks_of - 1, n - length) + 1, step)
+                if not len(s):
+                    continue
+                runs = np.sort(ts[(s - first)[:, None] + np.arange(length)], axis=1)
+                # of each time as a window's end: the first time within w before it
+                count, begin = np.zeros(runs.shape, np.int64), np.zeros(runs.shape, np.int64)
+                for j in range(length):
+                    begin[:, j] = (runs < (runs[:, j] - w)[:, None]).sum(axis=1)
+                    count[:, j] = (runs <= runs[:, j][:, None]).sum(axis=1) - begin[:, j]
+                end, at = count.argmax(axis=1), np.arange(len(s))  # the earliest end wins ties
+                full = np.flatnonzero(count[at, end] / length >= least)
+                if len(full):
+                    at, end = at[full], end[full]
+                    same = {c: pa.array([batch.column(c)[row].as_py()] * len(full), batch.schema.field(c).type) for c in kept}
+                    yield pa.RecordBatch.from_pydict(same | {"s": s[full], "count": count[at, end], "start_us": runs[at, begin[at, end]], "end_us": runs[at, end]})
+
+    return run
+
+
+def _share_in(windows: DataFrame, times: DataFrame, keys: list[str], w: int) -> DataFrame:
+    """windows (with n and start_us) and base: the group's share of rows in [start_us, start_us + w], at least 1/n. times: keys, ts, n rows."""
     counted = ranks.counts_at(times, windows, keys, 0, w)
     return windows.join(counted, [*keys, "start_us"]).withColumn("base", F.greatest(F.col("c") / F.col("n"), 1 / F.col("n"))).drop("c")

@@ -273,3 +273,15 @@ def test_a_round_of_community_moves_meets_in_blocks(spark):
     assert {n: r["willing"] for n, r in got.items()} == {n: x[0] for n, x in want.items()}
     assert all(abs(r["held"] - want[n][1]) < 1e-9 for n, r in got.items())
     assert any(r["moved"] for r in got.values()) and all(r["willing"] for r in got.values() if r["moved"])
+
+
+def test_bands_meet_in_blocks_and_places_need_no_window_over_rows(spark, monkeypatch):
+    monkeypatch.setattr(temporal, "RANKS", 16)  # less than a run
+    rng = random.Random(8)
+    ts = [None if k % 31 == 5 else AS_OF - (400 * DAY + rng.randint(0, 9) * DAY if 90 <= k < 150 else (4000 - 12 * k) * DAY) for k in range(300)]
+    rows = spark.createDataFrame([(1, r, t) for r, t in enumerate(ts)], "g int, rank int, ts long").repartition(3)
+    got = [(r.rank_start, r.rank_end, r["size"], round(r["share"], 6), round(r.density, 6), round(r.lift, 4), r.start_us, r.end_us, r.fresh) for r in temporal.follower_map_bands(rows, ["g"], AS_OF).collect()]
+    assert sorted(got) == brute_bands(list(enumerate(ts)), AS_OF) and got
+    placed = ranks.numbered(rows, ["g"], [F.desc("rank")], "i", "n")
+    assert "Window" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.i, r.rank, r.n) for r in placed.orderBy("i").collect()] == [(i, 299 - i, 300) for i in range(300)]
