@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shoal.functions.config import Config
 from shoal.functions.exprs import DAY_US, days_between, ramp, rounded
 from shoal.operators import ranks, temporal
-from shoal.sources.shared import cut
+from shoal.sources.shared import cut, table
 
 KEYS = ["owner_id", "relation"]
 
@@ -21,8 +21,9 @@ def dated_lists(lists: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def summary(lists: DataFrame, accounts: DataFrame, meta: DataFrame, cfg: Config) -> DataFrame:
     """owner_id, relation, sampled, total, recent_share, peaks, bursts, bands, botlike_share, median_age_days."""
+    accounts = table(accounts.select("id", "created_us", "followers", "following"))
     rows = dated_lists(lists, accounts).join(meta.select(F.col("id").alias("member_id"), F.col("score").alias("_meta")), "member_id", "left")
-    rows = cut(rows)
+    rows = table(rows.select(*KEYS, "rank", "created_us", "_meta"))  # read some ten times, by its columns
     sizes = rows.groupBy(*KEYS).agg(
         F.count("*").alias("sampled"),
         F.count("created_us").alias("dated"),

@@ -607,7 +607,7 @@ _SHARES = ("recent_share", "botlike_share", "peak", "aged_peak", "peak90", "burs
 def neighborhood_summary(accounts):
     """Every nation's follower list: sizes, shares, peaks, bursts and bands."""
     lists = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), (-F.col("key")).alias("pos"), F.col("id").alias("member_id"))
-    s = neighborhood.summary(lists, accounts, cut(_scores(accounts)), CONFIG)
+    s = neighborhood.summary(lists, accounts, _scores(accounts), CONFIG)
     return r6(s, *_SHARES)
 
 
@@ -734,7 +734,7 @@ _HOOD_RULES = {
 def neighborhood_signals(accounts, lists):
     """The signals that its followers' creation times and scores give each nation; those of followed lists have no rows here."""
     own = accounts.select(F.col("seed").cast("string").alias("owner_id"), F.lit("followers").alias("relation"), (-F.col("key")).alias("pos"), F.col("id").alias("member_id"))
-    s = cut(neighborhood.summary(own, accounts, cut(_scores(accounts)), CONFIG))
+    s = cut(neighborhood.summary(own, accounts, _scores(accounts), CONFIG))
     return r6(neighborhood.signals(s, network.mutual_share(lists).withColumn("owner_id", F.col("owner_id").cast("string"))), "score")
 
 
