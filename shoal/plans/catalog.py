@@ -496,7 +496,7 @@ def co_amplification(posts):
 @query(f"WITH t AS (SELECT owner_id AS grp, pos, {NORMAL.format(x='text')} AS t FROM posts WHERE kind = 'reply'), g AS (SELECT grp, pos, {GRAMS} AS g FROM t WHERE length(t) >= 3), n AS (SELECT grp, count(*) AS n_texts FROM g GROUP BY 1), p AS (SELECT a.grp, avg((len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.7)::INT) AS share FROM g a JOIN g b ON a.grp = b.grp AND a.pos < b.pos GROUP BY 1) SELECT n.grp, n_texts, CASE WHEN n_texts >= 3 THEN round(share, 6) END AS share FROM n LEFT JOIN p ON p.grp = n.grp", posts="posts")
 def near_duplicate_share(posts):
     """Of each user's replies, a cluster of texts each."""
-    texts = posts.where("kind = 'reply'").select(F.col("owner_id").alias("grp"), "pos", "normal")
+    texts = posts.where("kind = 'reply'").select(F.col("owner_id").alias("grp"), "pos", "normal", "digest", "chars")
     return r6(network.near_duplicate_share(texts, 0.7, 3, None), "share")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoal.operators import clusters, components, network, pairs, ranks, temporal
+from shoal.sources import shared
 from shoal.sources.shared import setting
 from tests.test_operators import brute_bursts
 from tests.world import AS_OF, DAY
@@ -299,3 +300,46 @@ def test_follow_edges_of_large_owners(spark):
         got = network.follow_edges(df, one(seeds, "seed_id"), one([*more, 3], "account_id"), rows=100)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got.rdd.getNumPartitions() >= 15
+
+
+def test_texts_that_many_groups_hold_are_written_once(spark, tmp_path, monkeypatch):
+    """Groups' shares of near pairs are those of plain Python, and what is written grows with the texts, not with the rows that carry them."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    first = ["".join(rng.choices(letters, k=4000)) for _ in range(100)]
+    said = first + [t[: (at := rng.randint(0, 3000))] + "".join(rng.choices(letters, k=rng.choice([100, 900]))) + t[at:] for t in first for _ in range(3)]
+    grams = [{f"  {t} "[i : i + 3] for i in range(len(t) + 1)} for t in said]
+    held = {g: rng.choices([k + 100 * j for k in rng.sample(range(100), 4) for j in range(4)], k=12 if g % 50 else 2) for g in range(300)}
+    texts = spark.createDataFrame(list(enumerate(said)), "k int, text string").withColumns({"normal": F.col("text"), "digest": F.sha2("text", 256), "chars": F.length("text")})
+    rows = spark.createDataFrame([(g, p, k) for g, own in held.items() for p, k in enumerate(own)] + [(7, 12, None)], "grp int, pos int, k int").join(F.broadcast(texts), "k", "left").drop("k")
+    monkeypatch.setattr(shared, "_JOBS", [str(tmp_path)])
+    got = {r.grp: (r.n_texts, r.share) for r in network.near_duplicate_share(rows, 0.7).collect()}
+    for g, own in held.items():
+        near = [a == b or len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.7 for i, a in enumerate(own) for b in own[i + 1 :]]
+        assert got[g] == (len(own), pytest.approx(sum(near) / len(near)) if len(own) > 2 else None)
+    assert len(got) == 300 and 0 < statistics.fmean(s for _, s in got.values() if s is not None) < 1
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 3 * sum(map(len, said))
+
+
+@pytest.mark.parametrize("several", [1, 5])
+def test_pairs_looked_up_in_blocks_of_all_texts(spark, monkeypatch, several):
+    """Groups' pairs by the bits of all texts' blocks are those of each group's own blocks, among them a group of all texts; rows in parts too."""
+    rng = random.Random(14)
+    words = ["heron", "plover", "siskin", "dunlin", "curlew"]
+    said = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(120)})
+    sets = [(g, str(k), rng.randint(1, 3)) for g in range(40) for k in (range(len(said)) if g == 7 else rng.sample(range(len(said)), rng.randint(1, 9)))]
+    sets = spark.createDataFrame(sets, "grp int, key string, c long")
+    texts = spark.createDataFrame([(str(k), t) for k, t in enumerate(said)], "key string, text string")
+    monkeypatch.setattr(pairs, "GROUPS", 4)
+    got = {r.grp: r.s for r in pairs.counted(sets, lambda j: j >= 0.7, texts, several).collect()}
+    own = pairs.summed(sets.withColumn("n", F.lit(1)), lambda j: (j >= 0.7).astype(float), F.col("n"), "text", 16, texts=texts)
+    assert got == {r.grp: r.s for r in own.collect() if r.s} and got[7]
+    import pyarrow as pa
+
+    monkeypatch.setattr(pairs, "PRODUCTS", 5)
+    bits, lists = np.array([[rng.random() < 0.5 for _ in range(8)] for _ in range(8)]), lambda: [[{"i": i, "c": rng.randint(1, 3)} for i in sorted(rng.sample(range(8), rng.randint(1, 5)))] for _ in range(30)]
+    own, far = lists(), lists()
+    batch = pa.RecordBatch.from_pydict({"grp": pa.array(range(30)), "own": pa.array(own), "far": pa.array(far)}).slice(3, 20)
+    found = {g: s for b in pairs._found(batch, 8, np.packbits(bits)) for g, s in zip(*(c.to_pylist() for c in b.columns))}
+    want = {g: sum(a["c"] * b["c"] * bits[a["i"], b["i"]] for a in own[g] for b in far[g]) for g in range(3, 23)}
+    assert found == {g: s for g, s in want.items() if s}
