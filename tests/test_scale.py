@@ -343,3 +343,40 @@ def test_pairs_looked_up_in_blocks_of_all_texts(spark, monkeypatch, several):
     found = {g: s for b in pairs._found(batch, 8, np.packbits(bits)) for g, s in zip(*(c.to_pylist() for c in b.columns))}
     want = {g: sum(a["c"] * b["c"] * bits[a["i"], b["i"]] for a in own[g] for b in far[g]) for g in range(3, 23)}
     assert found == {g: s for g, s in want.items() if s}
+
+
+def test_rounds_of_one_block_are_those_of_several(spark):
+    """A level of one block makes its rounds in one task, in few jobs; blocks that meet give the same communities, by names of other kinds and weights too."""
+    from shoal.operators import community
+
+    rng = random.Random(17)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)} | {(k, k + 1) for k in range(60, 140)}
+    links = spark.createDataFrame([(f"n{a}", f"n{b}", rng.choice([1.0, 2.0, 0.3])) for a, b in sorted(pairs)], "a string, b string, w double")
+    sc = spark.sparkContext
+    sc.setJobGroup("communities", "")
+    try:
+        one = {r["node"]: r.comm for r in community.communities(links).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("communities"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 120 and set(one) == {f"n{k}" for p in pairs for k in p} and 4 < len(set(one.values())) < 60
+    assert one == {r["node"]: r.comm for r in community.communities(links, most=60).collect()}
+
+
+def test_blocks_of_links_are_not_shuffled_again(spark):
+    """What a round's joins read of the blocks of links is kept where they look for it."""
+    from shoal.operators import community
+
+    rows = spark.range(3000).select((F.col("id") * 7 % 50).alias("u"), (F.col("id") * 11 % 49).alias("v"), F.lit(1.0).alias("w")).selectExpr("v % 3 as x", "u % 3 as y", "w", "int(floor(u / 3)) as u", "int(floor(v / 3)) as v")
+    packed = shared.table(community._gather(rows, 4, "x", "y", links=("w", "u", "v")))
+    got = sorted(p for r in packed.collect() for p in zip(*(c.tolist() for c in community._links(bytes(r.links), r.x, r.y, 3))))
+    assert packed.count() == 9 and got == sorted((k * 7 % 50, k * 11 % 49, 1.0) for k in range(3000))
+    kept = community._kept(packed, 4)
+    try:
+        state = shared.table(spark.range(3).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("y")))
+        met = kept.join(state.hint("merge"), ["x", "y"])
+        assert met.count() == 9
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("SortMergeJoin")[1].split("InMemoryTableScan")[0]
+    finally:
+        kept.unpersist()
